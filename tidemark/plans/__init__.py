@@ -1,0 +1,11 @@
+"""Registered queries.  Importing the modules below fills the registry."""
+
+from __future__ import annotations
+
+from tidemark.plans.registry import QUERIES, Query
+
+
+def all_queries() -> dict[str, Query]:
+    from tidemark.plans import corpus_queries  # noqa: F401
+
+    return dict(QUERIES)

@@ -26,9 +26,11 @@ RECORD = T.StructType([
 NESTED = "map<string,map<string,double>>"
 
 
-def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON records in one folder per (dataset, month, model), written by a few tasks."""
-    results.repartitionByRange(*KEYS).write.mode(mode).partitionBy("dataset", "month", "model").json(path)
+def write_results(
+    results: DataFrame, path: str, folders: tuple[str, ...] = ("dataset", "month"), mode: str = "overwrite",
+) -> None:
+    """JSON lines in one folder per key, each written by one of a few range-split tasks."""
+    results.repartitionByRange(*folders, *KEYS).write.mode(mode).partitionBy(*folders).json(path)
 
 
 def path_keys(path: Column) -> dict[str, Column]:
@@ -50,15 +52,17 @@ def path_model(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.json$", 1)
 
 
-def scan_results(spark: SparkSession, path: str) -> DataFrame:
-    """All records below a folder, keyed by their paths; the text 'None' reads as NULL."""
-    reader = spark.read.schema(RECORD).option("recursiveFileLookup", "true").option("multiLine", "true")
-    raw = reader.json(path).withColumns(path_keys(F.col("_metadata.file_path")))
-    return raw.select(
-        *KEYS, *[f.name for f in RECORD if f.name not in ("context_size", "stride")],
-        F.expr("try_cast(context_size as int)").alias("context_size"),
-        F.expr("try_cast(stride as int)").alias("stride"),
-    )
+def scan_results(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """All records below a folder; keys come from the record, or else from its path.
+
+    `pretty` reads files that hold one indented object each.  The text 'None' reads as NULL.
+    """
+    keys = [T.StructField(k, T.StringType()) for k in KEYS]
+    reader = spark.read.schema(T.StructType(keys + RECORD.fields)).option("recursiveFileLookup", "true")
+    raw = reader.option("multiLine", str(pretty).lower()).json(path)
+    from_path = path_keys(F.col("_metadata.file_path"))
+    sized = {n: F.expr(f"try_cast({n} as int)") for n in ("context_size", "stride")}
+    return raw.withColumns({k: F.coalesce(F.col(k), from_path[k]) for k in KEYS}).withColumns(sized)
 
 
 def nested_export(results: DataFrame, value: str = "ratio") -> DataFrame:
