@@ -16,7 +16,8 @@ FIRST_BYTE_ID = 3
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(0))
+    # Possessive quantifiers match the same tokens without keeping states to go back to.
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN.replace("]+", "]++")), F.lit(0))
 
 
 def sentences(text: Column) -> Column:

@@ -42,6 +42,18 @@ def catalog(spark: SparkSession, root: str = "corpora") -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, modality string, recipe string, path string")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread the rows of a table that lies in fewer files than there are cores.
+
+    A single small file is otherwise read, and tokenized, by one task.  A table with
+    many files is left alone, so a large corpus is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 # --- corpora made from the given tables -------------------------------------
 def month_slot(ordinal: Column) -> Column:
     """Spread documents over the 83 months from 2017-01 to 2023-11."""
@@ -51,8 +63,8 @@ def month_slot(ordinal: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents.parquet as a corpus: language is the dataset, doc_id the order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return spread(docs, "doc_id").select(
         F.col("lang").alias("dataset"),
         month_slot(F.col("doc_id")).alias("month"),
         F.col("doc_id").alias("doc_ord"),
@@ -62,8 +74,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages.parquet as a byte corpus."""
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return raw.select(
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return spread(raw, "page_id").select(
         F.lit("audio").alias("dataset"),
         month_slot(F.col("page_id")).alias("month"),
         F.col("page_id").alias("doc_ord"),
@@ -85,7 +97,7 @@ def images(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str, chunk: int = 16) -> DataFrame:
     """embeddings.parquet as model output: 64 logits per position, label = observed symbol."""
-    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
     return raw.select(
         month_slot(F.floor(F.col("vec_id") / chunk)).alias("month"),
         F.floor(F.col("vec_id") / chunk).alias("chunk_id"),
