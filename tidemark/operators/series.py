@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.functions import fixed
 
 SERIES = ["dataset", "model"]
-ALONG = W.partitionBy(*SERIES).orderBy("month")
+
+
+def along() -> WindowSpec:
+    return W.partitionBy(*SERIES).orderBy("month")
 
 
 def repair_month(results: DataFrame, month: str = fixed.REPAIR_MONTH, value: str = "ratio") -> DataFrame:
     """Replace one month's value by the mean of its neighbours; kept when one is missing."""
-    mean = (F.lag(value).over(ALONG) + F.lead(value).over(ALONG)) / 2
+    mean = (F.lag(value).over(along()) + F.lead(value).over(along())) / 2
     return results.withColumn(
         "repaired", F.when(F.col("month") == month, F.coalesce(mean, F.col(value))).otherwise(F.col(value))
     )
@@ -38,10 +42,10 @@ def exponential_smoothing(results: DataFrame, alpha: float = fixed.SMOOTHING_ALP
 
 def drift_vs_first(results: DataFrame, value: str = "ratio") -> DataFrame:
     """Relative change against the first month of the series."""
-    whole = ALONG.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = along().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return results.withColumn("drift", F.try_divide(F.col(value), F.first(value).over(whole)) - 1)
 
 
 def cumulative_time(results: DataFrame, value: str = "time_used") -> DataFrame:
     """Elapsed time as it adds up from month to month."""
-    return results.withColumn("elapsed", F.sum(value).over(ALONG.rowsBetween(W.unboundedPreceding, 0)))
+    return results.withColumn("elapsed", F.sum(value).over(along().rowsBetween(W.unboundedPreceding, 0)))

@@ -236,9 +236,9 @@ def robustness_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(gaps, "gap", "gap_all"), "performance", "robustness", digits=6)
 
 
-@query("coverage_check", f"""WITH {q.AVERAGES} SELECT dataset, model, n_months FROM averages WHERE n_months < 75""")
+@query("coverage_check", f"""WITH {q.AVERAGES} SELECT dataset, model, n_months FROM averages WHERE n_months < 83""")
 def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.coverage(r.period_averages(base(spark, sf_dir)))
+    return r.coverage(r.period_averages(base(spark, sf_dir)), len(MONTHS))
 
 
 def sql_digits(x: str, digits: int) -> str:
