@@ -96,7 +96,8 @@ def _pieces(spans: DataFrame, begin: Column, width: int) -> DataFrame:
 
 
 def explode_chunks(chunks: DataFrame, *extra: str) -> DataFrame:
-    return chunks.select(*KEYS, "chunk_id", *extra, F.posexplode("toks").alias("off", "tok"))
+    """One row per position of a window; windows are never empty."""
+    return chunks.select(*KEYS, "chunk_id", *extra, F.posexplode_outer("toks").alias("off", "tok"))
 
 
 def batch_of(chunk_id: Column, batch_size: int) -> Column:

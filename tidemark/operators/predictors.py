@@ -18,6 +18,7 @@ from tidemark.functions import fixed
 from tidemark.operators.chunks import explode_chunks, scored
 from tidemark.operators.pmf import code_length
 from tidemark.operators.skew import lookup_weighted
+from tidemark.sources.stages import materialise
 
 KEYS = ["dataset", "month"]
 
@@ -65,11 +66,15 @@ def unigram_bits(docs: DataFrame, cutoff: str = fixed.TEST_YEAR_START) -> DataFr
 
 
 def vocabulary(docs: DataFrame, cutoff: str = fixed.TEST_YEAR_START) -> DataFrame:
-    """Per token: `n` occurrences in all months and `c` in the training months."""
-    rows = docs.select("month", F.explode("toks").alias("tok"))
-    return rows.groupBy("tok").agg(
+    """Train a unigram model: per token `n` occurrences in all months and `c` in the training months.
+
+    The model is a written table, one row per distinct token.
+    """
+    rows = docs.select("month", F.explode_outer("toks").alias("tok")).where(F.col("tok").isNotNull())
+    counts = rows.groupBy("tok").agg(
         F.count("*").alias("n"), F.sum((F.col("month") < cutoff).cast("bigint")).alias("c")
     )
+    return materialise(counts, "vocabulary")
 
 
 def _unigram_size(vocab: DataFrame) -> Column:
@@ -82,22 +87,22 @@ def bigram_bits(
 ) -> DataFrame:
     """Bits per month under weight * c(prev, tok)/c(prev) + (1-weight) * unigram.
 
-    A pair never crosses a chunk.  Pairs are counted per month first; the model is
-    then joined to distinct pairs, not to positions.
+    A pair never crosses a chunk.  Pairs are counted per month and written once; the
+    model is then joined to distinct pairs, not to positions.
     """
-    prev = F.transform(F.slice("toks", 1, F.size("toks") - 1), lambda t, i: F.struct(
-        t.alias("prev"), F.element_at("toks", i + 2).alias("tok")
-    ))
+    n = F.size("toks") - 1
+    neighbours = F.arrays_zip(F.slice("toks", F.lit(1), n).alias("prev"), F.slice("toks", F.lit(2), n).alias("tok"))
     pairs = (
-        chunks.where(F.size("toks") > 1).select(*KEYS, F.explode(prev).alias("pair"))
+        chunks.select(*KEYS, F.explode_outer(neighbours).alias("pair")).where(F.col("pair").isNotNull())
         .groupBy("pair.prev", "pair.tok", *KEYS).agg(F.count("*").alias("k"))
     )
     train = F.when(F.col("month") < cutoff, F.col("k")).otherwise(F.lit(0))
     of_pair = W.partitionBy("prev", "tok")
-    pairs = pairs.withColumn("c_pair", F.sum(train).over(of_pair))
+    pairs = materialise(pairs.withColumn("c_pair", F.sum(train).over(of_pair)), "pairs")
 
     def stats(column: str) -> DataFrame:
-        return pairs.groupBy(column).agg(F.sum("k").alias("n"), F.sum(train).alias("c"))
+        counts = pairs.groupBy(column).agg(F.sum("k").alias("n"), F.sum(train).alias("c"))
+        return materialise(counts, f"pairs-{column}")
 
     by_prev = stats("prev").select(F.col("prev").alias("_prev"), "n", F.col("c").alias("c_prev"))
     by_tok = stats("tok").select(F.col("tok").alias("_tok"), "n", "c")
@@ -122,7 +127,8 @@ def cache_bits(
     The windows of a chunk are already together, so counting earlier equal tokens adds
     no shuffle.  Only counted positions go on to the vocabulary.
     """
-    along = W.partitionBy(*KEYS, "chunk_id", "tok").orderBy("off")
+    # The token leads the sort order, as most rows differ in it.
+    along = W.partitionBy("tok", "chunk_id", *KEYS).orderBy("off")
     rows = explode_chunks(chunks).withColumn("earlier", F.row_number().over(along) - 1)
     rows = rows.where(scored(F.col("off"), F.col("chunk_id"), context, stride, batch_size))
     joined = lookup_weighted(

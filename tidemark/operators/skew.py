@@ -26,16 +26,12 @@ def lookup_weighted(
         F.col(stat_key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in columns]
     )
     cold = stats.select(
-        F.col(stat_key).alias("_cold_key"), F.lit(-1).alias("_cold_salt"),
-        *[F.col(c).alias(f"_cold_{c}") for c in columns],
+        F.concat(F.lit("k"), stat_key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in columns],
     )
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    served = F.col("_hot_key").isNotNull()
-    routed = first.withColumns({
-        "_key": F.when(~served, F.col(key)),
-        "_salt": F.when(served, F.pmod(F.hash(*spread_by), F.lit(SPREAD))).otherwise(F.lit(-1)),
-    })
-    matches = (F.col("_key") == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt"))
-    both = routed.join(cold, matches, "left")
+    salt = F.concat(F.lit("s"), F.pmod(F.hash(*spread_by), F.lit(SPREAD)).cast("string"))
+    route = F.when(F.col("_hot_key").isNotNull(), salt).otherwise(F.concat(F.lit("k"), key))
+    routed = first.withColumn("_route", route)
+    both = routed.join(cold, F.col("_route") == F.col("_cold_key"), "left")
     picked = [F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in columns]
     return both.select(*rows.columns, *picked)

@@ -15,9 +15,14 @@ ORDER = ["doc_ord", "unit_ord"]
 
 
 def explode_units(docs: DataFrame, units: Column) -> DataFrame:
-    """One row per unit; documents without units vanish."""
+    """One row per unit; documents without units vanish.
+
+    The outer form is on purpose: for the inner one the optimizer adds a filter that
+    splits every text a second time.
+    """
     kept = [c for c in docs.columns if c not in ("text", "units")]
-    return docs.select(*kept, F.posexplode(units).alias("unit_ord", "unit"))
+    rows = docs.select(*kept, F.posexplode_outer(units).alias("unit_ord", "unit"))
+    return rows.where(F.col("unit_ord").isNotNull())
 
 
 def sentence_units(docs: DataFrame, per_document: int | None = None) -> DataFrame:
