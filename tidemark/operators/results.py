@@ -208,7 +208,7 @@ def tokenizer_efficiency(results: DataFrame, models: list[str] = fixed.TOKENIZER
     """Token count recovered from size and bits per token, with mean bpt and bpb, in the test year."""
     kept = results.where(F.col("model").isin(models) & is_test(F.col("month")))
     return kept.groupBy("dataset", "model").agg(
-        F.sum(F.col("compressed_size") * 8 / F.col("bpt")).alias("total_tokens"),
+        F.sum(F.try_divide(F.col("compressed_size") * 8, "bpt")).alias("total_tokens"),
         F.avg("bpt").alias("mean_bpt"),
         F.avg("bpb").alias("mean_bpb"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fixed
 from tidemark.operators import results as r
 from tidemark.operators import series
+from tidemark.operators.pmf import coded_bytes
 from tidemark.plans import sqltext as q
 from tidemark.plans.registry import query
 from tidemark.session import shared_folder
@@ -343,7 +344,7 @@ def big_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT dataset, model, compressed_size, compressed_size * 8 / num_tokens AS bpt,
              compressed_size * 8 / original_size AS bpb FROM results
       WHERE model IN {q.literals(fixed.TOKENIZER_MODELS)} AND month BETWEEN '2023-01' AND '2023-11')
-SELECT dataset, model, round(sum(compressed_size * 8 / bpt), 3) AS total_tokens, round(avg(bpt), 6) AS mean_bpt,
+SELECT dataset, model, round(sum(compressed_size * 8 / nullif(bpt, 0)), 3) AS total_tokens, round(avg(bpt), 6) AS mean_bpt,
        round(avg(bpb), 8) AS mean_bpb FROM m GROUP BY ALL""")
 def tokenizer_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).withColumns({
@@ -363,7 +364,7 @@ def metric_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir)
     model = rows.select(*KEYS, "ratio", "original_size")
     coder = r.drop_codecs(rows).select(
-        *KEYS, (F.ceil((F.col("compressed_size") * 8 + 2) / 8) / F.col("original_size")).alias("ratio"), "original_size"
+        *KEYS, F.try_divide(coded_bytes(F.col("compressed_size") * 8), "original_size").alias("ratio"), "original_size"
     )
     return rounded(r.metric_families(model, coder), "ratio", "ac_ratio")
 
@@ -390,7 +391,7 @@ def exp_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("drift_vs_first", f"""WITH {q.RESULTS}
-SELECT dataset, model, month, round(ratio / first_value(ratio) OVER (PARTITION BY dataset, model ORDER BY month) - 1, 8) AS drift
+SELECT dataset, model, month, round(ratio / nullif(first_value(ratio) OVER (PARTITION BY dataset, model ORDER BY month), 0) - 1, 8) AS drift
 FROM results""")
 def drift_vs_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.drift_vs_first(base(spark, sf_dir)).select(*KEYS, "drift"), "drift")

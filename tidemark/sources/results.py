@@ -129,4 +129,4 @@ def line_results(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
         F.sum("num_tokens").alias("num_tokens"),
         F.sum("batches").alias("batches"),
     )
-    return summed.withColumn("ratio", F.col("compressed_size") / F.col("original_size"))
+    return summed.withColumn("ratio", F.try_divide("compressed_size", "original_size"))
