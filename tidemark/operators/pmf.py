@@ -43,7 +43,9 @@ def symbol_index(sym: Column, allowed: list[int]) -> Column:
 
 
 def code_length(p: Column) -> Column:
-    return -F.log2(F.greatest(p, F.lit(fixed.PROBABILITY_FLOOR)))
+    """Bits of a probability, clamped from below; NULL stays NULL."""
+    floor = F.lit(fixed.PROBABILITY_FLOOR)
+    return -F.log2(F.when(p < floor, floor).otherwise(p))
 
 
 def predicted(df: DataFrame) -> DataFrame:

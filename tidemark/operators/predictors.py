@@ -143,15 +143,14 @@ def cache_bits(
 def external_bits(chunks: DataFrame, scores: DataFrame) -> DataFrame:
     """Bits per month from a table of log2 p per (dataset, month, chunk_id, off).
 
-    A window position without a score is an error of the input, so it is counted.
+    A window position without a score is an error of the input: it adds no bits and is counted.
     """
     rows = explode_chunks(chunks).where(F.col("off") >= 1)
     joined = rows.join(scores, [*KEYS, "chunk_id", "off"], "left")
-    floor = F.lit(fixed.PROBABILITY_FLOOR)
     return joined.groupBy(*KEYS).agg(
         F.count("*").alias("n_scored"),
         F.sum(F.col("log2_p").isNull().cast("bigint")).alias("n_missing"),
-        F.sum(-F.greatest(F.col("log2_p"), F.log2(floor))).alias("bits"),
+        F.sum(code_length(F.pow(F.lit(2.0), "log2_p"))).alias("bits"),
     )
 
 

@@ -9,10 +9,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "tidemark") -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
     """A session for one machine; a cluster passes its own session instead."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -22,8 +22,10 @@ def local_session(cpus: int | str = "*", app: str = "tidemark") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
