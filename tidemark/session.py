@@ -37,3 +37,19 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
     return f"{root.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
+
+
+def _storage(spark: SparkSession, path: str):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
+
+
+def is_lone_file(spark: SparkSession, path: str) -> bool:
+    system, location = _storage(spark, path)
+    return system.exists(location) and system.getFileStatus(location).isFile()
+
+
+def has_folders(spark: SparkSession, path: str) -> bool:
+    """Has a partitioned table been written here?"""
+    system, location = _storage(spark, path)
+    return system.exists(location) and any(s.isDirectory() for s in system.listStatus(location))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.periods import month_of, shift_months
+from tidemark.session import is_lone_file
 
 KEYS = ["dataset", "month"]
 
@@ -42,16 +43,16 @@ def catalog(spark: SparkSession, root: str = "corpora") -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, modality string, recipe string, path string")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread the rows of a table that lies in fewer files than there are cores.
+def read_table(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
+    """Columns of a parquet table; a lone file is hash-spread over the cores.
 
-    A single small file is otherwise read, and tokenized, by one task.  A table with
-    many files is left alone, so a large corpus is never shuffled for this.
+    A small file is otherwise read, and tokenized, by one task.  A folder of files is
+    left alone, so a large corpus is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    df = spark.read.parquet(path).select(*columns)
+    if not is_lone_file(spark, path):
         return df
-    return df.repartition(cores, key)
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
 # --- corpora made from the given tables -------------------------------------
@@ -63,8 +64,8 @@ def month_slot(ordinal: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents.parquet as a corpus: language is the dataset, doc_id the order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return spread(docs, "doc_id").select(
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "doc_id", "lang", "text")
+    return docs.select(
         F.col("lang").alias("dataset"),
         month_slot(F.col("doc_id")).alias("month"),
         F.col("doc_id").alias("doc_ord"),
@@ -74,8 +75,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages.parquet as a byte corpus."""
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return spread(raw, "page_id").select(
+    raw = read_table(spark, f"{sf_dir}/pages.parquet", "page_id", "page_id", "html")
+    return raw.select(
         F.lit("audio").alias("dataset"),
         month_slot(F.col("page_id")).alias("month"),
         F.col("page_id").alias("doc_ord"),
@@ -85,7 +86,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
     """embeddings.parquet as 8 x 8 grey images, row-major."""
-    raw = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    raw = read_table(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "vec_id", "embedding")
     return raw.select(
         F.lit("bbc_image").alias("dataset"),
         month_slot(F.col("vec_id")).alias("month"),
@@ -97,7 +98,7 @@ def images(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str, chunk: int = 16) -> DataFrame:
     """embeddings.parquet as model output: 64 logits per position, label = observed symbol."""
-    raw = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id")
+    raw = read_table(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "vec_id", "embedding", "label")
     return raw.select(
         month_slot(F.floor(F.col("vec_id") / chunk)).alias("month"),
         F.floor(F.col("vec_id") / chunk).alias("chunk_id"),

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import fixed
+from tidemark.session import has_folders
 from tidemark.sources.stages import todo
 
 KEYS = ["dataset", "month"]
@@ -51,8 +52,7 @@ def process_new_keys(
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        done = _existing(spark, target)
-        fresh = df if done is None else todo(df, done, keys)
+        fresh = todo(df, spark.read.parquet(target), keys) if has_folders(spark, target) else df
         (
             process(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys).parquet(target)
@@ -61,14 +61,6 @@ def process_new_keys(
     return _start(stream.writeStream.foreachBatch(batch), root)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None when nothing has been written there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    written = system.exists(folder) and any(s.isDirectory() for s in system.listStatus(folder))
-    return spark.read.parquet(path) if written else None
-
-
 # --- running totals ---------------------------------------------------------
 def running_totals(stream: DataFrame, keys: list[str], sums: dict[str, F.Column], root: str) -> StreamingQuery:
     """Sums per key in update mode; each batch leaves the rows it changed."""
