@@ -20,7 +20,8 @@ def corpus(spark, lengths=LENGTHS, step=70000):
             toks, doc = toks[size:], doc + 1
         data.append(("d", f"m{n}", doc * step, []))
     df = spark.createDataFrame(data, "dataset string, month string, doc_ord bigint, toks array<string>")
-    return df.withColumn("n_toks", F.size("toks")).withColumn("text", F.array_join("toks", " "))
+    text = F.array_join("toks", " ")
+    return df.withColumns({"n_toks": F.size("toks"), "n_chars": F.length(text), "n_bytes": F.octet_length(text)})
 
 
 def collected(df):

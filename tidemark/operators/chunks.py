@@ -105,15 +105,19 @@ def batch_of(chunk_id: Column, batch_size: int) -> Column:
     return F.floor(chunk_id / batch_size)
 
 
-def scored(off: Column, chunk_id: Column, context: int, stride: int | None = None, batch_size: int = 1) -> Column:
-    """Is the token at `off` predicted and counted?
+def first_scored(chunk_id: Column, context: int, stride: int | None = None, batch_size: int = 1) -> Column:
+    """First offset of a window that is predicted and counted.
 
-    Without stride all but the first of a window.  With stride the windows of the
-    first batch count like that, later ones only their last stride-1 tokens.
+    The token at offset 0 has no context.  With stride the windows of the first batch
+    count like that, later ones only their last stride-1 tokens.
     """
     if stride is None:
-        return off >= 1
-    return ((batch_of(chunk_id, batch_size) == 0) & (off >= 1)) | (off >= context - stride + 1)
+        return F.lit(1)
+    return F.when(batch_of(chunk_id, batch_size) == 0, F.lit(1)).otherwise(F.lit(context - stride + 1))
+
+
+def scored(off: Column, chunk_id: Column, context: int, stride: int | None = None, batch_size: int = 1) -> Column:
+    return off >= first_scored(chunk_id, context, stride, batch_size)
 
 
 # --- metadata ---------------------------------------------------------------
@@ -122,8 +126,8 @@ def text_metadata(
 ) -> DataFrame:
     """Counts per month that metrics divide by: windows, tokens, characters and bytes.
 
-    `docs` carries text and its tokens.  The text of the dropped tail is the text of
-    its tokens.
+    `docs` are tokenized documents.  The text of the dropped tail is the text of its
+    tokens.
     """
     placed = running_total(
         docs, KEYS, ["doc_ord"], "n_toks", ordinal_bucket(), out="start", total="n_stream"
@@ -138,8 +142,8 @@ def text_metadata(
     per_key = placed.withColumn("_tail", tail).groupBy(*KEYS).agg(
         F.max("n_stream").alias("n_stream"),
         F.count("*").alias("_docs"),
-        F.sum(F.length("text")).alias("_chars"),
-        F.sum(F.octet_length("text")).alias("_bytes"),
+        F.sum("n_chars").alias("_chars"),
+        F.sum("n_bytes").alias("_bytes"),
         F.sum(F.length("_tail")).alias("dropped_chars"),
         F.sum(F.octet_length("_tail")).alias("dropped_bytes"),
     )

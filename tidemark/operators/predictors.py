@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
-from tidemark.operators.chunks import explode_chunks, scored
+from tidemark.operators.chunks import explode_chunks, first_scored
 from tidemark.operators.pmf import code_length
 from tidemark.operators.skew import lookup_weighted
 from tidemark.sources.stages import materialise
@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     The bytes travel with the first token of each document, so text is read once.  A
     document without tokens gives a NULL token that carries its bytes.
     """
-    rows = docs.select(*KEYS, F.octet_length("text").alias("_size"), F.posexplode_outer("toks").alias("_pos", "tok"))
+    rows = docs.select(*KEYS, F.col("n_bytes").alias("_size"), F.posexplode_outer("toks").alias("_pos", "tok"))
     return rows.groupBy("tok", *KEYS).agg(
         F.count("tok").alias("k"),
         F.sum(F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_size")).otherwise(F.lit(0))).alias("n_bytes"),
@@ -118,19 +118,62 @@ def bigram_bits(
 
 
 # --- in-window cache --------------------------------------------------------
+SLICE_TOKENS = 500_000
+
+
+def _earlier(windows: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Window number, offset, count of earlier equal tokens, and token of every position."""
+    flat = windows.flatten()
+    sizes = windows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.arange(len(row))
+    off = n - (np.cumsum(sizes) - sizes)[row]
+    code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # Equal tokens of a window become neighbours; the place in their run is the count.
+    same = row * (code.max(initial=0) + 1) + code
+    order = np.argsort(same, kind="stable")
+    run = same[order]
+    opens = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else np.zeros(0, dtype=bool)
+    earlier = np.empty(len(row), dtype=np.int64)
+    earlier[order] = n - np.maximum.accumulate(np.where(opens, n, 0))
+    return row, off, earlier, flat
+
+
+def earlier_counts(chunks: DataFrame, context: int, stride: int | None = None, batch_size: int = 1) -> DataFrame:
+    """Counted positions of each window with how often their token came before in it.
+
+    A window has its tokens in one row, so this needs no shuffle and no sort of token
+    rows.  It runs on Arrow batches, in slices of bounded size.
+    """
+    rows = chunks.select(
+        *KEYS, "chunk_id", first_scored(F.col("chunk_id"), context, stride, batch_size).alias("first"), "toks"
+    )
+    step = max(1, SLICE_TOKENS // context)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                row, off, earlier, flat = _earlier(part.column("toks"))
+                kept = np.flatnonzero(off >= part.column("first").to_numpy()[row])
+                keys = part.select([*KEYS, "chunk_id"]).take(pa.array(row[kept]))
+                yield pa.RecordBatch.from_arrays(
+                    [*keys.columns, pa.array(off[kept].astype(np.int32)), flat.take(pa.array(kept)),
+                     pa.array(earlier[kept])],
+                    names=[*KEYS, "chunk_id", "off", "tok", "earlier"],
+                )
+
+    return rows.mapInArrow(
+        count, "dataset string, month string, chunk_id bigint, off int, tok string, earlier bigint"
+    )
+
+
 def cache_bits(
     chunks: DataFrame, vocab: DataFrame, context: int, stride: int | None = None,
     batch_size: int = 1, weight: float = 0.5,
 ) -> DataFrame:
-    """Bits per month when p mixes a unigram with the token's share of the window so far.
-
-    The windows of a chunk are already together, so counting earlier equal tokens adds
-    no shuffle.  Only counted positions go on to the vocabulary.
-    """
-    # The token leads the sort order, as most rows differ in it.
-    along = W.partitionBy("tok", "chunk_id", *KEYS).orderBy("off")
-    rows = explode_chunks(chunks).withColumn("earlier", F.row_number().over(along) - 1)
-    rows = rows.where(scored(F.col("off"), F.col("chunk_id"), context, stride, batch_size))
+    """Bits per month when p mixes a unigram with the token's share of the window so far."""
+    rows = earlier_counts(chunks, context, stride, batch_size)
     joined = lookup_weighted(
         rows, vocab.withColumnRenamed("tok", "_tok"), "tok", "_tok", "n", ["c"], ["chunk_id", "off"]
     )
@@ -165,7 +208,7 @@ def batch_predictor_bits(chunks: DataFrame, predict: Callable[[list[np.ndarray]]
         for batch in batches:
             toks = batch.column("toks")
             flat = np.asarray(toks.flatten().to_pandas(), dtype=object)
-            ends = np.cumsum(np.asarray(pa.compute.list_value_length(toks)))
+            ends = np.cumsum(toks.value_lengths().to_numpy(zero_copy_only=False))
             windows = np.split(flat, ends[:-1]) if len(ends) else []
             bits = np.asarray(predict(windows), dtype=np.float64)
             yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, text
 from tidemark.operators.prefix import first_rows, hash_bucket, ordinal_bucket, running_total
+from tidemark.sources.stages import materialise
 
 KEYS = ["dataset", "month"]
 ORDER = ["doc_ord", "unit_ord"]
@@ -99,5 +100,16 @@ def build_stream(units: DataFrame, budget: int = fixed.TEXT_BUDGET, spaced: bool
 
 
 def tokenize(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Word tokens per document, in order."""
-    return docs.withColumn("toks", text.words(F.col(column))).withColumn("n_toks", F.size("toks"))
+    """Word tokens per document, in order, with the sizes of the text they stand for."""
+    kept = [c for c in docs.columns if c != column]
+    return docs.select(
+        *kept,
+        F.length(column).alias("n_chars"),
+        F.octet_length(column).alias("n_bytes"),
+        text.words(F.col(column)).alias("toks"),
+    ).withColumn("n_toks", F.size("toks"))
+
+
+def token_cache(docs: DataFrame) -> DataFrame:
+    """Tokenize once into a written table, for work that goes over the tokens more than once."""
+    return materialise(tokenize(docs), "tokens")

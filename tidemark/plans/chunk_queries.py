@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunks as c
-from tidemark.operators.units import tokenize
+from tidemark.operators.units import token_cache
 from tidemark.plans import sqltext as q
 from tidemark.plans.registry import query
 from tidemark.sources import corpus
@@ -16,7 +16,7 @@ CONTEXT, NARROW, STRIDE, BATCH = 256, 64, 16, 4
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(corpus.documents(spark, sf_dir))
+    return token_cache(corpus.documents(spark, sf_dir))
 
 
 def digests(chunks: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ size AS (SELECT dataset, month, sum(strlen(text))::BIGINT AS n_bytes FROM corpus
 SELECT dataset, month, n_tokens, n_bytes, round(bits, 3) AS bits, round(bits / n_bytes, 6) AS bpb,
        round(bits / n_tokens, 6) AS bpt FROM bits JOIN size USING (dataset, month)""")
 def unigram_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = predictors.unigram_bits(tokens(spark, sf_dir), CUTOFF)
+    bits = predictors.unigram_bits(units.tokenize(corpus.documents(spark, sf_dir)), CUTOFF)
     return bits.select(
         *KEYS, "n_tokens", "n_bytes", F.round("bits", 3).alias("bits"),
         F.round(F.try_divide("bits", "n_bytes"), 6).alias("bpb"),
@@ -229,10 +229,10 @@ FROM bits JOIN meta USING (dataset, month)""")
 def compression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of one model, from its bits and the counts of the corpus."""
     docs = tokens(spark, sf_dir)
-    bits = predictors.unigram_bits(docs, CUTOFF)
+    bits = predictors.unigram_bits(docs, CUTOFF).drop("n_bytes")
     counts = docs.groupBy(*KEYS).agg(
-        (F.sum(F.octet_length("text")) + F.count("*") - 1).alias("num_bytes"),
-        (F.sum(F.length("text")) + F.count("*") - 1).alias("num_chars"),
+        (F.sum("n_bytes") + F.count("*") - 1).alias("num_bytes"),
+        (F.sum("n_chars") + F.count("*") - 1).alias("num_chars"),
     )
     meta = bits.join(counts, KEYS).withColumns({
         "num_tokens": F.col("n_tokens"), "num_chunks": F.floor(F.col("n_tokens") / CONTEXT),
