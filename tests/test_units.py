@@ -70,6 +70,14 @@ def test_budget_stops_at_the_first_unit_that_does_not_fit(spark, budget):
     assert [r.unit for r in rows.orderBy("doc_ord").collect()] == kept
     stream = units.build_stream(units.whole_units(docs(spark, texts)), budget).collect()
     assert [r.stream for r in stream] == ([" ".join(kept)] if kept else [])
+    tight = units.build_stream(units.whole_units(docs(spark, texts)), budget, spaced=False).collect()
+    assert [r.stream for r in tight] == (["".join(kept)] if kept else [])
+
+
+@pytest.mark.parametrize("texts", [["", "", "a", "", "", "b", "", ""], ["", "", ""], ["a"], [""]])
+def test_empty_units_leave_their_spaces(spark, texts):
+    row = units.build_stream(units.whole_units(docs(spark, texts))).first()
+    assert (row.stream, row.n_units) == (" ".join(texts), len(texts))
 
 
 def test_recipes(spark):

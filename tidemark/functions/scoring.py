@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip
 
+WHOLE_WORD = r"(^|[^\p{{L}}\p{{N}}_]){}($|[^\p{{L}}\p{{N}}_])"
+
 
 # --- answers ----------------------------------------------------------------
 def contains_answer(out: Column, ref_answer: Column) -> Column:
@@ -19,7 +21,7 @@ def verdict(text: Column, whole_words: bool = False) -> Column:
     """true on 'yes', else false on 'no', else NULL; by substring unless asked otherwise."""
     low = F.lower(text)
     if whole_words:
-        yes, no = low.rlike(r"\byes\b"), low.rlike(r"\bno\b")
+        yes, no = low.rlike(WHOLE_WORD.format("yes")), low.rlike(WHOLE_WORD.format("no"))
     else:
         yes, no = low.contains("yes"), low.contains("no")
     return F.when(yes, F.lit(True)).when(no, F.lit(False))

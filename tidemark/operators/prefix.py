@@ -33,29 +33,36 @@ def hash_bucket(hashed: str, digits: int = 3) -> Column:
 
 def running_total(
     df: DataFrame, keys: list[str], order: list[str], value: Column | str, bucket: Column,
-    out: str = "before", total: str | None = None, limit: int | None = None,
+    out: str = "before", total: str | None = None, limit: int | None = None, index: str | None = None,
 ) -> DataFrame:
     """Add `out`, the sum of `value` over earlier rows of the key, 0 for the first row.
 
-    `total` adds the sum of the whole key.  `limit` drops rows of buckets whose base
-    is already above it; rows at or below the limit are all kept.
+    `total` adds the sum of the whole key and `index` the number of earlier rows.
+    `limit` drops rows of buckets whose base is already above it; rows at or below the
+    limit are all kept.
     """
     value = F.col(value) if isinstance(value, str) else value
     tagged = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("bigint"))
 
-    sums = tagged.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
+    sums = tagged.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"), F.count("*").alias("_rows"))
     along = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(along), F.lit(0)))
+    if index is not None:
+        bases = bases.withColumn("_first", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
     if total is not None:
         bases = bases.withColumn(total, F.sum("_sum").over(W.partitionBy(*keys)))
     if limit is not None:
         bases = bases.where(F.col("_base") <= limit)
-    bases = bases.drop("_sum")
+    bases = bases.drop("_sum", "_rows")
 
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     joined = tagged.join(bases, [*keys, "_bucket"])
     local = F.coalesce(F.sum("_value").over(inside), F.lit(0))
-    return joined.withColumn(out, F.col("_base") + local).drop("_bucket", "_value", "_base")
+    added = joined.withColumn(out, F.col("_base") + local)
+    if index is not None:
+        place = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))
+        added = added.withColumn(index, F.col("_first") + place - 1)
+    return added.drop("_bucket", "_value", "_base", "_first")
 
 
 def first_rows(

@@ -36,14 +36,19 @@ def attempts(
     articles: DataFrame, responses: DataFrame, prompt: Column, n: int = fixed.QUIZ_EXAMPLES,
     seed: int = fixed.SHUFFLE_SEED,
 ) -> DataFrame:
-    """Articles of a month in seeded order with prompt and parsed response, until n parse."""
-    asked = articles.withColumns({
-        "shuffle_key": text.seeded_hash(F.col("doc_ord"), seed), "prompt": prompt,
-    }).join(responses, [*KEYS, "doc_ord"])
-    parsed = asked.withColumn("response", parse_qa(F.col("response_text"))).drop("response_text")
-    return until_n_successes(
+    """Articles of a month in seeded order with prompt and parsed response, until n parse.
+
+    Where to stop follows from the responses alone, each of which belongs to an
+    article.  Articles come in last, so only the texts of the few that are kept move.
+    """
+    parsed = responses.select(
+        *KEYS, "doc_ord", text.seeded_hash(F.col("doc_ord"), seed).alias("shuffle_key"),
+        parse_qa(F.col("response_text")).alias("response"),
+    )
+    kept = until_n_successes(
         parsed, KEYS, ["shuffle_key", "doc_ord"], F.col("response").isNotNull(), n, hash_bucket("shuffle_key")
     )
+    return articles.join(kept, [*KEYS, "doc_ord"]).withColumn("prompt", prompt)
 
 
 def dated(question: Column, published: Column) -> Column:

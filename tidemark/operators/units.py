@@ -82,21 +82,46 @@ def byte_budget(units: DataFrame, budget: int = fixed.TEXT_BUDGET) -> DataFrame:
     """Units of each month up to the first one that would exceed the byte budget.
 
     Sizes do not include the joining spaces.  The running size never falls, so the
-    filter keeps exactly the units before the first that does not fit.
+    filter keeps exactly the units before the first that does not fit.  `place` counts
+    the units of the month from 0.
     """
     sized = units.withColumn("n_bytes", F.octet_length("unit"))
-    placed = running_total(sized, KEYS, ORDER, "n_bytes", ordinal_bucket(), out="start", limit=budget)
+    placed = running_total(
+        sized, KEYS, ORDER, "n_bytes", ordinal_bucket(), out="start", limit=budget, index="place"
+    )
     return placed.where(F.col("start") + F.col("n_bytes") <= budget)
 
 
 def build_stream(units: DataFrame, budget: int = fixed.TEXT_BUDGET, spaced: bool = True) -> DataFrame:
-    """The joined text of each month.  The budget bounds it, so one row can hold it."""
+    """The joined text of each month.
+
+    Only units with text are collected, each at least one byte of the budget, so the
+    budget bounds the group.  Empty units leave their joining space, which follows
+    from the places of their neighbours.
+    """
     kept = byte_budget(units, budget)
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "unit"))), lambda u: u["unit"]),
-        " " if spaced else "",
+    filled = F.when(F.col("n_bytes") > 0, F.struct("place", "unit"))
+    months = kept.groupBy(*KEYS).agg(
+        F.count("*").alias("n_units"), F.array_sort(F.collect_list(filled)).alias("parts")
+    )
+    if not spaced:
+        return months.select(
+            *KEYS, F.array_join(F.transform("parts", lambda p: p["unit"]), "").alias("stream"), "n_units"
+        )
+    checked = F.when(F.col("n_units") <= 2 * budget, F.col("n_units")).otherwise(
+        F.raise_error(F.concat(F.lit("too many empty units in "), *KEYS))
     )
-    return kept.groupBy(*KEYS).agg(joined.alias("stream"), F.count("*").alias("n_units"))
+
+    def gap(last: Column, first: Column) -> Column:
+        return F.repeat(F.lit(" "), (last - first).cast("int"))
+
+    def with_gap(part: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at("parts", F.greatest(i, F.lit(1)))["place"]).otherwise(F.lit(0))
+        return F.concat(gap(part["place"], before), part["unit"])
+
+    last = F.coalesce(F.try_element_at("parts", F.lit(-1))["place"], F.lit(0))
+    stream = F.concat(F.array_join(F.transform("parts", with_gap), ""), gap(F.col("n_units") - 1, last))
+    return months.withColumn("n_units", checked).select(*KEYS, stream.alias("stream"), "n_units")
 
 
 def tokenize(docs: DataFrame, column: str = "text") -> DataFrame:

@@ -128,7 +128,8 @@ def date_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("parse_verdict", f"""SELECT conv_id, turn, {q.verdict('text')} AS verdict,
-       CASE WHEN regexp_matches(lower(text), '\\byes\\b') THEN true WHEN regexp_matches(lower(text), '\\bno\\b') THEN false END AS strict
+       CASE WHEN regexp_matches(lower(text), {q.literal(scoring.WHOLE_WORD.format('yes'))}) THEN true
+            WHEN regexp_matches(lower(text), {q.literal(scoring.WHOLE_WORD.format('no'))}) THEN false END AS strict
 FROM conversations""")
 def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -243,7 +243,7 @@ def compression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({name: F.round(name, n) for name, n in digits.items()})
 
 
-# --- codecs and batch functions: no SQL can say these ------------------------
+# --- codecs and batch functions ----------------------------------------------
 @query("codec_baseline")
 def codec_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = units.build_stream(units.whole_units(corpus.documents(spark, sf_dir)))
@@ -251,7 +251,11 @@ def codec_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.withColumn("ratio", F.round(F.try_divide("compressed_size", "stream_bytes"), 6))
 
 
-@query("udf_predictor")
+@query("udf_predictor", f"""WITH {q.TOKENS},
+k AS (SELECT dataset, month, pos // {CONTEXT} AS chunk_id, tok, count(*) AS k FROM pos JOIN total USING (dataset, month)
+      WHERE pos // {CONTEXT} < (n - 1) // {CONTEXT} GROUP BY ALL)
+SELECT dataset, month, count(DISTINCT chunk_id) AS n_chunks, round(sum(-k * log2(k / {CONTEXT})), 3) AS bits
+FROM k GROUP BY ALL""")
 def udf_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = c.fixed_chunks(tokens(spark, sf_dir), CONTEXT)
     bits = predictors.batch_predictor_bits(cut, predictors.window_entropy_bits)

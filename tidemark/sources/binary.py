@@ -26,7 +26,7 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def byte_stream(records: DataFrame, column: str, budget: int) -> DataFrame:
     """The first `budget` bytes of each month's records, in order, as one binary value."""
-    sized = records.withColumn("n_bytes", F.octet_length(column))
+    sized = records.withColumn("n_bytes", F.octet_length(column)).where(F.col("n_bytes") > 0)
     placed = running_total(
         sized, KEYS, ["doc_ord"], "n_bytes", ordinal_bucket(), out="start", limit=budget
     ).where(F.col("start") < budget)
