@@ -97,14 +97,12 @@ def default_visible(label: Column, task: Column) -> Column:
 def complete_models(results: DataFrame) -> DataFrame:
     """Series that have a value in every month of their dataset.
 
-    Months per dataset and values per series are counted on aggregates; the join is
-    between two tables of series.
+    Two windows over the records, so what made the records is computed once.  A window
+    holds one row per model and month of a dataset.
     """
-    # (dataset, month, model) is unique, so a series has count(ratio) months.
-    series = results.groupBy("dataset", "model").agg(F.count("ratio").alias("_have"))
-    months = results.groupBy("dataset").agg(F.count_distinct("month").alias("_want"))
-    complete = series.join(months, "dataset").where(F.col("_have") == F.col("_want"))
-    return results.join(complete.select("dataset", "model"), ["dataset", "model"], "left_semi")
+    wanted = F.size(F.collect_set("month").over(W.partitionBy("dataset")))
+    found = F.count("ratio").over(W.partitionBy("dataset", "model"))
+    return results.withColumns({"_want": wanted, "_have": found}).where("_have = _want").drop("_want", "_have")
 
 
 # --- periods ----------------------------------------------------------------
@@ -163,9 +161,9 @@ def pivot_months(results: DataFrame, months: list[str], value: str = "ratio") ->
 
 def task_matrix(results: DataFrame, driving: str, tasks: list[str], value: str = "ratio") -> DataFrame:
     """Average per task for each model of the driving dataset; other tasks may be empty."""
-    models = results.where(F.col("dataset") == driving).select("model").distinct()
-    wide = results.groupBy("model").pivot("dataset", tasks).agg(F.avg(value))
-    return models.join(wide, "model", "left")
+    averages = [F.avg(F.when(F.col("dataset") == task, F.col(value))).alias(task) for task in tasks]
+    wide = results.groupBy("model").agg(F.count_if(F.col("dataset") == driving).alias("_driving"), *averages)
+    return wide.where("_driving > 0").drop("_driving")
 
 
 def context_matrix(results: DataFrame, variants: list[str] = fixed.CONTEXT_VARIANTS) -> DataFrame:
@@ -240,11 +238,17 @@ def range_stats(gaps: DataFrame, padding: float = 0.05) -> DataFrame:
 
 
 def quadrants(gaps: DataFrame) -> DataFrame:
-    """Side of the midpoints each series falls on; lower is better for both."""
-    mids = range_stats(gaps).select("dataset", "mid_performance", "mid_robustness")
-    both = clamped(gaps).join(mids, "dataset")
-    side = lambda name: F.when(F.col(name) <= F.col(f"mid_{name}"), F.lit("low")).otherwise(F.lit("high"))
-    return both.select(
+    """Side of the midpoints each series falls on; lower is better for both.
+
+    A window holds the models of one dataset.
+    """
+    models = W.partitionBy("dataset")
+
+    def side(name: str) -> Column:
+        middle = (F.max(name).over(models) + F.min(name).over(models)) / 2
+        return F.when(F.col(name) <= middle, F.lit("low")).otherwise(F.lit("high"))
+
+    return clamped(gaps).select(
         "dataset", "model", "performance", "robustness",
         F.concat_ws("/", side("performance"), side("robustness")).alias("quadrant"),
     )
