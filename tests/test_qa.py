@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import prompts
 from tidemark.operators import qa
 from tidemark.operators.prefix import ordinal_bucket
 
@@ -105,3 +106,30 @@ def test_completion_scores(spark):
                                "left_tokens string, out array<string>, judges array<string>")
     row = qa.score_completions(df).first()
     assert (row.auto_acc, row.llm_acc, row.out) == (0.75, 1.0, ["abcd", "abzz"])
+
+
+def test_judge_prompts_and_their_answers_meet_again(spark):
+    df = spark.createDataFrame([(1, "q", "r", ["a\nQuestion x", "b"])], "id int, question string, ref_answer string, out array<string>")
+    rows = qa.judge_prompts(
+        df, ["id"], lambda o: prompts.judge(F.lit("gpt-4"), F.col("question"), F.col("ref_answer"), o)
+    )
+    texts = {r.o: r.prompt for r in rows.collect()}
+    assert "Student answer: a You" in texts[0] and "Student answer: b You" in texts[1]
+    judged = rows.select("id", "o", F.when(F.col("o") == 0, "Yes").otherwise("No").alias("judge")).orderBy(F.desc("o"))
+    assert qa.collect_judges(judged, ["id"]).first().judges == ["Yes", "No"]
+
+
+def test_code_judge_prompt(spark):
+    text = spark.range(1).select(
+        prompts.code_judge(F.lit("meta-llama/Meta-Llama-3-8B-Instruct"), F.lit(" x = 1\n"), F.lit("y "))
+    ).first()[0]
+    assert 'the reference code A. "x = 1"; and the student code B. "y".' in text
+
+
+def test_knowledge_questions_have_no_date(spark):
+    df = spark.createDataFrame(
+        [("d", "m", 1, [("Who: he?", "he"), (None, "x")])],
+        "dataset string, month string, doc_ord bigint, response array<struct<question:string,answer:string>>",
+    )
+    rows = qa.questions(qa.flatten_pairs(df, None), "meta-llama/Llama-2-7b-hf", with_date=False).collect()
+    assert [(r.question, r.answer, r.prompt) for r in rows] == [("Who: he?", "he", "Question: Who: he?\nAnswer: ")]

@@ -106,6 +106,13 @@ def test_nested_document(spark):
         ("m", "2020-01"): 0.5, ("m", "2020-02"): 0.25, ("n", "2020-01"): 1.0}
 
 
+def test_nested_documents_are_sorted_and_read_back(spark):
+    df = frame(spark, [("2020-02", 0.25), ("2020-01", 0.5)], "n").unionByName(frame(spark, [("2020-01", 1.0)], "m"))
+    out = src.nested_documents(df)
+    assert out.first().value == '{"m":{"2020-01":1.0},"n":{"2020-01":0.5,"2020-02":0.25}}'
+    assert src.nested_document(out).count() == 3
+
+
 def test_stage_rewrite_leaves_other_months(spark, tmp_path):
     root = str(tmp_path)
     stages.write_stage(frame(spark, [("2020-01", 1.0), ("2020-02", 2.0)]), root, "answers")

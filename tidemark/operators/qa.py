@@ -6,6 +6,7 @@ row it belongs to.  Each stage is a DataFrame in and a DataFrame out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,14 +57,19 @@ def dated(question: Column, published: Column) -> Column:
     return F.concat(F.date_format(F.to_date(published), "MMM yyyy"), F.lit(": "), question)
 
 
-def flatten_pairs(attempted: DataFrame) -> DataFrame:
-    """One row per QA pair; pairs without a question are skipped."""
+def flatten_pairs(attempted: DataFrame, published: str | None = "published_date") -> DataFrame:
+    """One row per QA pair; pairs without a question are skipped.
+
+    Questions get the date of the article in front.  Without a date column, as for
+    knowledge questions, they stay as they are.
+    """
     rows = attempted.select(
-        *KEYS, "doc_ord", "published_date", F.posexplode("response").alias("qa_ord", "qa")
+        *KEYS, "doc_ord", *([published] if published else []), F.posexplode("response").alias("qa_ord", "qa")
     )
-    return rows.where(F.col("qa.question").isNotNull()).select(
+    asked = F.col("qa.question")
+    return rows.where(asked.isNotNull()).select(
         *KEYS, "doc_ord", "qa_ord",
-        dated(F.col("qa.question"), F.col("published_date")).alias("question"),
+        (dated(asked, F.col(published)) if published else asked).alias("question"),
         F.col("qa.answer").alias("answer"),
     )
 
@@ -80,9 +86,11 @@ def requestion(question: Column) -> Column:
     return F.when(F.size(parts) == 2, F.concat(F.lit("In "), parts[0], F.lit(", "), parts[1]))
 
 
-def questions(kept: DataFrame, model: str) -> DataFrame:
+def questions(kept: DataFrame, model: str, with_date: bool = True) -> DataFrame:
     """The question table for a model, with its prompt."""
-    asked = kept.withColumn("question", requestion(F.col("question"))).where(F.col("question").isNotNull())
+    asked = kept
+    if with_date:
+        asked = kept.withColumn("question", requestion(F.col("question"))).where(F.col("question").isNotNull())
     return asked.withColumn("prompt", prompts.answer(F.lit(model), F.col("question")))
 
 
@@ -101,6 +109,21 @@ def score_answers(answers: DataFrame, marker: str = "\nQuestion") -> DataFrame:
     })
 
 
+def judge_prompts(
+    answers: DataFrame, keys: list[str], prompt: Callable[[Column], Column], marker: str = "\nQuestion",
+) -> DataFrame:
+    """One row per (example, candidate) with the prompt a judge gets; `prompt` sees the cut candidate."""
+    carried = [c for c in answers.columns if c not in (*keys, "out")]
+    rows = answers.select(*keys, *carried, F.posexplode("out").alias("o", "candidate"))
+    return rows.select(*keys, "o", prompt(text.before(F.col("candidate"), marker)).alias("prompt"))
+
+
+def collect_judges(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Judge texts of an example as one array in candidate order; there is one per candidate."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("o", "judge"))), lambda j: j["judge"])
+    return judged.groupBy(*keys).agg(texts.alias("judges"))
+
+
 def monthly_accuracy(scored: DataFrame) -> DataFrame:
     return scored.groupBy("month").agg(
         F.count("*").alias("n_examples"),

@@ -76,6 +76,17 @@ def nested_export(results: DataFrame, value: str = "ratio") -> DataFrame:
     )
 
 
+def nested_documents(results: DataFrame, value: str = "ratio") -> DataFrame:
+    """Per dataset the whole nested object model -> month -> value, both levels sorted."""
+    months = F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", value))))
+    series = results.groupBy("dataset", "model").agg(months.alias("months"))
+    rows = F.collect_list(F.struct("model", F.to_json("months").alias("months")))
+    sorted_rows = F.transform(F.array_sort(rows), lambda m: F.struct(
+        m["model"], F.from_json(m["months"], "map<string,double>")
+    ))
+    return series.groupBy("dataset").agg(F.to_json(F.map_from_entries(sorted_rows)).alias("value"))
+
+
 def nested_import(exported: DataFrame, column: str = "by_month") -> DataFrame:
     """JSON objects month -> value back to rows."""
     parsed = F.from_json(column, "map<string,double>")
