@@ -9,15 +9,16 @@ from tidemark.functions import fixed
 from tidemark.functions.scoring import metric_columns
 from tidemark.functions.text import seeded_start
 from tidemark.operators import chunks as c
-from tidemark.operators import codecs, pmf, predictors, units
+from tidemark.operators import codecs, pmf, predictors, records, units
 from tidemark.plans import sqltext as q
-from tidemark.plans.chunk_queries import BATCH, CONTEXT, NARROW, SLIDING, STRIDE, tokens
+from tidemark.plans.chunk_queries import BATCH, CONTEXT, METADATA, NARROW, SLIDING, STRIDE, tokens
 from tidemark.plans.registry import query
 from tidemark.sources import corpus
 
 KEYS = ["dataset", "month"]
 CUTOFF = fixed.TEST_YEAR_START
 FLOOR = fixed.PROBABILITY_FLOOR
+DIGITS = {"bpb": 6, "ratio": 6, "compressed_size": 3, "bpt": 6, "bpc": 6}
 
 
 # --- logits -----------------------------------------------------------------
@@ -239,8 +240,34 @@ def compression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "context_size": F.lit(CONTEXT), "stride": F.lit(None).cast("int"), "time_used": F.lit(None).cast("double"),
     })
     rows = meta.select(*KEYS, *metric_columns(F.col("bits") / 8))
-    digits = {"bpb": 6, "ratio": 6, "compressed_size": 3, "bpt": 6, "bpc": 6}
-    return rows.withColumns({name: F.round(name, n) for name, n in digits.items()})
+    return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
+
+
+@query("model_records", f"""WITH {METADATA},
+win AS (SELECT dataset, month, pos // {CONTEXT} AS chunk_id, pos % {CONTEXT} AS off, tok
+        FROM pos JOIN total USING (dataset, month) WHERE pos // {CONTEXT} < (n - 1) // {CONTEXT}),
+bits AS (WITH {CACHE.replace("round(", "(").replace(", 3) AS bits", ") AS bits")} WHERE off >= 1 GROUP BY ALL),
+m AS (SELECT dataset, month, n, (n - 1) // {CONTEXT} AS batches, chars - dropped_chars AS nc, bytes - dropped_bytes AS nb,
+             bits / 8 AS sz FROM total JOIN tail USING (dataset, month) JOIN size USING (dataset, month)
+      LEFT JOIN bits USING (dataset, month))
+SELECT dataset, month, 'cache-{CONTEXT}' AS model, round(sz * 8 / nb, 6) AS bpb, nb::BIGINT AS original_size,
+       round(sz / nb, 6) AS ratio, round(sz, 3) AS compressed_size, {CONTEXT} AS context_size, NULL::INTEGER AS stride,
+       batches, NULL::DOUBLE AS time_used, round(sz * 8 / nullif(batches * {CONTEXT}, 0), 6) AS bpt,
+       round(sz * 8 / nc, 6) AS bpc FROM m""")
+def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, windows, a model's bits and the corpus counts to one record per month."""
+    docs = tokens(spark, sf_dir)
+    bits = predictors.cache_bits(c.fixed_chunks(docs, CONTEXT), predictors.vocabulary(docs, CUTOFF), CONTEXT)
+    rows = records.model_records(bits, c.text_metadata(docs, CONTEXT), "models/cache")
+    return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
+
+
+@query("codec_records")
+def codec_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = corpus.documents(spark, sf_dir)
+    sizes = codecs.compress_streams(units.build_stream(units.whole_units(raw)))
+    rows = records.codec_records(sizes, c.text_metadata(tokens(spark, sf_dir), CONTEXT))
+    return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
 
 
 # --- codecs and batch functions ----------------------------------------------
