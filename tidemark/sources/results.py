@@ -116,28 +116,22 @@ def brand_model(brand: Column) -> Column:
 def line_results(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """lineitem and part as result records; sizes are whole cents, so sums are exact.
 
-    Lines are added up per part before the join: a part that holds a large share of
-    all lines reaches the join as a few hundred rows.  `more` adds line columns to
-    the keys.
+    `more` adds line columns to the keys.  Spark broadcasts part while it is small and
+    shuffles both sides by part once it is not; a part with a large share of all lines
+    is then split by the adaptive skew join.  The sums combine map-side, so only a few
+    rows per task go on from the join.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    share = F.round(F.col("l_discount") * 100).cast("bigint")
-    per_part = lines.groupBy(
-        "l_partkey", F.col("l_returnflag").alias("dataset"),
-        ship_month(F.col("l_shipdate")).alias("month"), *more,
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", brand_model(F.col("p_brand")).alias("model"))
+    # Money is never negative here; round() would go through a decimal object per value.
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    share = F.floor(F.col("l_discount") * 100 + 0.5)
+    summed = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_returnflag").alias("dataset"), "model", ship_month(F.col("l_shipdate")).alias("month"), *more,
     ).agg(
         F.sum(cents).alias("original_size"),
-        F.sum(cents * share).alias("shared"),
+        (F.sum(cents * share) / 100).alias("compressed_size"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("num_tokens"),
         F.count("*").alias("batches"),
     )
-    joined = per_part.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    summed = joined.groupBy("dataset", brand_model(F.col("p_brand")).alias("model"), "month", *more).agg(
-        F.sum("original_size").alias("original_size"),
-        (F.sum("shared") / 100).alias("compressed_size"),
-        F.sum("num_tokens").alias("num_tokens"),
-        F.sum("batches").alias("batches"),
-    )
     return summed.withColumn("ratio", F.try_divide("compressed_size", "original_size"))
