@@ -74,14 +74,14 @@ def column_order(body: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.
     """
     n = len(begin)
     head = np.concatenate([[0], np.cumsum(size)])[:-1]
-    columns = np.zeros((width, n), np.uint16)  # 0: no symbol here
-    owner = np.repeat(np.arange(n), size)
-    columns[np.arange(len(body)) - np.repeat(head - begin, size), owner] = body.astype(np.uint16) + 1
     out_at = np.concatenate([[0], np.cumsum(size - window + 1)])
     out = np.zeros(out_at[-1], bool)
     order, common = np.arange(n), np.zeros(n, np.uint8)
     for c in range(width):
-        symbols = columns[c][order]  # this round's Burrows-Wheeler column
+        at = c - begin[order]
+        here = (at >= 0) & (at < size[order])
+        symbols = np.zeros(n, np.uint16)  # this round's Burrows-Wheeler column; 0: the stretch has no symbol here
+        symbols[here] = body[(head[order] + at)[here]].astype(np.uint16) + 1
         turn = np.argsort(symbols, kind="stable")
         symbols = symbols[turn]
         same = np.zeros(n, bool)
@@ -120,7 +120,7 @@ def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup_bytes(docs: DataFrame, window: int = 50, gram: int = 20, batch_bytes: int = 2 << 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = 50, gram: int = 20, batch_bytes: int = 1 << 20) -> DataFrame:
     """Remove each byte covered by a `window`-byte string that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; other columns are ignored.  Returns one row per row: doc_id, n_bytes, n_removed, n_spans

@@ -21,7 +21,7 @@ LAST = np.iinfo(np.int64).max
 
 
 def batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, bid) with about `batch_bytes` of text per bid, and a number of buckets, half as many.
+    """(doc_id, text, bid) with about `batch_bytes` of text per bid, and a number of buckets for 4 MB of text each.
 
     Both follow the size of the input, so what a batch sends to a bucket doesn't shrink to a few bytes when the cluster
     has many partitions.  A null doc_id sorts after all others.
@@ -31,7 +31,7 @@ def batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, -(-total // batch_bytes))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bid"))
-    return dealt, max(parts, n // 2)
+    return dealt, max(parts, total >> 22)
 
 
 def sorted_batch(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
