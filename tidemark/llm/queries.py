@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, jaccard_join, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup
+from tidemark.llm import (
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    language_id,
+    packing,
+    quality_rules,
+    secret_scan,
+    sentencepiece_codec,
+    substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -10,7 +21,10 @@ QUERIES = {
     "op3_jaccard_join": jaccard_join.op3,
     "op4_substring_dedup": substring_dedup.op4,
     "op5_quality_rules": quality_rules.op5,
+    "op6_language_id": language_id.op6,
     "op7_packing": packing.op7,
+    "op8_html_extract": html_extract.op8,
+    "op9_sentencepiece": sentencepiece_codec.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 
