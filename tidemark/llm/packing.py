@@ -9,6 +9,8 @@ among the pieces of its length.
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -200,14 +202,46 @@ def _ids(path: str) -> WordCache:
 
         tokenizer = Tokenizer.from_file(path)
 
-        def fill(missing: list[bytes]) -> Iterator[bytes]:
-            for e in tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        model, spelled = tokenizer.model, byte_letters()
+
+        def encode(words: list[bytes]) -> Iterator[bytes]:
+            for w in words:
+                text = w.decode()
+                if text.isalpha() and text == text.lower() and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                    # Lower-case letters in normal form are one unit for the vocabulary's rules: only merges are left.
+                    ids = [t.id for t in model.tokenize(text if text.isascii() else "".join([spelled[b] for b in w]))]
+                else:
+                    ids = tokenizer.encode(text, add_special_tokens=False).ids
+                yield struct.pack(f"<{len(ids)}I", *ids)
 
-        _TOKENIZERS[path] = WordCache(fill)
+        marks = dict(zip((b".", b","), encode([b".", b","])))
+
+        def fill(missing: list[bytes]) -> Iterator[bytes]:
+            # A full stop or comma after an ASCII letter is a token of its own: encode the word without it.
+            bare = [w[:-1] if w[-1:] in marks and w[-2:-1].isalpha() else w for w in missing]
+            new = list({w for w in bare if w not in cache.known})
+            ids = dict(zip(new, encode(new)))
+            for w, b in zip(missing, bare):
+                core = ids[b] if b in ids else cache.known[b]
+                yield core if b is w else core + marks[w[-1:]]
+
+        cache = _TOKENIZERS[path] = WordCache(fill, 1_000_000)
     return _TOKENIZERS[path]
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in prints else next(rest)) for b in range(256)]
+
+
+def lowered(text: str | None) -> bytes:
+    """A-Z in lower case, as the vocabulary's normaliser does anyway; not where a special token may be spelled out."""
+    raw = (text or "").encode()
+    return raw if b"<|" in raw else raw.lower()
+
+
 def pieces(docs: DataFrame, capacity: int, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Token ids of each document plus id 0, cut into pieces of `capacity`; ids themselves only if asked for."""
 
@@ -215,8 +249,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, with_ids: bool = Fals
         cache = _ids(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = b"".join(cache.get((text or "").encode().split())) + b"\0\0\0\0"
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = b"".join(cache.get(lowered(text.as_py()).split())) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))

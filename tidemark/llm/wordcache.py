@@ -13,10 +13,12 @@ class WordCache:
 
     def get(self, words: list) -> list:
         known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = list(set(words))
-            known.update(zip(missing, self.fill(missing)))
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            missing = [w for w in set(words) if w not in known]
+        if len(known) + len(missing) > self.limit:
+            known.clear()
+            missing = list(set(words))
+        known.update(zip(missing, list(self.fill(missing))))
         return [known[w] for w in words]
