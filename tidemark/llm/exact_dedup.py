@@ -20,6 +20,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small state reserves megabytes
 }
 
 
@@ -104,7 +105,7 @@ def dedup_exact(docs: DataFrame, digest=sha256, files_per_batch: int | None = No
 
     # Full bytes: each document of a digest that was hit against the content at the locator.
     member = text.select("doc_id", "body", digest(F.col("body")).alias("digest"))
-    member = member.join(hits, "digest")
+    member = written(member.join(hits, "digest"), "hits")
     content = member.where(F.xxhash64("doc_id", sha256(F.col("body"))) == F.col("keep_at"))
     content = content.groupBy("digest").agg(F.min("body").alias("content"))
     unequal = written(
