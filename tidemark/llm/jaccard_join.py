@@ -271,12 +271,13 @@ def _large_blocks(members: DataFrame, edges: DataFrame, percent: int, size: int)
     return edges.union(_tile_links(now, tiles, percent))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 16_384) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id; one row per row of `docs`.
 
     docs: doc_id, text; other columns are ignored.  Two documents link when the Jaccard similarity of their sets of
     k-word shingles is `percent` or more; component_id is the smallest doc_id reachable, class_id that of the
-    documents with an equal set.  No words (or null text): n_shingles 0, linked with nothing.  Fewer than k words:
+    documents with an equal set.  A task compares at most about `block_docs` documents, or 512 shingles times that;
+    larger blocks are cut and compared in tiles.  No words (or null text): n_shingles 0, linked with nothing.  Fewer than k words:
     the whole sequence is the only shingle.  A null doc_id is larger than all others, and its ids are null where no
     other document is linked.  Rows that repeat a doc_id are judged each by its own text.
     """
@@ -289,7 +290,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     shared = keys.groupBy("part").agg(F.min("class_id").alias("m"), F.max("class_id").alias("x")).where("m < x").select("part", "m")
     meet = keys.join(shared, "part").where("class_id <> m").select(F.col("class_id").alias("a"), F.col("m").alias("b"))
     blocks = written(components(meet), "blocks").withColumnRenamed("label", "block")
-    sizes = blocks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("subs"))
+    weight = F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n_shingles") / (512 * block_docs))
+    sized = blocks.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node")
+    sizes = written(sized.groupBy("block").agg(F.ceil(weight).alias("subs")), "sizes")
     members = blocks.join(sizes, "block").select(
         F.col("node").alias("doc_id"), "block", "subs", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub")
     )
@@ -328,7 +331,8 @@ def _members(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sets, pa.binary())], [*cols, "shingles"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    return texts.join(members, "doc_id").select("block", "sub", "doc_id", "text").mapInArrow(run, _MEMBER)
+    # Not a broadcast: the number of members grows with the corpus.
+    return texts.join(members.hint("merge"), "doc_id").select("block", "sub", "doc_id", "text").mapInArrow(run, _MEMBER)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
