@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.wordcache import WordCache
 
 MARK = "▁"
-BYTE_SCORE = -1e6  # per byte of a character that no path of pieces covers
+BYTE_SCORE = -1e11  # per byte of a character that no path of pieces covers; below any score of a piece
 _READY: dict[str, tuple["Codec", WordCache]] = {}
 
 
