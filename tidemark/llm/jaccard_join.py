@@ -1,8 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 Equal shingle sets become one class.  Classes that can link at all are brought together without pairs: a set is cut
-by hash into d + 1 parts, where d is the most by which two linked sets of that size can differ, so linked sets have a
-part in common.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree whose nodes
+by hash into a few more than d parts, where d is the most by which two linked sets of that size can differ, so linked
+sets have a part in common.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree whose nodes
 hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is dropped
 when the largest overlap it allows is too small.  What is left is compared by its full sets.  Documents that are
 linked already, over others, need no further comparison.
@@ -52,7 +52,8 @@ def size_class(n: int, percent: int) -> list[tuple[int, int]]:
     largest = n * 100 // percent
     while True:
         if n <= hi:
-            out.append((hi, (100 - percent) * 2 * hi // (100 + percent) + 1))
+            d = (100 - percent) * 2 * hi // (100 + percent)
+            out.append((hi, d + 3 + d // 25 if d else 1))  # a few more than d + 1, for parts that stay empty
             if largest <= hi:
                 return out
         hi = hi * 5 // 4
@@ -62,6 +63,7 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the parts of a set.  Two sets that link have a key in common."""
     out = []
     for hi, parts in size_class(len(s), percent):
+        differ = (100 - percent) * (len(s) + min(hi, len(s) * 100 // percent)) // (100 + percent)
         for level in range(_LEVELS):
             h = s if level == 0 else np.sort(mix(s + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)))
             edges = np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
@@ -70,9 +72,11 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
             where = np.arange(parts, dtype=np.uint64) + np.uint64((hi << 24) + (level << 20 << 24))
             key = mix(mix(where) + sums[at[1:]] - sums[at[:-1]])
             held = np.diff(at) > 0
-            # An empty part is equal in many sets; those sets meet again in another cut, and in the last one for sure.
-            out.append(key if level == _LEVELS - 1 else key[held])
-            if held.all():
+            # Empty parts are equal in many sets.  If more parts hold something than can differ, one of those is shared;
+            # if not, the set is cut anew, and in the last cut its empty parts count too.
+            enough = int(held.sum()) > differ
+            out.append(key[held] if enough or level < _LEVELS - 1 else key)
+            if enough:
                 break
     return np.concatenate(out)
 
@@ -282,11 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     other document is linked.  Rows that repeat a doc_id are judged each by its own text.
     """
     sets = written(set_table(docs, k, percent), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(
-        F.min("doc_id").alias("class_id"), F.first("parts").alias("parts")
-    )
+    classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    keys = classes.select("class_id", F.explode("parts").alias("part"))
+    heads = classes.select("h1", "h2", F.col("class_id").alias("doc_id")).hint("merge")
+    keys = sets.join(heads, ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("class_id"), F.explode("parts").alias("part"))
     shared = keys.groupBy("part").agg(F.min("class_id").alias("m"), F.max("class_id").alias("x")).where("m < x").select("part", "m")
     meet = keys.join(shared, "part").where("class_id <> m").select(F.col("class_id").alias("a"), F.col("m").alias("b"))
     blocks = written(components(meet), "blocks").withColumnRenamed("label", "block")
