@@ -288,16 +288,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     sets = written(set_table(docs, k, percent), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    heads = classes.select("h1", "h2", F.col("class_id").alias("doc_id")).hint("merge")
-    keys = sets.join(heads, ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("class_id"), F.explode("parts").alias("part"))
-    shared = keys.groupBy("part").agg(F.min("class_id").alias("m"), F.max("class_id").alias("x")).where("m < x").select("part", "m")
-    meet = keys.join(shared, "part").where("class_id <> m").select(F.col("class_id").alias("a"), F.col("m").alias("b"))
-    blocks = written(components(meet), "blocks").withColumnRenamed("label", "block")
+    # A class goes by its hash h1 here: classes that share it by chance only come into one block.
+    keys = sets.select("h1", F.explode("parts").alias("part"))
+    shared = keys.groupBy("part").agg(F.min("h1").alias("m"), F.max("h1").alias("x")).where("m < x").select("part", "m")
+    meet = keys.join(shared, "part").where("h1 <> m").select(F.col("h1").alias("a"), F.col("m").alias("b"))
+    blocks = components(meet).select(F.col("node").alias("h1"), F.col("label").alias("block"))
+    blocks = written(blocks.join(classes, "h1").select("class_id", "n_shingles", "block"), "blocks")
     weight = F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n_shingles") / (512 * block_docs))
-    sized = blocks.join(classes.select(F.col("class_id").alias("node"), "n_shingles"), "node")
-    sizes = written(sized.groupBy("block").agg(F.ceil(weight).alias("subs")), "sizes")
+    sizes = written(blocks.groupBy("block").agg(F.ceil(weight).alias("subs")), "sizes")
     members = blocks.join(sizes, "block").select(
-        F.col("node").alias("doc_id"), "block", "subs", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub")
+        F.col("class_id").alias("doc_id"), "block", "subs", F.pmod(F.xxhash64("class_id"), F.col("subs")).cast("int").alias("sub")
     )
     members = written(_members(docs, members, k), "members")
     edges = written(_block_links(members, percent, "block", "sub"), "links")
