@@ -2,7 +2,8 @@
 
 Equal shingle sets become one class.  Classes that can link at all are brought together without pairs: a set is cut
 by hash into a few more than d parts, where d is the most by which two linked sets of that size can differ, so linked
-sets have a part in common.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree whose nodes
+sets have a part in common.  Keys of parts travel packed, many to a row, and each batch of documents sends a key once;
+the key's other documents in that batch are joined there.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree whose nodes
 hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is dropped
 when the largest overlap it allows is too small.  What is left is compared by its full sets.  Documents that are
 linked already, over others, need no further comparison.
@@ -24,8 +25,13 @@ from tidemark.llm.store import written
 LAST = np.iinfo(np.int64).max
 _LEVELS = 4
 _LEAF = 16
-_SET = "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>"
-_MEMBER = "block long, sub int, doc_id long, shingles binary"
+_SET = "doc_id long, n_shingles long, h1 long, h2 long"
+_PACKED = "bucket int, keys binary, at binary, ids binary, pairs binary"
+_LOW = np.uint64((1 << 40) - 1)
+#: Keys that a bucket holds (about), keys and sets that a worker holds before it sends them.
+_BUCKET_KEYS = 1 << 20
+_SENT_KEYS = 1 << 21
+_SENT_SETS = 60_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -81,32 +87,107 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id (null as the largest number), size and 128-bit hash of the set, keys of its parts."""
+def set_table(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id (null as the largest number), size and 128-bit hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, h1, h2, keys = [], [], [], []
+                n, h1, h2 = [], [], []
                 for s in shingle_sets(batch.column("text"), k):
                     n.append(len(s))
-                    h1.append(mix(s).sum(dtype=np.uint64))
+                    h1.append(_name(s))
                     h2.append(mix(s ^ np.uint64(0xD1B54A32D192ED03)).sum(dtype=np.uint64))
-                    keys.append(part_keys(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").fill_null(LAST), pa.array(n, pa.int64()),
                         *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "parts"],
+                    ["doc_id", "n_shingles", "h1", "h2"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SET)
 
 
+def _name(s: np.ndarray) -> np.uint64:
+    return mix(s).sum(dtype=np.uint64)
+
+
+def _stars(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with the least of its names, and the distinct pairs (other name, least name)."""
+    order = np.argsort(keys, kind="stable")
+    keys, names = keys[order], names[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    if len(head) == 0:
+        return keys, names, np.zeros((0, 2), np.int64)
+    least = np.minimum.reduceat(names, head)
+    of = np.repeat(least, np.diff(np.append(head, len(keys))))
+    pairs = np.unique(np.stack([names, of], 1)[names != of], axis=0)
+    return keys[head], least, pairs
+
+
+def _pack(keys: np.ndarray, names: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: 5 bytes of each key, which of `ids` has it, and pairs found already."""
+    keys, least, pairs = _stars(keys, names)
+    bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    keys, least, bucket = keys[order], least[order], bucket[order]
+    goes = pairs[:, 0] % buckets
+    pairs, goes = pairs[np.argsort(goes, kind="stable")], np.sort(goes)
+    rows = []
+    for b in np.union1d(bucket, goes).tolist():
+        x, y = np.searchsorted(bucket, [b, b + 1])
+        u, v = np.searchsorted(goes, [b, b + 1])
+        ids, at = np.unique(least[x:y], return_inverse=True)
+        low = (keys[x:y] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        rows.append((b, low.tobytes(), at.astype("<u2").tobytes(), ids.tobytes(), pairs[u:v].tobytes()))
+    names = ["bucket", "keys", "at", "ids", "pairs"]
+    types = [pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def _unpacked(keys: bytes, at: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low = np.zeros((len(keys) // 5, 8), np.uint8)
+    low[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
+    return low.view("<u8").ravel(), np.frombuffer(ids, np.int64)[np.frombuffer(at, "<u2")]
+
+
+def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """Pairs (a, b) of set hashes h1 that connect all sets which have a part in common.
+
+    A row carries many keys, so that shuffling a key takes some ten bytes.  A part that very many documents have is
+    sent once by each batch, and a bucket holds keys of many parts.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        names: list[np.int64] = []
+        held = 0
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for s in shingle_sets(batch.column("text"), k):
+                    if len(s) == 0:
+                        continue
+                    keys.append(part_keys(s, percent))
+                    names.append(_name(s).view(np.int64))
+                    held += len(keys[-1])
+                    if held >= _SENT_KEYS or len(keys) >= _SENT_SETS:
+                        yield _pack(np.concatenate(keys), np.repeat(np.array(names), [len(x) for x in keys]), buckets)
+                        keys, names, held = [], [], 0
+        if keys:
+            yield _pack(np.concatenate(keys), np.repeat(np.array(names), [len(x) for x in keys]), buckets)
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [_unpacked(r["keys"], r["at"], r["ids"]) for r in rows]
+        _, _, pairs = _stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        known = [np.frombuffer(r["pairs"], np.int64).reshape(-1, 2) for r in rows]
+        pairs = np.unique(np.concatenate([pairs, *known]), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return docs.select("text").mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
 class Tree:
     """Leaves of up to 16 documents in order of size, and nodes above them, two by two."""
 
@@ -200,11 +281,12 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndar
     return found
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = table.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    raw = table.column("shingles").to_pylist()
-    return ids[order], [np.frombuffer(raw[i], np.uint64) for i in order]
+def _sets(table: pa.Table, k: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """Rows whose text has the set h1 of their class, with the sets; others only share a doc_id with it."""
+    parts = (part for batch in table.to_batches() for part in slices(batch, "text"))
+    sets = [s for part in parts for s in shingle_sets(part.column("text"), k)]
+    own = [i for i, (s, h1) in enumerate(zip(sets, table.column("h1").to_pylist())) if int(_name(s).view(np.int64)) == h1]
+    return table.drop_columns("text").take(own), [sets[i] for i in own]
 
 
 def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
@@ -212,33 +294,35 @@ def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(ids[pairs[:, 0]]), "b": pa.array(ids[pairs[:, 1]])})
 
 
-def _block_links(members: DataFrame, percent: int, *key: str) -> DataFrame:
+def _block_links(members: DataFrame, k: int, percent: int, *key: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        ids, sets = _unpack(table)
-        return _edges(ids, links(sets, None, np.arange(len(ids)), percent))
+        table, sets = _sets(table, k)
+        ids = table.column("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return _edges(ids[order], links([sets[i] for i in order], None, np.arange(len(ids)), percent))
 
-    return members.select(*key, "doc_id", "shingles").groupBy(*key).applyInArrow(run, "a long, b long")
+    return members.select(*key, "doc_id", "h1", "text").groupBy(*key).applyInArrow(run, "a long, b long")
 
 
-def _tile_links(members: DataFrame, tiles: DataFrame, percent: int) -> DataFrame:
-    """Links of sub-blocks `left` and `right` of each tile; members: block, sub, doc_id, label, shingles."""
+def _tile_links(members: DataFrame, tiles: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of sub-blocks `left` and `right` of each tile; members: block, sub, doc_id, label, text."""
     sides = tiles.select("block", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("sub"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, sub = table.column("doc_id").to_numpy(), table.column("sub").to_numpy()
-        label, raw = table.column("label").to_numpy(), table.column("shingles").to_pylist()
         left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        table, every = _sets(table, k)
+        ids, sub, label = (table.column(c).to_numpy() for c in ("doc_id", "sub", "label"))
         order = np.lexsort((ids, sub != left))
         n = int((sub == left).sum())
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order]
+        sets = [every[i] for i in order]
         found = links(sets[:n], None if left == right else sets[n:], label[order], percent)
         return _edges(ids[order], found)
 
-    rows = members.join(sides, ["block", "sub"]).select("block", "left", "right", "sub", "doc_id", "label", "shingles")
+    rows = members.join(sides, ["block", "sub"]).select("block", "left", "right", "sub", "doc_id", "label", "h1", "text")
     return rows.groupBy("block", "left", "right").applyInArrow(run, "a long, b long")
 
 
-def _large_blocks(members: DataFrame, edges: DataFrame, percent: int, size: int) -> DataFrame:
+def _large_blocks(members: DataFrame, edges: DataFrame, k: int, percent: int, size: int) -> DataFrame:
     """Links across the sub-blocks of blocks that were too large for one task.
 
     First one document of each label of each sub-block is compared.  Then sub-blocks are formed anew: those of one
@@ -248,11 +332,11 @@ def _large_blocks(members: DataFrame, edges: DataFrame, percent: int, size: int)
         known = components(edges).withColumnRenamed("node", "doc_id")
         return members.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    heads = labelled(edges).groupBy("block", "sub", "label").agg(F.min_by(F.struct("doc_id", "shingles"), "doc_id").alias("x"))
+    heads = labelled(edges).groupBy("block", "sub", "label").agg(F.min_by(F.struct("doc_id", "h1", "text"), "doc_id").alias("x"))
     heads = heads.select("block", F.floor(F.abs(F.xxhash64("label", "x.doc_id") % 1_000_003)).alias("r"), "x.*")
     spread = heads.join(heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).alias("n")), "block")
     spread = spread.withColumn("sub", (F.col("r") % F.col("n")).cast("int"))
-    edges = written(edges.union(_block_links(spread, percent, "block", "sub")), "links")
+    edges = written(edges.union(_block_links(spread, k, percent, "block", "sub")), "links")
 
     now = labelled(edges)
     counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -263,8 +347,8 @@ def _large_blocks(members: DataFrame, edges: DataFrame, percent: int, size: int)
     sub = F.when(pure, F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / size)))).otherwise(
         F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / size)))
     )
-    now = written(now.select("block", sub.alias("sub"), "doc_id", "label", "shingles", F.when(pure, F.col("label")).alias("only")), "subs")
-    span = F.length("shingles")
+    now = written(now.select("block", sub.alias("sub"), "doc_id", "label", "n_shingles", "h1", "text", F.when(pure, F.col("label")).alias("only")), "subs")
+    span = F.col("n_shingles")
     subs = now.groupBy("block", "sub").agg(F.first("only").alias("only"), F.min(span).alias("lo"), F.max(span).alias("hi"))
     x, y = subs.alias("x"), subs.alias("y")
     fits = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
@@ -272,7 +356,7 @@ def _large_blocks(members: DataFrame, edges: DataFrame, percent: int, size: int)
         fits & ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
     )
     tiles = tiles.select("x.block", F.col("x.sub").alias("left"), F.col("y.sub").alias("right"))
-    return edges.union(_tile_links(now, tiles, percent))
+    return edges.union(_tile_links(now, tiles, k, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 16_384) -> DataFrame:
@@ -285,25 +369,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     the whole sequence is the only shingle.  A null doc_id is larger than all others, and its ids are null where no
     other document is linked.  Rows that repeat a doc_id are judged each by its own text.
     """
-    sets = written(set_table(docs, k, percent), "sets")
+    sets = written(set_table(docs, k), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
+    # Two size classes, each with the most by which its sets can differ: parts as a share of the shingles.
+    keys = sets.agg(F.sum(F.col("n_shingles") * 5 * (100 - percent) / (100 + percent) + 4)).first()[0] or 0
     # A class goes by its hash h1 here: classes that share it by chance only come into one block.
-    keys = sets.select("h1", F.explode("parts").alias("part"))
-    shared = keys.groupBy("part").agg(F.min("h1").alias("m"), F.max("h1").alias("x")).where("m < x").select("part", "m")
-    meet = keys.join(shared, "part").where("h1 <> m").select(F.col("h1").alias("a"), F.col("m").alias("b"))
+    meet = candidates(docs, k, percent, max(48, int(keys) // _BUCKET_KEYS))
     blocks = components(meet).select(F.col("node").alias("h1"), F.col("label").alias("block"))
-    blocks = written(blocks.join(classes, "h1").select("class_id", "n_shingles", "block"), "blocks")
+    blocks = written(blocks.join(classes, "h1").select("class_id", "n_shingles", "h1", "block"), "blocks")
     weight = F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n_shingles") / (512 * block_docs))
     sizes = written(blocks.groupBy("block").agg(F.ceil(weight).alias("subs")), "sizes")
     members = blocks.join(sizes, "block").select(
-        F.col("class_id").alias("doc_id"), "block", "subs", F.pmod(F.xxhash64("class_id"), F.col("subs")).cast("int").alias("sub")
+        F.col("class_id").alias("doc_id"), "block", "n_shingles", "h1", F.pmod(F.xxhash64("class_id"), F.col("subs")).cast("int").alias("sub")
     )
-    members = written(_members(docs, members, k), "members")
-    edges = written(_block_links(members, percent, "block", "sub"), "links")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    # Not a broadcast: the number of members grows with the corpus.
+    members = texts.join(members.hint("merge"), "doc_id").select("block", "sub", "doc_id", "n_shingles", "h1", "text")
+    members = written(members, "members")
+    edges = written(_block_links(members, k, percent, "block", "sub"), "links")
     if not sizes.where("subs > 1").isEmpty():
         large = members.join(sizes.where("subs > 1").select("block"), "block", "left_semi")
-        edges = written(_large_blocks(large, edges, percent, block_docs), "links")
+        edges = written(_large_blocks(large, edges, k, percent, block_docs), "links")
     labels = components(edges)
     named = classes.select("h1", "h2", "n_shingles", "class_id").join(
         labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left"
@@ -323,21 +410,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     )
 
 
-def _members(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """Full sets of the documents that are in a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
-                cols = ["block", "sub", "doc_id"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(sets, pa.binary())], [*cols, "shingles"])
-
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    # Not a broadcast: the number of members grows with the corpus.
-    return texts.join(members.hint("merge"), "doc_id").select("block", "sub", "doc_id", "text").mapInArrow(run, _MEMBER)
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, k=3, percent=90).select("doc_id", "n_shingles", "component_id")
