@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunks as c
+from tidemark.operators import units
 
 CTX = 8
 LENGTHS = [1, CTX - 1, CTX, CTX + 1, 3 * CTX, 3 * CTX + 5, 100]
@@ -127,3 +128,23 @@ def test_byte_metadata(spark):
     assert [(slid[m].num_chunks, slid[m].num_bytes, slid[m].bytes_dropped) for m in "abc"] == [
         (13, 13 * 2048, 0), (0, 0, 10), (5, 5 * 2048, 0)
     ]
+
+
+def test_windows_follow_the_units_of_a_document(spark):
+    """One document of many units: windows hold the tokens in unit order."""
+    rows = [("d", "2020-01", 0, i, f"a{i}x b{i}y") for i in reversed(range(200))]
+    df = spark.createDataFrame(rows, "dataset string, month string, doc_ord long, unit_ord int, unit string").repartition(5)
+    toks = units.tokenize(df, "unit", lambda c: F.split(c, " "))
+    got = c.fixed_chunks(toks, 4).orderBy("chunk_id").collect()
+    assert [r.toks for r in got[:2]] == [["a0x", "b0y", "a1x", "b1y"], ["a2x", "b2y", "a3x", "b3y"]]
+    assert len(got) == 99
+    sliding = c.sliding_chunks(toks, 4, 2).orderBy("chunk_id").collect()
+    assert sliding[1].toks == ["a1x", "b1y", "a2x", "b2y"]
+
+
+def test_token_cache_is_found_again(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    one = spark.createDataFrame([("d", "2020-01", 0, "aa bb")], "dataset string, month string, doc_ord long, text string")
+    other = one.withColumn("text", F.lit("something else"))
+    assert units.token_cache(one, path).first().toks == ["aa", "bb"]
+    assert units.token_cache(other, path).first().toks == ["aa", "bb"]

@@ -127,3 +127,9 @@ def test_materialise_uses_the_shared_folder(spark, shared):
     df = stages.materialise(spark.range(5), "numbers")
     assert sorted(x.id for x in df.collect()) == [0, 1, 2, 3, 4]
     assert [p for p in shared.iterdir() if p.name.startswith("tidemark-numbers-")]
+
+
+def test_first_path_wins_inside_a_root(spark):
+    rows = [("d", "m", "2020-01", 0, "b/x", 1.0), ("d", "m", "2020-01", 0, "a/x", 2.0), ("d", "m", "2020-01", 1, "0", 3.0)]
+    df = spark.createDataFrame(rows, "dataset string, model string, month string, priority int, path string, ratio double")
+    assert r.dedupe_first(df.repartition(3)).first().ratio == 2.0

@@ -229,3 +229,12 @@ def test_codec_refuses_an_unbounded_stream(spark):
     streams = spark.createDataFrame([("d", "a", b"x" * 100)], "dataset string, month string, stream binary")
     with pytest.raises(PySparkException):
         codecs.compress_streams(streams, ("zlib",), budget=10).collect()
+
+
+def test_cdf_of_a_large_vocabulary(spark):
+    n = 32_000
+    df = spark.range(8).select(F.expr(f"transform(sequence(1, {n}), x -> 1.0D / {n})").alias("pmf"))
+    row = df.select(pmf.quantize_cdf(pmf.pmf_to_cdf(F.col("pmf"))).alias("cdf")).first()
+    assert len(row.cdf) == n + 1 and row.cdf[0] == 0 and all(a < b for a, b in zip(row.cdf, row.cdf[1:]))
+    empty = spark.createDataFrame([(None,)], "pmf array<double>").select(pmf.pmf_to_cdf("pmf").alias("cdf")).first()
+    assert empty.cdf is None

@@ -33,9 +33,9 @@ def totals(df):
 def test_only_new_months_are_processed(spark, folder, tmp_path):
     root = str(tmp_path / "out")
     drop(spark, folder, "one", [("d", "2020-01", 1), ("d", "2020-01", 2)], SCHEMA)
-    jobs.run_once(jobs.process_new_keys(watch(spark, folder, SCHEMA), totals, root))
+    jobs.process_new_keys(watch(spark, folder, SCHEMA), totals, root)
     drop(spark, folder, "two", [("d", "2020-01", 100), ("d", "2020-02", 5)], SCHEMA)
-    jobs.run_once(jobs.process_new_keys(watch(spark, folder, SCHEMA), totals, root))
+    jobs.process_new_keys(watch(spark, folder, SCHEMA), totals, root)
     got = {r.month: r.n for r in spark.read.parquet(f"{root}/results").collect()}
     assert got == {"2020-01": 3, "2020-02": 5}
 
@@ -46,7 +46,7 @@ def test_running_totals_over_two_starts(spark, folder, tmp_path):
         drop(spark, folder, name, rows, SCHEMA)
         stream = watch(spark, folder, SCHEMA)
         jobs.run_once(jobs.running_totals(stream, jobs.KEYS, {"n": F.col("n")}, root))
-    got = {r.month: r.n for r in jobs.latest_totals(spark, root, jobs.KEYS).collect()}
+    got = {r.month: r.n for r in jobs.latest(spark, root, jobs.KEYS).collect()}
     assert got == {"2020-01": 101, "2020-02": 7}
 
 
@@ -57,24 +57,53 @@ def at(day, hour=0):
     return dt.datetime(2024, 1, day, hour)
 
 
-def test_late_rows_are_dropped(spark, folder, tmp_path):
-    root = str(tmp_path / "out")
-    steps = [[(at(1), "a", 1.0), (at(1, 5), "a", 3.0), (at(3), "a", 9.0)], [(at(1, 6), "a", 50.0), (at(5), "a", 1.0)]]
+def every_cut(spark, folder, schema):
+    """The same files in one batch and one by one."""
+    fields = spark.createDataFrame([], schema).schema
+    return [(n, jobs.watch(spark, f"{folder}/*", fields, n)) for n in (1, 1000)]
+
+
+def test_a_month_may_span_batches(spark, folder, tmp_path):
+    for i in range(4):
+        drop(spark, folder, f"f{i}", [("d", "2020-01", 10**i), ("d", "2020-02", i)], SCHEMA)
+    for n, stream in every_cut(spark, folder, SCHEMA):
+        root = str(tmp_path / f"out{n}")
+        jobs.process_new_keys(stream, totals, root)
+        assert {r.month: r.n for r in spark.read.parquet(f"{root}/results").collect()} == {"2020-01": 1111, "2020-02": 6}
+
+
+def test_lone_file_and_folder(spark, folder, tmp_path):
+    import glob
+
+    drop(spark, folder, "t.parquet", [("d", "2020-01", 1), ("d", "2020-01", 2)], SCHEMA)
+    lone = glob.glob(f"{folder}/t.parquet/part-*")[0]
+    fields = spark.createDataFrame([], SCHEMA).schema
+    for i, path in enumerate((f"{folder}/t.parquet", lone)):
+        root = str(tmp_path / f"out{i}")
+        jobs.run_once(jobs.running_totals(jobs.watch(spark, path, fields), jobs.KEYS, {"n": F.col("n")}, root))
+        assert [r.n for r in jobs.latest(spark, root, jobs.KEYS).collect()] == [3]
+
+
+def test_periods_do_not_depend_on_batches(spark, folder, tmp_path):
+    steps = [[(at(1), "a", 1.0), (at(1, 5), "a", 3.0), (at(3), "a", 9.0)], [(at(5), "a", 1.0)], [(at(1, 6), "a", 50.0), (None, "a", 7.0)]]
     for i, rows in enumerate(steps):
         drop(spark, folder, f"s{i}", rows, EVENTS)
-        stream = watch(spark, folder, EVENTS)
-        jobs.run_once(jobs.period_metric(stream, "ts", "series", "value", "1 day", "1 hour", root))
-    got = {r.start.day: (r.n, r["mean"]) for r in spark.read.parquet(f"{root}/periods").collect()}
-    assert got == {1: (2, 2.0), 3: (1, 9.0)}
+    for n, stream in every_cut(spark, folder, EVENTS):
+        root = str(tmp_path / f"out{n}")
+        jobs.run_once(jobs.period_metric(stream, "ts", "series", "value", "1 day", root))
+        got = {r.start.day: (r.n, r["mean"]) for r in jobs.closed_periods(spark, root, "series", "1 hour").collect()}
+        assert got == {1: (3, 18.0), 3: (1, 9.0)}
 
 
 def test_first_arrival(spark, folder, tmp_path):
-    root = str(tmp_path / "out")
-    drop(spark, folder, "one", [(at(1), "a", float(i)) for i in range(200)] + [(at(1), "b", 1.0)], EVENTS)
-    jobs.run_once(jobs.first_arrival(watch(spark, folder, EVENTS), "ts", ["series"], "10 days", root))
-    drop(spark, folder, "two", [(at(2), "a", 5.0), (at(2), "c", 1.0)], EVENTS)
-    jobs.run_once(jobs.first_arrival(watch(spark, folder, EVENTS), "ts", ["series"], "10 days", root))
-    assert sorted(r.series for r in spark.read.parquet(f"{root}/first").collect()) == ["a", "b", "c"]
+    drop(spark, folder, "one", [(at(2), "a", float(i)) for i in range(200)] + [(at(1), "b", 1.0)], EVENTS)
+    drop(spark, folder, "two", [(at(1), "a", 5.0), (at(2), "c", 1.0)], EVENTS)
+    drop(spark, folder, "three", [(at(20), "b", 5.0), (at(20), "a", 1.0)], EVENTS)
+    for n, stream in every_cut(spark, folder, EVENTS):
+        root = str(tmp_path / f"out{n}")
+        jobs.run_once(jobs.first_arrival(stream, "ts", ["series"], root))
+        got = sorted((r.series, r.ts.day, r.value) for r in jobs.latest(spark, root, ["series"]).collect())
+        assert got == [("a", 1, 5.0), ("b", 1, 1.0), ("c", 2, 1.0)]
 
 
 def test_smoothing_goes_on_from_its_state(spark, folder, tmp_path):

@@ -17,10 +17,15 @@ from tidemark.operators.prefix import ordinal_bucket, running_total
 KEYS = ["dataset", "month"]
 
 
+def stream_order(docs: DataFrame) -> list[str]:
+    """Documents, or their units in order when `docs` holds units."""
+    return [c for c in ("doc_ord", "unit_ord") if c in docs.columns]
+
+
 def place_tokens(docs: DataFrame) -> DataFrame:
-    """Add `start`, the stream position of the document's first token, and the stream's `n_stream`."""
+    """Add `start`, the stream position of the first token of a document or unit, and the stream's `n_stream`."""
     return running_total(
-        docs, KEYS, ["doc_ord"], "n_toks", ordinal_bucket(), out="start", total="n_stream"
+        docs, KEYS, stream_order(docs), "n_toks", ordinal_bucket(), out="start", total="n_stream"
     ).where(F.col("n_toks") > 0)
 
 
@@ -130,7 +135,7 @@ def text_metadata(
     tokens.
     """
     placed = running_total(
-        docs, KEYS, ["doc_ord"], "n_toks", ordinal_bucket(), out="start", total="n_stream"
+        docs, KEYS, stream_order(docs), "n_toks", ordinal_bucket(), out="start", total="n_stream"
     )
     cut = tail_start(F.col("n_stream"), context, stride)
     lost = F.greatest(cut - F.col("start"), F.lit(0))

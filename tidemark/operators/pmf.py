@@ -7,9 +7,12 @@ that window spans one chunk.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import fixed
 
@@ -59,18 +62,20 @@ def self_information(df: DataFrame) -> Column:
 
 
 # --- integer CDFs -----------------------------------------------------------
-def pmf_to_cdf(pmf: Column) -> Column:
-    """Running sums with a leading 0, clamped at 1."""
-    sums = F.aggregate(
-        pmf, F.array(F.lit(0.0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p))
-    )
-    return F.transform(sums, lambda c: F.least(c, F.lit(1.0)))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def pmf_to_cdf(pmf: pd.Series) -> pd.Series:
+    """Running sums with a leading 0, clamped at 1; NULL stays NULL.
+
+    An array that grows by one in `aggregate` is copied for every symbol; the running sum here is linear.
+    """
+    return pmf.map(lambda p: None if p is None else np.minimum(np.concatenate([[0.0], np.cumsum(p)]), 1.0))
 
 
 def quantize_cdf(cdf: Column) -> Column:
     """Strictly increasing integers: rounded half to even, plus the index."""
     top = F.lit(SCALE) - (F.size(cdf) - 1)
-    return F.transform(cdf, lambda c, i: F.rint(c * top).cast("bigint") + i)
+    scaled = F.zip_with(cdf, F.array_repeat(top, F.size(cdf)), lambda c, t: F.rint(c * t).cast("bigint"))
+    return F.transform(scaled, lambda c, i: c + i)  # no lambda holds `cdf`, which may be a pandas UDF
 
 
 def interval(cdf: Column, sym: Column) -> tuple[Column, Column]:

@@ -24,13 +24,15 @@ def union_roots(roots: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
 
 
-def dedupe_first(results: DataFrame, order: tuple[str, ...] = ("priority",)) -> DataFrame:
-    """One record per key, from the first root that has it.
+def dedupe_first(results: DataFrame, order: tuple[str, ...] = ("priority", "path")) -> DataFrame:
+    """One record per key, from the first root that has it and the first path in that root.
 
-    min_by combines map-side, so copies of one key never meet in a sort.
+    Columns of `order` that the table lacks are passed over; what is still equal is settled by the record itself, so
+    the choice repeats.  min_by combines map-side, so copies of one key never meet in a sort.
     """
     rest = [c for c in results.columns if c not in KEYS]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    ranked = [c for c in order if c in rest] + [c for c in rest if c not in order]
+    first = F.min_by(F.struct(*rest), F.struct(*ranked)).alias("_first")
     return results.groupBy(*KEYS).agg(first).select(*KEYS, "_first.*")
 
 
@@ -219,6 +221,12 @@ def metric_families(model_metrics: DataFrame, coder_metrics: DataFrame, prefix:
 
 
 # --- performance against robustness ----------------------------------------
+def plotted(gaps: DataFrame, family: Column | None = None) -> DataFrame:
+    """Series of a performance / robustness chart: no excluded models, no codecs, only labelled ones of `family`."""
+    named = drop_codecs(exclude_models(label_models(gaps)))
+    return named if family is None else named.where(family)
+
+
 def clamped(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("robustness", F.greatest("robustness", F.lit(0.0)))
 

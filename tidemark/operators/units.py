@@ -124,17 +124,27 @@ def build_stream(units: DataFrame, budget: int = fixed.TEXT_BUDGET, spaced: bool
     return months.withColumn("n_units", checked).select(*KEYS, stream.alias("stream"), "n_units")
 
 
-def tokenize(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Word tokens per document, in order, with the sizes of the text they stand for."""
+def tokenize(
+    docs: DataFrame, column: str = "text", tokenizer: Callable[[Column], Column] = text.words,
+) -> DataFrame:
+    """Tokens per document, in order, with the sizes of the text they stand for.
+
+    `tokenizer` takes the text column and gives its array of strings; a pandas UDF will do.
+    """
     kept = [c for c in docs.columns if c != column]
     return docs.select(
         *kept,
         F.length(column).alias("n_chars"),
         F.octet_length(column).alias("n_bytes"),
-        text.words(F.col(column)).alias("toks"),
+        tokenizer(F.col(column)).alias("toks"),
     ).withColumn("n_toks", F.size("toks"))
 
 
-def token_cache(docs: DataFrame) -> DataFrame:
-    """Tokenize once into a written table, for work that goes over the tokens more than once."""
-    return materialise(tokenize(docs), "tokens")
+def token_cache(
+    docs: DataFrame, path: str | None = None, tokenizer: Callable[[Column], Column] = text.words,
+) -> DataFrame:
+    """Tokenize once into a written table, for work that goes over the tokens more than once.
+
+    A complete table at `path` is found again and read in place of tokenizing; without `path` it is a new one.
+    """
+    return materialise(tokenize(docs, tokenizer=tokenizer), "tokens", path)

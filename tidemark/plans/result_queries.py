@@ -260,8 +260,8 @@ def format_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.formatted(r.period_averages(base(spark, sf_dir)))
 
 
-@query("range_stats", f"""WITH {q.GAPS},
-c AS (SELECT dataset, performance, greatest(robustness, 0.0) AS robustness FROM gaps)
+@query("range_stats", f"""WITH {q.PLOTTED},
+c AS (SELECT dataset, performance, greatest(robustness, 0.0) AS robustness FROM plotted)
 SELECT dataset, """ + ", ".join(
     f"round(min({n}), 6) AS min_{n}, round(max({n}), 6) AS max_{n}, "
     f"round(min({n}) - (max({n}) - min({n})) * 0.05::DOUBLE, 6) AS from_{n}, "
@@ -269,19 +269,19 @@ SELECT dataset, """ + ", ".join(
     for n in ("performance", "robustness")
 ) + " FROM c GROUP BY ALL")
 def range_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = r.range_stats(r.robustness_gap(r.period_averages(base(spark, sf_dir))))
+    stats = r.range_stats(r.plotted(r.robustness_gap(r.period_averages(base(spark, sf_dir)))))
     return rounded(stats, *[n for n in stats.columns if n != "dataset"], digits=6)
 
 
-@query("quadrants", f"""WITH {q.GAPS},
-c AS (SELECT dataset, model, performance, greatest(robustness, 0.0) AS robustness FROM gaps),
+@query("quadrants", f"""WITH {q.PLOTTED},
+c AS (SELECT dataset, model, performance, greatest(robustness, 0.0) AS robustness FROM plotted),
 m AS (SELECT dataset, (max(performance) + min(performance)) / 2 AS mp, (max(robustness) + min(robustness)) / 2 AS mr
       FROM c GROUP BY ALL)
 SELECT dataset, model, round(performance, 6) AS performance, round(robustness, 6) AS robustness,
        CASE WHEN performance <= mp THEN 'low' ELSE 'high' END || '/' ||
        CASE WHEN robustness <= mr THEN 'low' ELSE 'high' END AS quadrant FROM c JOIN m USING (dataset)""")
 def quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = r.robustness_gap(r.period_averages(base(spark, sf_dir)))
+    gaps = r.plotted(r.robustness_gap(r.period_averages(base(spark, sf_dir))))
     return rounded(r.quadrants(gaps), "performance", "robustness", digits=6)
 
 

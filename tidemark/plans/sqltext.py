@@ -106,6 +106,11 @@ gaps AS (
   SELECT dataset, model, avg_test - avg_train AS gap, avg_test - avg_all AS gap_all,
          avg_test * 100 AS performance, (avg_test - avg_train) * 100 AS robustness FROM averages)"""
 
+#: Series of a performance / robustness chart.
+PLOTTED = f"""{GAPS},
+plotted AS (SELECT * FROM gaps WHERE model IN {literals(list(fixed.MODEL_LABELS))}
+  AND model NOT IN {literals(fixed.EXCLUDED_MODELS)} AND model NOT IN {literals(fixed.CODECS)})"""
+
 ANSWERS = f"""answers AS (
   SELECT {month_slot('q.conv_id')} AS month, q.conv_id, q.turn AS idx, q.text AS question,
          string_split(r.text, ' ')[1] AS ref_answer, c.out,

@@ -17,7 +17,7 @@ KEYS = ["dataset", "month"]
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    docs = jobs.watch(spark, sf_dir, "documents.parquet", schema)
+    docs = jobs.watch(spark, f"{sf_dir}/documents.parquet", schema)
     return docs.select(
         F.col("lang").alias("dataset"), corpus.month_slot(F.col("doc_id")).alias("month"),
         F.col("doc_id").alias("doc_ord"), "text",
@@ -26,7 +26,7 @@ def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return jobs.watch(spark, sf_dir, "events.parquet", schema)
+    return jobs.watch(spark, f"{sf_dir}/events.parquet", schema)
 
 
 MONTHLY = f"""WITH {q.CORPUS}
@@ -47,7 +47,7 @@ def stream_new_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.groupBy(*KEYS).agg(*[F.sum(c).alias(name) for name, c in sizes().items()])
 
     for _ in range(2):
-        jobs.run_once(jobs.process_new_keys(document_stream(spark, sf_dir), process, root))
+        jobs.process_new_keys(document_stream(spark, sf_dir), process, root)
     return spark.read.parquet(f"{root}/results").select(*KEYS, "n_bytes", "n_tokens")
 
 
@@ -55,7 +55,7 @@ def stream_new_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "totals")
     jobs.run_once(jobs.running_totals(document_stream(spark, sf_dir), KEYS, sizes(), root))
-    return jobs.latest_totals(spark, root, KEYS)
+    return jobs.latest(spark, root, KEYS)
 
 
 PERIODS = """last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
@@ -66,7 +66,8 @@ closed AS (SELECT * FROM per, last WHERE start + INTERVAL 1 DAY <= mark)"""
 def periods(spark: SparkSession, sf_dir: str) -> str:
     root = shared_folder(spark, "periods")
     stream = event_stream(spark, sf_dir)
-    jobs.run_once(jobs.period_metric(stream, "ts", "event_type", "value", "1 day", "1 hour", root))
+    jobs.run_once(jobs.period_metric(stream, "ts", "event_type", "value", "1 day", root))
+    jobs.closed_periods(spark, root, "event_type", "1 hour").write.parquet(f"{root}/periods")
     return root
 
 
@@ -79,12 +80,13 @@ def stream_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedupe", """SELECT user_id, event_type, event_id, ts, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id, value) = 1""")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "first")
-    keys = ["user_id", "event_type"]
-    jobs.run_once(jobs.first_arrival(event_stream(spark, sf_dir), "ts", keys, "1 hour", root))
-    return spark.read.parquet(f"{root}/first").select(*keys)
+    keys, rest = ["user_id", "event_type"], ["event_id", "ts", "value"]
+    jobs.run_once(jobs.first_arrival(event_stream(spark, sf_dir).select(*keys, *rest), "ts", keys, root))
+    return jobs.latest(spark, root, keys).select(*keys, *rest)
 
 
 @query("stream_smoothing", f"""WITH RECURSIVE {PERIODS},
@@ -97,7 +99,7 @@ def stream_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second stream reads the closed periods of the first."""
     first = f"{periods(spark, sf_dir)}/periods"
     root = shared_folder(spark, "smoothed")
-    stream = jobs.watch(spark, first, "*.parquet", spark.read.parquet(first).schema)
+    stream = jobs.watch(spark, first, spark.read.parquet(first).schema)
     jobs.run_once(jobs.smooth(stream, "event_type", "start", "mean", root))
     rows = spark.read.parquet(f"{root}/smoothed")
     return rows.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), F.round("smoothed", 6).alias("smoothed"))

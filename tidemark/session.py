@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
@@ -31,10 +32,13 @@ def local_session(cpus: int | str = "*", app: str = "tidemark", conf: dict[str,
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the one the cluster shares through spark.checkpoint.dir.
 
-    Only a session without that setting, as in tests, falls back to a local folder.
+    Only a session of one machine may lack that setting, as in tests; it falls back to a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
     return f"{root.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
 
@@ -49,7 +53,17 @@ def is_lone_file(spark: SparkSession, path: str) -> bool:
     return system.exists(location) and system.getFileStatus(location).isFile()
 
 
-def has_folders(spark: SparkSession, path: str) -> bool:
-    """Has a partitioned table been written here?"""
-    system, location = _storage(spark, path)
-    return system.exists(location) and any(s.isDirectory() for s in system.listStatus(location))
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Has a table been written here to its end?"""
+    system, location = _storage(spark, f"{path}/_SUCCESS")
+    return system.exists(location)
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`, None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

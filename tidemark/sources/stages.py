@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.session import is_complete, shared_folder
 
 STAGES = ["questions", "filtered", "answers", "scored"]
 
@@ -24,15 +24,17 @@ def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{stage}")
 
 
-def materialise(df: DataFrame, purpose: str) -> DataFrame:
+def materialise(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder now and go on from the written one.
 
     For a table that several branches of a plan read, such as a trained model: it is
     computed once, survives the loss of executors, and its size is known when the
-    branches are planned, so a small one is broadcast and a large one is not.
+    branches are planned, so a small one is broadcast and a large one is not.  A table
+    that was written to `path` before is read as it is.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.mode("overwrite").parquet(path)
+    if path is None or not is_complete(df.sparkSession, path):
+        path = path or shared_folder(df.sparkSession, purpose)
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,19 +16,21 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import fixed
-from tidemark.session import has_folders
+from tidemark.session import table_or_none
 from tidemark.sources.stages import todo
 
 KEYS = ["dataset", "month"]
-DEDUPE_SALTS = 64
 
 
-def watch(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of one name pattern as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def watch(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet table, a folder of files or a lone one, as a stream.  No result depends on `files_per_batch`.
+
+    A stream takes a plain path for a folder; a pattern, here one that only the path itself matches, may be a file too.
+    """
+    path = path.rstrip("/")
+    if not set(path) & set("*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _start(writer, root: str) -> StreamingQuery:
@@ -42,38 +44,53 @@ def run_once(query: StreamingQuery) -> None:
 # --- new keys only ----------------------------------------------------------
 def process_new_keys(
     stream: DataFrame, process: Callable[[DataFrame], DataFrame], root: str, keys: list[str] = KEYS,
-) -> StreamingQuery:
-    """Run `process` on rows whose key has no result yet and add its result.
+) -> None:
+    """Run `process` on the rows whose key has no result yet, when all that has arrived is read, and add its result.
 
-    A month counts as done once it has a result.  Results go to one folder per key
-    and replace that folder, so a batch that is run again changes nothing.
+    A key counts as done once a run that read it has ended, so its rows may come in any number of batches of that run.
+    Batches are kept by number and `closed` names the last one that is in the results: what an interrupted run has
+    read is taken up by the next.  Results go to one folder per key and replace that folder.
     """
-    target = f"{root}/results"
+    spark, target, arrived, closed = stream.sparkSession, f"{root}/results", f"{root}/arrived", f"{root}/closed"
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        fresh = todo(df, spark.read.parquet(target), keys) if has_folders(spark, target) else df
-        (
-            process(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*keys).parquet(target)
-        )
+    def is_open(rows: DataFrame) -> DataFrame:
+        done = table_or_none(rows.sparkSession, target)
+        return rows if done is None else todo(rows, done, keys)
 
-    return _start(stream.writeStream.foreachBatch(batch), root)
+    def batch(df: DataFrame, batch_id: int) -> None:
+        is_open(df).write.mode("overwrite").parquet(f"{arrived}/batch={batch_id}")
+
+    run_once(_start(stream.writeStream.foreachBatch(batch), root))
+    rows, ends = table_or_none(spark, arrived), table_or_none(spark, closed)
+    if rows is None:
+        return
+    last = -1 if ends is None else ends.agg(F.max("batch")).first()[0]
+    newest = rows.agg(F.max("batch")).first()[0]
+    if newest is None or newest <= last:
+        return
+    (
+        process(is_open(rows.where(F.col("batch") > last).drop("batch"))).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+    )
+    spark.range(1).select(F.lit(newest).alias("batch")).write.mode("append").parquet(closed)
 
 
-# --- running totals ---------------------------------------------------------
-def running_totals(stream: DataFrame, keys: list[str], sums: dict[str, F.Column], root: str) -> StreamingQuery:
-    """Sums per key in update mode; each batch leaves the rows it changed."""
-    totals = stream.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
-    target = f"{root}/updates"
+# --- running aggregates -----------------------------------------------------
+def _updates(totals: DataFrame, root: str) -> StreamingQuery:
+    """Each batch leaves the rows of the groups it changed."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        df.write.mode("overwrite").parquet(f"{root}/updates/batch={batch_id}")
 
     return _start(totals.writeStream.outputMode("update").foreachBatch(batch), root)
 
 
-def latest_totals(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+def running_totals(stream: DataFrame, keys: list[str], sums: dict[str, F.Column], root: str) -> StreamingQuery:
+    """Sums per key."""
+    return _updates(stream.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()]), root)
+
+
+def latest(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
     """The newest row of each key over all batches."""
     rows = spark.read.parquet(f"{root}/updates")
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
@@ -83,30 +100,36 @@ def latest_totals(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
 
 # --- closed periods ---------------------------------------------------------
 def period_metric(
-    stream: DataFrame, time: str, series: str, value: str, period: str, delay: str, root: str,
+    stream: DataFrame, time: str, series: str, value: str, period: str, root: str,
 ) -> StreamingQuery:
-    """Mean per (series, period), written when the watermark has passed the period; later rows are dropped."""
-    late = stream.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", delay)
-    means = late.groupBy(F.window("_ts", period).alias("_w"), series).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean")
+    """Mean per (series, period).  The state is a row per series and period, as long as the calendar."""
+    timed = stream.withColumn("_ts", F.col(time).cast("timestamp")).where(F.col("_ts").isNotNull())
+    means = timed.groupBy(F.window("_ts", period).alias("_w"), series).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.max("_ts").alias("newest")
     )
-    rows = means.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), series, "n", "mean")
-    writer = rows.writeStream.outputMode("append").format("parquet").option("path", f"{root}/periods")
-    return _start(writer, root)
+    return _updates(means.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), series, "n", "mean", "newest"), root)
+
+
+def closed_periods(spark: SparkSession, root: str, series: str, delay: str) -> DataFrame:
+    """Periods that ended `delay` or more before the newest row.
+
+    Rows count whenever they come, so files in any order and any number per batch give the same means.
+    """
+    rows = latest(spark, root, ["start", "end", series])
+    mark = rows.select((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("mark"))
+    return rows.join(F.broadcast(mark), F.col("end") <= F.col("mark")).drop("mark", "newest")
 
 
 # --- first one wins ---------------------------------------------------------
-def first_arrival(stream: DataFrame, time: str, keys: list[str], delay: str, root: str) -> StreamingQuery:
-    """Rows whose key has not come before within the watermark delay.
+def first_arrival(stream: DataFrame, time: str, keys: list[str], root: str) -> StreamingQuery:
+    """The row of each key that is first by `time`, then by its other columns; read it with `latest`.
 
-    Copies are thinned out per (key, salt) first: a key with very many copies is then
-    spread over the tasks, and at most one row per salt goes on to the second step.
+    State holds one row per key and never expires, so a copy that comes late can't count as new.  min_by combines
+    map-side: a key with very many copies sends one row per task.
     """
-    late = stream.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", delay)
-    salted = late.withColumn("_salt", F.pmod(F.hash(*stream.columns), F.lit(DEDUPE_SALTS)))
-    thinned = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
-    kept = thinned.dropDuplicatesWithinWatermark(keys).drop("_ts")
-    return _start(kept.writeStream.outputMode("append").format("parquet").option("path", f"{root}/first"), root)
+    rest = [c for c in stream.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(time, *[c for c in rest if c != time])).alias("_first")
+    return _updates(stream.groupBy(*keys).agg(first).select(*keys, "_first.*"), root)
 
 
 # --- smoothing --------------------------------------------------------------
