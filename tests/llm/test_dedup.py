@@ -141,3 +141,12 @@ def test_nothing_null_and_repeated(spark):
     for run in (suffix_dedup.dedup_bytes, substring_dedup.dedup_substrings, jaccard_join.near_duplicates, exact_dedup.dedup_exact):
         assert run(none).collect() == []
         assert len(run(odd).collect()) == 3
+
+
+def test_jaccard_keeps_rows_of_one_id_apart(spark):
+    """The second text of doc_id 2 is near 1 and has a set of its own; it isn't compared as the first one's."""
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(1, a), (2, b), (2, a + " x"), (3, b + " y"), (4, prose(3, 80))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert found.count() == len(rows)
+    assert [r.component_id for r in found.where("doc_id = 4").collect()] == [4]
