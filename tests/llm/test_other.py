@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,25 @@ def test_pack(spark):
     assert packing.pack(docs.limit(0), path).collect() == []
 
 
+def _backoff(model, word):
+    """Score of one word, straight from the rule."""
+
+    def gram(g):
+        table = model.grams[len(g)]
+        if g in table.at:
+            return table.logs[table.at[g]], 1
+        if len(g) == 1:
+            return np.zeros(len(model.langs)), 0
+        (a, m), (b, n) = gram(g[:-1]), gram(g[1:])
+        return a + b, m + n
+
+    if word in model.words.at:
+        return model.words.logs[model.words.at[word]]
+    padded = f"<{word}>"
+    found = [gram(padded[i : i + 5]) for i in range(max(1, len(padded) - 4))]
+    return sum(v for v, _ in found) / max(1, sum(n for _, n in found))
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.fit(docs.where(~language_id.held_out("doc_id")).select("doc_id", "text", "lang"))
@@ -120,9 +140,13 @@ def test_language(spark, sf_dir):
     got = {r.doc_id: r.lang_pred for r in language_id.predict(held, model).collect()}
     want = {r.doc_id: r.lang for r in held.collect()}
     assert sum(got[d] == want[d] for d in want) >= 0.95 * len(want)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (None, "été")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "½ ²"), (None, "été")], "doc_id long, text string")
     rows = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
-    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (1, 2, 3)) and rows[None].lang_pred in model.langs
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (1, 2, 3, 4)) and rows[None].lang_pred in model.langs
+    scorer = language_id.Scorer(model)
+    unseen = ["xqzwv", "thereof" * 4, "ß", "łłłłłłłł", model.langs[0]]
+    for word, scored in zip(unseen, scorer.words.get(unseen)):
+        assert np.allclose(scored, _backoff(model, word))
     empty = language_id.fit(docs.limit(0).select("doc_id", "text", "lang"))
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 

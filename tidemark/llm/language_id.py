@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,49 +17,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import written
-from tidemark.llm.wordcache import WordCache
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
+#: Bytes of scores that a task keeps for words, and for the n-grams of each order.
+KEPT_BYTES = 16 << 20
 
 
 @dataclass
-class LanguageModel:
-    """For each unit (a word, or an n-gram with its order) the log2 probability in each language."""
+class Table:
+    """Unit -> row of log2 probabilities, one column per language."""
+
+    at: dict[str, int]
+    logs: np.ndarray
+
+    def rows(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of `units` are known, and the rows of those."""
+        found = np.fromiter((self.at.get(u, -1) for u in units), np.int64, len(units))
+        return found >= 0, self.logs[found[found >= 0]]
+
 
+@dataclass
+class LanguageModel:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded = f"<{word}>"
-        total, n = np.zeros(len(self.langs)), 0
-        for i in range(max(1, len(padded) - ORDERS[0] + 1)):
-            part, k = self._gram(padded[i : i + ORDERS[0]])
-            total, n = total + part, n + k
-        return total / n if n else total
-
-    def _gram(self, gram: str) -> tuple[np.ndarray, int]:
-        known = self.grams.get(gram)
-        if known is not None:
-            return known, 1
-        if len(gram) == 1:
-            return np.zeros(len(self.langs)), 0
-        (a, m), (b, n) = self._gram(gram[:-1]), self._gram(gram[1:])
-        return a + b, m + n
-
-
-def _table(counts: DataFrame, langs: list[str], keep: int) -> dict[str, np.ndarray]:
+    words: Table
+    grams: dict[int, Table]
+
+
+class _Kept:
+    """Rows worked out by `fill`, found again by key; emptied when they would pass KEPT_BYTES."""
+
+    def __init__(self, width: int, fill: Callable[[list[str]], np.ndarray]):
+        self.fill, self.limit = fill, max(1_000, min(300_000, KEPT_BYTES // (8 * width)))
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1_024, width))
+
+    def get(self, keys: list[str]) -> np.ndarray:
+        at = self.at
+        try:
+            return self.table[[at[k] for k in keys]]
+        except KeyError:
+            missing = [k for k in dict.fromkeys(keys) if k not in at]
+        if len(at) + len(missing) > self.limit:
+            at.clear()
+            missing = list(dict.fromkeys(keys))
+        values, n = self.fill(missing), len(at)
+        if n + len(missing) > len(self.table):
+            larger = np.zeros((2 * (n + len(missing)), self.table.shape[1]))
+            larger[:n] = self.table[:n]
+            self.table = larger
+        self.table[n : n + len(missing)] = values
+        at.update(zip(missing, range(n, n + len(missing))))
+        return self.table[[at[k] for k in keys]]
+
+
+class Scorer:
+    """Scores of words in each language; n-grams carry a last column, how many known n-grams their score adds up."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.width = model, len(model.langs)
+        self.words = _Kept(self.width, self._words)
+        self.grams = {k: _Kept(self.width + 1, lambda units, k=k: self._grams(units, k)) for k in ORDERS}
+
+    def _grams(self, units: list[str], k: int) -> np.ndarray:
+        known, logs = self.model.grams[k].rows(units)
+        out = np.zeros((len(units), self.width + 1))
+        out[known, :-1], out[known, -1] = logs, 1
+        rest = [units[i] for i in np.flatnonzero(~known)]
+        if rest and k > 1:
+            halves = self.grams[k - 1].get([u[:-1] for u in rest] + [u[1:] for u in rest])
+            out[~known] = halves[: len(rest)] + halves[len(rest) :]
+        return out
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        known, logs = self.model.words.rows(words)
+        out = np.zeros((len(words), self.width))
+        out[known] = logs
+        rest = [(i, f"<{words[i]}>") for i in np.flatnonzero(~known)]
+        for k in ORDERS:
+            mine = [(i, p) for i, p in rest if min(len(p), ORDERS[0]) == k]
+            if mine:
+                windows = np.array([len(p) - k + 1 for _, p in mine])
+                scores = self.grams[k].get([p[j : j + k] for _, p in mine for j in range(len(p) - k + 1)])
+                total = np.add.reduceat(scores, np.cumsum(windows) - windows)
+                out[[i for i, _ in mine]] = total[:, :-1] / np.maximum(total[:, -1:], 1)
+        return out
+
+
+def _table(counts: DataFrame, width: int, keep: int) -> Table:
     """Smoothed log2 frequencies of the `keep` units that are most frequent in any language."""
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    wide = counts.groupBy("unit").agg(*(F.sum(F.when(F.col("lang") == v, F.col("n")).otherwise(0)).alias(f"n{i}") for i, v in enumerate(langs)))
-    top = wide.orderBy(F.greatest(*(F.col(f"n{i}") for i in range(len(langs))), F.lit(0)).desc(), "unit").limit(keep).collect()
-    base = np.array([math.log2(totals.get(v, 0) + len(top) + 1) for v in langs])
-    return {r["unit"]: np.log2(np.array(r[1:], float) + 0.5) - base for r in top}
+    columns = [f"n{i}" for i in range(width)]
+    totals = counts.agg(*(F.sum(c).alias(c) for c in columns)).first()
+    top = counts.orderBy(F.greatest(*columns, F.lit(0)).desc(), "unit").limit(keep).select("unit", *columns).collect()
+    base = np.log2(np.array([totals[c] or 0 for c in columns], float) + len(top) + 1)
+    found = np.array([r[1:] for r in top], float).reshape(len(top), width)
+    return Table({r[0]: i for i, r in enumerate(top)}, np.log2(found + 0.5) - base)
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = 2_000, keep_words: int = 100_000, keep_grams: int = 100_000) -> LanguageModel:
@@ -70,6 +123,9 @@ def fit(labelled: DataFrame, docs_per_lang: int = 2_000, keep_words: int = 100_0
     """
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = sorted(r["lang"] for r in sizes.collect())
+    if not langs:
+        nothing = Table({}, np.zeros((0, 0)))
+        return LanguageModel([], nothing, {k: nothing for k in ORDERS})
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("n") < docs_per_lang).select("lang", "text")
 
@@ -85,20 +141,25 @@ def fit(labelled: DataFrame, docs_per_lang: int = 2_000, keep_words: int = 100_0
                 ["lang", "unit", "n"],
             )
 
-    words = written(sample.mapInArrow(split, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")), "words")
+    counted = sample.mapInArrow(split, "lang string, unit string, n long")
+    columns = [f"n{i}" for i in range(len(langs))]
+    words = written(
+        counted.groupBy("unit").agg(*(F.sum(F.when(F.col("lang") == v, F.col("n")).otherwise(0)).alias(c) for v, c in zip(langs, columns))),
+        "words",
+    )
+    padded = F.concat(F.lit("<"), "unit", F.lit(">"))
 
-    def grams(k: int) -> DataFrame:
-        padded = F.concat(F.lit("<"), "unit", F.lit(">"))
+    def parts(k: int) -> F.Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1)))
-        parts = words.select("lang", "n", F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(k)))).alias("unit"))
-        return parts.where(F.length("unit") == k).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(k)))
 
-    if not langs:
-        return LanguageModel([], {}, {})
-    tables: dict[str, np.ndarray] = {}
-    for k in ORDERS:
-        tables |= _table(grams(k), langs, keep_grams // len(ORDERS))
-    return LanguageModel(langs, _table(words, langs, keep_words), tables)
+    # A padded word shorter than k would be counted again as a piece of its own length.
+    every = F.concat(*(F.when(F.length(padded) >= k, parts(k)).otherwise(F.array().cast("array<string>")) for k in ORDERS))
+    grams = written(
+        words.select(F.explode_outer(every).alias("unit"), *columns).groupBy("unit").agg(*(F.sum(c).alias(c) for c in columns)), "grams"
+    )
+    per_order = {k: _table(grams.where(F.length("unit") == k), len(langs), keep_grams // len(ORDERS)) for k in ORDERS}
+    return LanguageModel(langs, _table(words, len(langs), keep_words), per_order)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -112,16 +173,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = everywhere.value
-        cache = WordCache(lambda missing: (known.word(w) for w in missing), 300_000)
+        scorer = Scorer(known)
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
                 words = LETTERS.findall((text or "").lower())
-                if not words or not known.langs:
+                if not known.langs or not any(any(map(str.isalpha, w)) for w in words):  # the pattern lets a lone ² through
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                total = np.sum(cache.get(words), axis=0)
+                total = scorer.words.get(words).sum(axis=0)
                 best = int(np.argmax(total))
                 langs.append(known.langs[best])
                 scores.append(float(1 / np.exp2((total - total[best]) / math.sqrt(len(words))).sum()))
