@@ -49,7 +49,7 @@ class _Kept:
     """Rows worked out by `fill`, found again by key; emptied when they would pass KEPT_BYTES."""
 
     def __init__(self, width: int, fill: Callable[[list[str]], np.ndarray]):
-        self.fill, self.limit = fill, max(1_000, min(300_000, KEPT_BYTES // (8 * width)))
+        self.fill, self.limit = fill, max(1_000, min(300_000, KEPT_BYTES // (8 * width + 8)))
         self.at: dict[str, int] = {}
         self.table = np.zeros((1_024, width))
 
