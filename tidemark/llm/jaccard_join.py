@@ -32,6 +32,8 @@ _LOW = np.uint64((1 << 40) - 1)
 _BUCKET_KEYS = 1 << 20
 _SENT_KEYS = 1 << 21
 _SENT_SETS = 60_000
+#: Bytes of text that are cut into words at a time; the arrays for that take some 40 times as much.
+_SLICE = 1 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -92,7 +94,7 @@ def set_table(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _SLICE):
                 n, h1, h2 = [], [], []
                 for s in shingle_sets(batch.column("text"), k):
                     n.append(len(s))
@@ -164,7 +166,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         names: list[np.int64] = []
         held = 0
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _SLICE):
                 for s in shingle_sets(batch.column("text"), k):
                     if len(s) == 0:
                         continue
@@ -283,7 +285,7 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, label: np.ndar
 
 def _sets(table: pa.Table, k: int) -> tuple[pa.Table, list[np.ndarray]]:
     """Rows whose text has the set h1 of their class, with the sets; others only share a doc_id with it."""
-    parts = (part for batch in table.to_batches() for part in slices(batch, "text"))
+    parts = (part for batch in table.to_batches() for part in slices(batch, "text", _SLICE))
     sets = [s for part in parts for s in shingle_sets(part.column("text"), k)]
     own = [i for i, (s, h1) in enumerate(zip(sets, table.column("h1").to_pylist())) if int(_name(s).view(np.int64)) == h1]
     return table.drop_columns("text").take(own), [sets[i] for i in own]
