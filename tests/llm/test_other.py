@@ -181,6 +181,18 @@ def test_pages_lose_shared_lines(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_all_lines_are_compared_and_markup_checks(spark):
+    def marked(own):
+        return f"<div>Top</div><nav>{own} menu</nav><article><p>{own}</p><p>said by both</p></article><div>Bottom</div>"
+
+    rows = [(7, "http://m.org/1", marked("seven")), (8, "http://m.org/2", marked("eight"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[7] == "seven\nsaid by both" and got[8] == "eight\nsaid by both"
+    held = html_extract.lines(pages.withColumn("page", F.col("page_id")))
+    assert {len(r.lines) for r in held.collect()} == {5}  # menu, article and the rest alike
+
+
 def test_common_is_longest():
     import numpy as np
 

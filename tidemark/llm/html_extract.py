@@ -1,9 +1,9 @@
 """HTML extraction by differencing pages with nearest URLs.
 
 Pages of a host are put in order of their URL paths, and each is paired with the neighbour whose path agrees longest.
-The lines of the two are aligned by their longest common subsequence; lines that both have are the host's template
-and are deleted.  Lines in the page's marked main part are never template, and markup that names menus, adverts and
-the like decides without a partner.
+All text lines of the two are aligned by their longest common subsequence; lines that both have are taken for the
+host's template and deleted.  Markup checks the rest: lines of a marked main part come back, since neighbours share
+sentences too, and lines that markup names as menus, adverts and the like go even where no partner has them.
 """
 
 from __future__ import annotations
@@ -25,21 +25,22 @@ COPY_SHARE = 0.8
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """page, hashes of lines that the markup leaves undecided."""
+    """page, url, hashes of all text lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in undecided(h or "")] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(hashes, pa.list_(pa.int64()))], ["page", "lines"])
+            hashes = [[xxhash.xxh3_64_intdigest(b.text) - (1 << 63) for b in blocks(h or "")] for h in batch.column("html").to_pylist()]
+            columns = [batch.column("page"), batch.column("url"), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["page", "url", "lines"])
 
-    return pages.select("page", "html").mapInArrow(run, "page long, lines array<long>")
+    return pages.select("page", "url", "html").mapInArrow(run, "page long, url string, lines array<long>")
 
 
-def undecided(page: str) -> list[str]:
+def checked(page: str, gone: set[int]) -> list[str]:
+    """Lines of the article: those that differencing left, checked by the markup around each."""
     found = blocks(page)
-    if any(b.in_main for b in found):
-        return [b.text for b in found if not b.in_main and not b.outside]
-    return [b.text for b in found if not b.outside]
+    marked = any(b.in_main for b in found)
+    return [b.text for i, b in enumerate(found) if not b.outside and (b.in_main if marked else i not in gone)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -102,16 +103,17 @@ def nearest(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text; one row per row of `pages`.
 
-    pages: page_id, url, html; other columns are ignored.  Null or empty html gives an empty text.  If the markup has a
-    main part, that is the article, without parts in it that are named otherwise.  If not, lines that the nearest page
-    shares are deleted, except where over four fifths of them are shared: then the pages are copies.  A page without a
-    URL, or alone on its host, keeps its undecided lines.  Rows that repeat a page_id are paired by their URLs.
+    pages: page_id, url, html; other columns are ignored.  Null or empty html gives an empty text.  All lines that the
+    nearest page shares are deleted, except where over four fifths are shared.  If the markup has a main part, that is the article all the same,
+    without parts in it that are named otherwise.  A page without a URL, or alone on its host,
+    keeps what the markup doesn't name otherwise.  Rows that repeat a page_id are paired by their URLs.
     """
     row = F.xxhash64("page_id", "url", "html")
     keyed = pages.select("page_id", "url", "html", row.alias("page"))
     held = written(lines(keyed).dropDuplicates(["page"]), "lines")
-    pairs = nearest(keyed.select("page", "url").dropDuplicates(["page"]))
-    both = pairs.join(held, "page").join(held.select(F.col("page").alias("partner"), F.col("lines").alias("other")), "partner")
+    filled = held.where(F.size("lines") > 0)  # a page without text shares nothing
+    pairs = nearest(filled.select("page", "url"))
+    both = pairs.join(held.select("page", "lines"), "page").join(held.select(F.col("page").alias("partner"), F.col("lines").alias("other")), "partner")
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +129,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
-                found = blocks(page or "")
-                if any(b.in_main for b in found):
-                    kept = [b.text for b in found if b.in_main and not b.outside]
-                else:
-                    drop = set(gone or ())
-                    kept = [t for i, t in enumerate(b.text for b in found if not b.outside) if i not in drop]
-                texts.append("\n".join(kept))
+                texts.append("\n".join(checked(page or "", set(gone or ()))))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     joined = keyed.join(template, "page", "left").select(F.col("page_id").cast("long"), "url", "html", "gone")
