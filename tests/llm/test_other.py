@@ -193,6 +193,20 @@ def test_all_lines_are_compared_and_markup_checks(spark):
     assert {len(r.lines) for r in held.collect()} == {5}  # menu, article and the rest alike
 
 
+def test_pages_lose_a_large_template_and_skip_copies(spark):
+    def page(*own):
+        menu = [f"<div>Menu {i}</div>" for i in range(20)]
+        return "".join([*menu[:12], *(f"<p>{o}</p>" for o in own), *menu[12:]])
+
+    rows = [(1, "http://h.org/a/10", page("one", "two", "three")), (2, "http://h.org/a/20", page("four", "five", "six"))]
+    rows += [(i, f"http://copy.org/a/1{i}", page("same")) for i in (3, 4, 5)] + [(6, "http://copy.org/b/1", page("other"))]
+    rows += [(7, "http://copy.org/a/19", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got[1] == "one\ntwo\nthree" and got[2] == "four\nfive\nsix"
+    assert got[3] == got[4] == got[5] == "same" and got[6] == "other" and got[7] == ""
+
+
 def test_common_is_longest():
     import numpy as np
 

@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.html_lines import blocks
 from tidemark.llm.store import written
 
-#: Pages that share more than this part of their undecided lines are copies of a page, which says nothing about a template.
-COPY_SHARE = 0.8
-
 
 def lines(pages: DataFrame) -> DataFrame:
     """page, url, hashes of all text lines."""
@@ -67,15 +64,17 @@ def common(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """page, partner: pages of the same host with close paths; a page that is alone on its host has no row.
+    """page, partner: pages of the same host with close paths; a page whose host has no other content has no row.
+
+    pages: page, url, content; a page is never paired with one of equal `content`, a copy says nothing about a template.
 
     Paths are compared in small groups that share a beginning: first within directory and all but the last two
     characters of the name, then pages that were alone there within the directory, then within the host's first part of
-    the path, then within the host.  So no window holds a whole large host.
+    the path, then within the host.  So no window holds a whole large host, unless all its pages are copies of one.
     """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    place = pages.select("page", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path")).where("host <> ''")
+    place = pages.select("page", "content", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path")).where("host <> ''")
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     keys = [
         F.expr("substring(path, 1, greatest(length(path) - 2, 0))"), folder, F.regexp_extract("path", r"^(/[^/]*)", 1), F.lit(""),
@@ -83,9 +82,14 @@ def nearest(pages: DataFrame) -> DataFrame:
     left, out = place, None
     for level, key in enumerate(keys):
         group = Window.partitionBy("host", "key").orderBy("path", "page")
-        near = left.withColumn("key", key).select(
-            "page", "host", "path", *(f(c).over(group).alias(f"{n}_{c}") for n, f in (("lag", F.lag), ("lead", F.lead)) for c in ("page", "path"))
-        )
+        back = Window.partitionBy("host", "key").orderBy(F.desc("path"), F.desc("page"))
+        near = left.withColumn("key", key)
+        for name, order in (("lag", group), ("lead", back)):
+            # The neighbour of a run of copies, carried along the run.
+            near = near.withColumn(name, F.lag(F.struct("page", "path", "content")).over(order))
+            near = near.withColumn(name, F.when(F.col(f"{name}.content") != F.col("content"), F.col(name)))
+            near = near.withColumn(name, F.last(name, ignorenulls=True).over(order))
+        near = near.select("page", "content", "host", "path", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("lag", "lead") for c in ("page", "path")))
 
         def agree(other):
             """Number of characters, up to 64, that both paths begin with."""
@@ -93,10 +97,10 @@ def nearest(pages: DataFrame) -> DataFrame:
             return F.when(F.col(other).isNull(), -1).otherwise(F.aggregate(parts, F.lit(0), lambda s, x: s + x))
 
         near = near.withColumn("partner", F.when(agree("lag_path") >= agree("lead_path"), F.coalesce("lag_page", "lead_page")).otherwise(F.col("lead_page")))
-        near = written(near.select("page", "host", "path", "partner"), f"near-{level}")
+        near = written(near.select("page", "content", "host", "path", "partner"), f"near-{level}")
         paired = near.where("partner IS NOT NULL").select("page", "partner")
         out = paired if out is None else out.union(paired)
-        left = near.where("partner IS NULL").select("page", "host", "path")
+        left = near.where("partner IS NULL").select("page", "content", "host", "path")
     return out
 
 
@@ -104,23 +108,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text; one row per row of `pages`.
 
     pages: page_id, url, html; other columns are ignored.  Null or empty html gives an empty text.  All lines that the
-    nearest page shares are deleted, except where over four fifths are shared.  If the markup has a main part, that is the article all the same,
-    without parts in it that are named otherwise.  A page without a URL, or alone on its host,
+    nearest page with other lines shares are deleted.  If the markup has a main part, that is the article all the same,
+    without parts in it that are named otherwise.  A page without a URL, or on a host that has no page but copies of it,
     keeps what the markup doesn't name otherwise.  Rows that repeat a page_id are paired by their URLs.
     """
     row = F.xxhash64("page_id", "url", "html")
     keyed = pages.select("page_id", "url", "html", row.alias("page"))
     held = written(lines(keyed).dropDuplicates(["page"]), "lines")
     filled = held.where(F.size("lines") > 0)  # a page without text shares nothing
-    pairs = nearest(filled.select("page", "url"))
+    pairs = nearest(filled.select("page", "url", F.xxhash64("lines").alias("content")))
     both = pairs.join(held.select("page", "lines"), "page").join(held.select(F.col("page").alias("partner"), F.col("lines").alias("other")), "partner")
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for a, b in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist()):
-                shared = common(np.array(a, np.int64), np.array(b, np.int64))
-                gone.append(shared if len(shared) <= COPY_SHARE * len(a) else [])
+            both = zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist())
+            gone = [common(np.array(a, np.int64), np.array(b, np.int64)) for a, b in both]
             yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(gone, pa.list_(pa.int32()))], ["page", "gone"])
 
     template = both.select("page", "lines", "other").mapInArrow(diff, "page long, gone array<int>").where(F.size("gone") > 0)
