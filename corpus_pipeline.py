@@ -1,7 +1,7 @@
 """From documents to packed training sequences: each stage is a table that the next one reads.
 
-Rejected and duplicate documents go, secrets are blanked out, and what is left is packed.  Stages find their
-documents by doc_id (null equals null); rows that share a doc_id stay or go together.
+Rejected and duplicate documents go, secrets are blanked out, and what is left is packed.  Each row
+stays or goes by itself: where doc_ids repeat or are null, stages find their rows by numbers in the order of doc_id.
 """
 
 from __future__ import annotations
@@ -13,23 +13,33 @@ from tidemark.llm import exact_dedup, jaccard_join, packing, quality_rules, secr
 from tidemark.llm.store import written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is in `ids`."""
-    wanted = ids.select(F.col("doc_id").alias("wanted_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted_id"]), "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    """`docs` with a column `_row` of distinct numbers in the order of doc_id, null last; doc_id itself where it serves."""
+    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if repeats.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    # Ranges of doc_id come in the order of their partitions, and so do these numbers.
+    ordered = docs.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64(*docs.columns))
+    return written(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _only(docs: DataFrame, found) -> DataFrame:
+    """Rows of `docs` that `found`, given them with `_row` as their doc_id, gives back."""
+    rows = _rows(docs)
+    wanted = found(rows.withColumn("doc_id", F.col("_row"))).select(F.col("doc_id").alias("_row"))
+    return rows.join(wanted, "_row", "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.quality(docs).where("kept"))
+    return _only(docs, lambda d: quality_rules.quality(d).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.dedup_exact(docs).where("kept"))
+    return _only(docs, lambda d: exact_dedup.dedup_exact(d).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return _only(docs, lambda d: jaccard_join.near_duplicates(d).where("doc_id = component_id"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -123,6 +124,32 @@ def test_exact(docs, rows, files, digest):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.unhex(F.lit("00"))])
+def test_exact_keeps_one_row_of_a_group(spark, digest):
+    rows = [(1, "a b"), (1, "a  b"), (2, "a b"), (None, "a b"), (None, "c"), (None, "c"), (None, "c"), (3, "d"), (3, "e")]
+    got = exact_dedup.dedup_exact(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), digest, copies=True).collect()
+    assert len(got) == len(rows)
+    kept = [(r.doc_id, r.group_size) for r in got if r.kept]
+    assert sorted(kept, key=str) == sorted([(1, 4), (None, 3), (3, 1), (3, 1)], key=str)
+    assert sorted(r.copy for r in got) == [0] * 6 + [1] * 3 and not [r for r in got if r.copy and r.kept]
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark):
+    good, other, near = (" ".join(f"{w}{i}" for i in range(90)) for w in "abc")
+    rows = [(None, good, "h"), (None, good, "h"), (None, "short", "h"), (None, other, "h"), (7, near, "h"), (7, near + " end", "h"), (7, "too short", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for name, stage, want in (
+        ("quality", corpus_pipeline.quality, sorted([good, good, other, near, near + " end"])),
+        ("exact", corpus_pipeline.exact, sorted(["short", "too short", good, other, near, near + " end"])),
+        ("near", corpus_pipeline.near, None),
+    ):
+        texts = sorted(r.text for r in stage(spark, docs, "").collect())
+        if want is None:
+            assert len(texts) == 5 and texts.count(good) == 1 and {"short", "too short", other} <= set(texts), name
+        else:
+            assert texts == want, name
+
+
 def test_state_goes_on(spark, tmp_path):
     """Documents of a later run are compared with those of an earlier one."""
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
