@@ -73,6 +73,24 @@ def test_scan_adds_and_redacts(spark):
     assert clean[500].text == "lone [secret] here" and clean[500].n_chars == 18 and clean[501].text is None
 
 
+def test_scan_finds_short_tokens_and_whole_keys(spark):
+    rng = random.Random(6)
+    codes = ["".join(rng.choice("QXZ0123456789") for _ in range(10)) for _ in range(420)]
+    rows = [(i, f"token={c} follows ordinary sentences, nothing{chr(97 + i % 26)} hidden herein", "en", "s", 1) for i, c in enumerate(codes[:400])]
+    rows += [(1000 + i, f"plain {c} here", "en", "s", 1) for i, c in enumerate(codes[400:])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    formats = secret_scan.learn(docs.where("doc_id < 1000"))
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secret_scan.scan(docs, formats).collect()}
+    assert sum(got[1000 + i] == [(6, 16, "like_assign")] for i in range(20)) >= 18
+    assert all([k for *_, k in got[i]] == ["assign"] for i in range(400))
+    keys = [f"K{rng.randint(10, 99)}-" + "".join(rng.choice("0123456789abcdef") for _ in range(24)) + f"-Z{rng.randint(0, 9)}" for _ in range(420)]
+    rows = [(i, f"token={c} and ordinary sentences", "en", "s", 1) for i, c in enumerate(keys[:400])]
+    formats = secret_scan.learn(spark.createDataFrame(rows, SCHEMA))
+    docs = spark.createDataFrame([(i, f"plain {c} here", "en", "s", 1) for i, c in enumerate(keys[400:])], SCHEMA)
+    clean = [r.text for r in secret_scan.redact(docs, formats).collect()]
+    assert clean.count("plain [secret] here") >= 18
+
+
 def test_packing_plan():
     rng = random.Random(5)
     for _ in range(30):

@@ -1,9 +1,10 @@
 """Secret scans by grammar inference.
 
 Strings that the base patterns find are labelled credentials.  For each kind a probabilistic automaton is inferred
-from up to `per_kind` of them, and one more from ordinary long tokens.  Every long token of every text is then scored:
-it is a secret when a kind's automaton finds it about as likely as that kind's own credentials and clearly likelier
-than the ordinary automaton does.  Base spans always stay.
+from up to `per_kind` of them, and one more from ordinary tokens.  Every token of every text that is as long as a kind's
+shortest example, or 16 characters, is then scored: it is a secret when a kind's automaton finds it about as likely as
+that kind's own credentials and clearly likelier than the ordinary automaton does.  Base spans always stay, and tokens
+that reach beyond one are scored too.  A kind with fewer than 10 distinct examples has no automaton.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HINT = re.compile(r"assw(?:or)?d|ecret|oken|pi_?key", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+SHORTEST, LONG = 6, 16  # the least value of a base pattern; from here on a token is scored whatever the examples' lengths
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{6,}")
+CACHED = 100_000  # verdicts on tokens that a worker holds
 Span = tuple[int, int, str, str]  # start, end, kind, value
 
 
@@ -41,15 +45,21 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Formats:
-    """Automata by kind with the least score of each kind, and the automaton of ordinary tokens."""
+    """Automata by kind with the least score and length of each kind, and the automaton of ordinary tokens."""
 
-    kinds: dict[str, tuple[Automaton, float]]
+    kinds: dict[str, tuple[Automaton, float, int]]
     ordinary: Automaton | None
     margin: float
 
+    @property
+    def shortest(self) -> int:
+        return min((n for _, _, n in self.kinds.values()), default=LONG)
+
     def kind_of(self, token: str) -> str | None:
         best = None
-        for kind, (automaton, least) in self.kinds.items():
+        for kind, (automaton, least, length) in self.kinds.items():
+            if len(token) < length:
+                continue
             s = automaton.score(token)
             if s >= least and (best is None or s > best[0]):
                 best = (s, kind)
@@ -59,7 +69,7 @@ class Formats:
 
 
 def examples(docs: DataFrame) -> DataFrame:
-    """kind, value of every base match, and long tokens outside of them as kind `ordinary`."""
+    """kind, value of every base match, and tokens outside of them as kind `ordinary`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,15 +78,18 @@ def examples(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 found.update((s[2], s[3]) for s in spans)
-                found.update(("ordinary", text[a:b]) for a, b in candidates(text, spans))
+                found.update(("ordinary", text[a:b]) for a, b in candidates(text, spans, SHORTEST, False))
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     return docs.select("text").mapInArrow(run, "kind string, value string")
 
 
-def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Long tokens that touch no base span, without the punctuation that ends a sentence."""
+def candidates(text: str, spans: list[Span], shortest: int, touching: bool = True) -> list[tuple[int, int]]:
+    """Tokens of `shortest` characters or more that aren't inside a base span, without the punctuation that ends a sentence.
+
+    Without `touching`, only those that no base span touches.
+    """
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
@@ -84,7 +97,7 @@ def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
             b -= 1
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if b - a >= 16 and not any(s[0] < b and a < s[1] for s in spans[k:]):
+        if b - a >= shortest and not any(s[0] <= a and b <= s[1] if touching else s[0] < b and a < s[1] for s in spans[k:]):
             out.append((a, b))
     return out
 
@@ -101,7 +114,7 @@ def learn(docs: DataFrame, per_kind: int = 1_000, margin: float = 1.0) -> Format
         if len(values[kind]) >= 10:  # fewer say nothing about a format
             automaton = infer(values[kind])
             scores = sorted(automaton.score(v) for v in values[kind])
-            kinds[kind] = (automaton, scores[len(scores) // 50] - 0.1)
+            kinds[kind] = (automaton, scores[len(scores) // 50] - 0.1, min(LONG, *map(len, values[kind])))
     return Formats(kinds, infer(values["ordinary"]) if values["ordinary"] else None, margin)
 
 
@@ -115,6 +128,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = everywhere.value
+        kind_of = lru_cache(CACHED)(known.kind_of)
         kind_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             out = []
@@ -122,8 +136,8 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
                 text = text or ""
                 base = base_spans(text)
                 spans = [(s[0], KINDS.index(s[2]), s[1], s[2]) for s in base]
-                for a, b in candidates(text, base):
-                    kind = known.kind_of(text[a:b])
+                for a, b in candidates(text, base, known.shortest):
+                    kind = kind_of(text[a:b])
                     if kind:
                         spans.append((a, 3 + KINDS.index(kind), b, f"like_{kind}"))
                 out.append([{"start": a, "end": b, "kind": kind} for a, _, b, kind in sorted(spans)])
@@ -142,12 +156,13 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     @F.pandas_udf("string")
     def clean(texts):
         known = everywhere.value
+        kind_of = lru_cache(CACHED)(known.kind_of)
 
         def one(text):
             if not text:
                 return text
             base = base_spans(text)
-            cut = [(s[0], s[1]) for s in base] + [c for c in candidates(text, base) if known.kind_of(text[c[0] : c[1]])]
+            cut = [(s[0], s[1]) for s in base] + [c for c in candidates(text, base, known.shortest) if kind_of(text[c[0] : c[1]])]
             out, at = [], 0
             for a, b in sorted(cut):
                 if a >= at:
