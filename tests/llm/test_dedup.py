@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def test_words(docs, rows, window):
     assert sorted(map(tuple, substring_dedup.dedup_substrings(docs, window, 2000).collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("k,percent,block", [(5, 80, 16_384), (3, 90, 3)])
+@pytest.mark.parametrize("k,percent,block", [(5, 80, 4_096), (3, 90, 3)])
 def test_jaccard(docs, rows, k, percent, block):
     sets = {}
     for d, t in rows:
@@ -97,6 +99,45 @@ def test_jaccard(docs, rows, k, percent, block):
     assert len(set(label.values())) < len(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_rare_key(percent):
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    level = rng.integers(0, 9, jaccard_join._CELLS).astype(np.uint8)
+    seen = 0
+    for n in (1, 2, 3, 9, 40, 333):
+        for _ in range(40):
+            base = rng.integers(0, 2**63, n).astype(np.uint64)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            other = np.concatenate([base[gone:], rng.integers(0, 2**63, gone // 3).astype(np.uint64)])
+            a, b = np.unique(base), np.unique(other)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                seen += 1
+                assert np.intersect1d(*(jaccard_join.rare_keys(s, percent, level) for s in (a, b))).size
+    assert seen > 150
+
+
+def test_passages_form_no_blocks_and_blocks_fit_tasks(spark):
+    """A passage that all documents have connects none of them; a group of copies of all sizes is cut and whole."""
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"{i}w{j}" for j in range(30 + i % 400))) for i in range(300)]
+    chain = [f"c{j}" for j in range(60)]
+    for i in range(300, 420):  # each is a near copy of the one before it, and the last is ten times as long as the first
+        chain = chain[rng.randrange(2):] + [f"{i}c{j}" for j in range(1 + len(chain) // 25)]
+        rows.append((i, " ".join(chain)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = jaccard_join.near_duplicates(docs, 5, 80, 24)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i if i < 300 else 300 for i, _ in rows}
+    level = jaccard_join.commonness(docs, 5)
+    sets = list(jaccard_join.shingle_sets(pa.array([t for _, t in rows[:300]]), 5))
+    common = set.intersection(*(set(s.tolist()) for s in sets))
+    first = [set(jaccard_join.rare_keys(s, 80, level).tolist()) for s in sets]
+    assert len(common) == 56 and sum(map(len, first)) == len(set().union(*first))
+
+
 def test_tree_bounds_lose_no_link():
     import numpy as np
 

@@ -1,12 +1,13 @@
 """N-gram Jaccard join with signature trees.
 
-Equal shingle sets become one class.  Classes that can link at all are brought together without pairs: a set is cut
-by hash into a few more than d parts, where d is the most by which two linked sets of that size can differ, so linked
-sets have a part in common.  Keys of parts travel packed, many to a row, and each batch of documents sends a key once;
-the key's other documents in that batch are joined there.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree whose nodes
-hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is dropped
-when the largest overlap it allows is too small.  What is left is compared by its full sets.  Documents that are
-linked already, over others, need no further comparison.
+Equal shingle sets become one class.  Classes that can link at all are brought together without pairs: shingles are
+ranked by how common they are, rarest first, and a set is found by its first few.  Linked sets share one of these for
+any ranking; this one keeps passages that many documents have out of the keys, so blocks stay near the size of the groups
+of copies.  Keys travel packed, many to a row, and each batch of documents sends a key once; the key's other documents
+in that batch are joined there.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree
+whose nodes hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is
+dropped when the largest overlap it allows is too small.  What is left is compared by its full sets.  Documents that
+are linked already, over others, need no further comparison.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from tidemark.llm.graph import components
 from tidemark.llm.store import written
 
 LAST = np.iinfo(np.int64).max
-_LEVELS = 4
 _LEAF = 16
 _SET = "doc_id long, n_shingles long, h1 long, h2 long"
 _PACKED = "bucket int, keys binary, at binary, ids binary, pairs binary"
 _LOW = np.uint64((1 << 40) - 1)
+#: Cells in which shingles are counted, and the rows that a task sends them in.
+_CELLS = 1 << 22
+_STRIPES = 64
+_CELL = np.uint64(_CELLS - 1)
 #: Keys that a bucket holds (about), keys and sets that a worker holds before it sends them.
 _BUCKET_KEYS = 1 << 20
 _SENT_KEYS = 1 << 21
@@ -54,39 +58,50 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def size_class(n: int, percent: int) -> list[tuple[int, int]]:
-    """(upper size, parts) of the classes in which a set of n shingles meets its partners."""
-    hi, out = 9, []
-    largest = n * 100 // percent
-    while True:
-        if n <= hi:
-            d = (100 - percent) * 2 * hi // (100 + percent)
-            out.append((hi, d + 3 + d // 25 if d else 1))  # a few more than d + 1, for parts that stay empty
-            if largest <= hi:
-                return out
-        hi = hi * 5 // 4
-
-
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the parts of a set.  Two sets that link have a key in common."""
-    out = []
-    for hi, parts in size_class(len(s), percent):
-        differ = (100 - percent) * (len(s) + min(hi, len(s) * 100 // percent)) // (100 + percent)
-        for level in range(_LEVELS):
-            h = s if level == 0 else np.sort(mix(s + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)))
-            edges = np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
-            at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
-            where = np.arange(parts, dtype=np.uint64) + np.uint64((hi << 24) + (level << 20 << 24))
-            key = mix(mix(where) + sums[at[1:]] - sums[at[:-1]])
-            held = np.diff(at) > 0
-            # Empty parts are equal in many sets.  If more parts hold something than can differ, one of those is shared;
-            # if not, the set is cut anew, and in the last cut its empty parts count too.
-            enough = int(held.sum()) > differ
-            out.append(key[held] if enough or level < _LEVELS - 1 else key)
-            if enough:
-                break
-    return np.concatenate(out)
+def commonness(docs: DataFrame, k: int) -> np.ndarray:
+    """How many documents have a shingle, on a log scale, by the lowest bits of its hash; one byte for each of _CELLS.
+
+    All documents are counted.  The numbers only rank shingles, so those that share a cell, and a task's counts over 255,
+    cost time and no link.
+    """
+    width = _CELLS // _STRIPES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(_CELLS, np.uint32)
+        for whole in batches:
+            for batch in slices(whole, "text", _SLICE):
+                for s in shingle_sets(batch.column("text"), k):
+                    np.add.at(seen, (s & _CELL).astype(np.int64), 1)
+        least = np.minimum(seen, 255).astype(np.uint8).reshape(_STRIPES, width)
+        held = np.flatnonzero(least.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int32()), pa.array([least[i].tobytes() for i in held], pa.binary())], ["stripe", "seen"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, stripe = np.zeros(width, np.int64), None
+        for batch in batches:
+            for stripe, seen in zip(batch.column("stripe").to_pylist(), batch.column("seen").to_pylist()):
+                total += np.frombuffer(seen, np.uint8)
+        level = np.floor(4 * np.log2(1 + total)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["stripe", "level"])
+
+    counts = docs.select("text").mapInArrow(count, "stripe int, seen binary")
+    out = np.zeros((_STRIPES, width), np.uint8)
+    for row in counts.groupBy("stripe").applyInArrow(add, "stripe int, level binary").collect():  # _CELLS bytes at most
+        out[row["stripe"]] = np.frombuffer(row["level"], np.uint8)
+    return out.ravel()
+
+
+def rare_keys(s: np.ndarray, percent: int, level: np.ndarray) -> np.ndarray:
+    """Keys of the rarest shingles of a set.  Two sets that link have a key in common.
+
+    A set of n links with sets that have at least ceil(percent * n / 100) of its shingles, so of its first
+    n + 1 - that many, in any order that is the same for all sets, one is among the first ones of the other.
+    """
+    first = len(s) + 1 + -len(s) * percent // 100
+    rank = level[(s & _CELL).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s) >> np.uint64(8)
+    return mix(rank[rank <= np.partition(rank, first - 1)[first - 1]])
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -155,11 +170,12 @@ def _unpacked(keys: bytes, at: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) of set hashes h1 that connect all sets which have a part in common.
+    """Pairs (a, b) of set hashes h1 that connect all sets which have a key in common.
 
-    A row carries many keys, so that shuffling a key takes some ten bytes.  A part that very many documents have is
-    sent once by each batch, and a bucket holds keys of many parts.
+    A row carries many keys, so that shuffling a key takes some ten bytes.  A key that very many documents have is
+    sent once by each batch, and a bucket holds many keys.
     """
+    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, k))  # _CELLS bytes
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -170,7 +186,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 for s in shingle_sets(batch.column("text"), k):
                     if len(s) == 0:
                         continue
-                    keys.append(part_keys(s, percent))
+                    keys.append(rare_keys(s, percent, level.value))
                     names.append(_name(s).view(np.int64))
                     held += len(keys[-1])
                     if held >= _SENT_KEYS or len(keys) >= _SENT_SETS:
@@ -324,32 +340,47 @@ def _tile_links(members: DataFrame, tiles: DataFrame, k: int, percent: int) -> D
     return rows.groupBy("block", "left", "right").applyInArrow(run, "a long, b long")
 
 
+def _load(size: int) -> F.Column:
+    """How many tasks a group of sets needs: one for `size` sets, or for 512 shingles times that."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / size, F.sum("n_shingles") / (512 * size)))
+
+
+def _span(percent: int) -> F.Column:
+    """Class of sizes.  Sets link within a class or with the next one only."""
+    return F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / percent))).cast("int")
+
+
 def _large_blocks(members: DataFrame, edges: DataFrame, k: int, percent: int, size: int) -> DataFrame:
     """Links across the sub-blocks of blocks that were too large for one task.
 
     First one document of each label of each sub-block is compared.  Then sub-blocks are formed anew: those of one
     label need no comparison with each other, so a group of near copies, which has one label by now, costs nothing.
+    Sub-blocks hold sets of one class of sizes, and only those of neighbouring classes are compared.
     """
     def labelled(edges: DataFrame) -> DataFrame:
         known = components(edges).withColumnRenamed("node", "doc_id")
         return members.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    heads = labelled(edges).groupBy("block", "sub", "label").agg(F.min_by(F.struct("doc_id", "h1", "text"), "doc_id").alias("x"))
-    heads = heads.select("block", F.floor(F.abs(F.xxhash64("label", "x.doc_id") % 1_000_003)).alias("r"), "x.*")
-    spread = heads.join(heads.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).alias("n")), "block")
-    spread = spread.withColumn("sub", (F.col("r") % F.col("n")).cast("int"))
+    def cut(rows: DataFrame, key: F.Column, *by: str) -> DataFrame:
+        """`rows` of each `by` with `sub`, which deals them out by `key`."""
+        loads = rows.groupBy(*by).agg(_load(size).alias("_n"))
+        return rows.join(loads, [*by]).withColumn("sub", F.xxhash64(*by[1:], F.pmod(key, "_n"))).drop("_n")
+
+    heads = labelled(edges).groupBy("block", "sub", "label").agg(
+        F.min_by(F.struct("doc_id", "n_shingles", "h1", "text"), "doc_id").alias("x")
+    )
+    heads = heads.select("block", "label", "x.*").withColumn("span", _span(percent))
+    spread = cut(heads, F.xxhash64("label", "doc_id"), "block", "span")
     edges = written(edges.union(_block_links(spread, k, percent, "block", "sub")), "links")
 
     now = labelled(edges)
-    counts = now.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
-    rest = counts.groupBy("block").agg(F.coalesce(F.sum(F.when(F.col("n") < size // 2, F.col("n"))), F.lit(0)).alias("rest"))
-    now = now.join(counts, ["block", "label"]).join(rest, "block")
-    pure = F.col("n") >= size // 2
-    # Sub-block number: a pure one is a piece of one label, a mixed one holds whole small labels.
-    sub = F.when(pure, F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / size)))).otherwise(
-        F.xxhash64(F.lit("rest"), F.pmod(F.xxhash64("label"), F.ceil(F.col("rest") / size)))
-    )
-    now = written(now.select("block", sub.alias("sub"), "doc_id", "label", "n_shingles", "h1", "text", F.when(pure, F.col("label")).alias("only")), "subs")
+    counts = now.groupBy("block", "label").agg((F.count(F.lit(1)) >= size // 2).alias("pure"))
+    now = now.join(counts, ["block", "label"]).withColumn("span", _span(percent))
+    now = now.withColumn("only", F.when(F.col("pure"), F.col("label")))
+    # A pure sub-block is a piece of one label, a mixed one holds whole small labels.
+    now = now.withColumn("_of", F.coalesce("only", F.lit(LAST)))
+    now = cut(now, F.when(F.col("pure"), F.xxhash64("doc_id")).otherwise(F.xxhash64("label")), "block", "span", "_of")
+    now = written(now.select("block", "sub", "doc_id", "label", "n_shingles", "h1", "text", "only"), "subs")
     span = F.col("n_shingles")
     subs = now.groupBy("block", "sub").agg(F.first("only").alias("only"), F.min(span).alias("lo"), F.max(span).alias("hi"))
     x, y = subs.alias("x"), subs.alias("y")
@@ -361,37 +392,40 @@ def _large_blocks(members: DataFrame, edges: DataFrame, k: int, percent: int, si
     return edges.union(_tile_links(now, tiles, k, percent))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 16_384) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 4_096) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id; one row per row of `docs`.
 
     docs: doc_id, text; other columns are ignored.  Two documents link when the Jaccard similarity of their sets of
     k-word shingles is `percent` or more; component_id is the smallest doc_id reachable, class_id that of the
-    documents with an equal set.  A task compares at most about `block_docs` documents, or 512 shingles times that;
-    larger blocks are cut and compared in tiles.  No words (or null text): n_shingles 0, linked with nothing.  Fewer than k words:
+    documents with an equal set.  A task compares at most about `block_docs` documents, or 512 shingles times that (or
+    one longer text); larger blocks are cut by size and compared in tiles.  No words (or null text): n_shingles 0, linked with nothing.  Fewer than k words:
     the whole sequence is the only shingle.  A null doc_id is larger than all others, and its ids are null where no
     other document is linked.  Rows that repeat a doc_id are judged each by its own text.
     """
     sets = written(set_table(docs, k), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    # Two size classes, each with the most by which its sets can differ: parts as a share of the shingles.
-    keys = sets.agg(F.sum(F.col("n_shingles") * 5 * (100 - percent) / (100 + percent) + 4)).first()[0] or 0
+    keys = classes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     # A class goes by its hash h1 here: classes that share it by chance only come into one block.
     meet = candidates(docs, k, percent, max(48, int(keys) // _BUCKET_KEYS))
     blocks = components(meet).select(F.col("node").alias("h1"), F.col("label").alias("block"))
     blocks = written(blocks.join(classes, "h1").select("class_id", "n_shingles", "h1", "block"), "blocks")
-    weight = F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n_shingles") / (512 * block_docs))
-    sizes = written(blocks.groupBy("block").agg(F.ceil(weight).alias("subs")), "sizes")
-    members = blocks.join(sizes, "block").select(
-        F.col("class_id").alias("doc_id"), "block", "n_shingles", "h1", F.pmod(F.xxhash64("class_id"), F.col("subs")).cast("int").alias("sub")
+    # A block that fits a task is one sub-block; larger ones are cut by size, then by hash.
+    small = blocks.groupBy("block").agg(_load(block_docs).alias("tasks"))
+    blocks = blocks.join(written(small, "sizes"), "block").withColumn("span", F.when(F.col("tasks") > 1, _span(percent)).otherwise(-1))
+    sizes = blocks.groupBy("block", "span").agg(_load(block_docs).alias("subs"), F.max("tasks").alias("tasks"))
+    sizes = written(sizes, "sizes")
+    members = blocks.drop("tasks").join(sizes, ["block", "span"]).select(
+        F.col("class_id").alias("doc_id"), "block", "n_shingles", "h1",
+        F.xxhash64("span", F.pmod(F.xxhash64("class_id"), "subs")).alias("sub"),
     )
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     # Not a broadcast: the number of members grows with the corpus.
     members = texts.join(members.hint("merge"), "doc_id").select("block", "sub", "doc_id", "n_shingles", "h1", "text")
     members = written(members, "members")
     edges = written(_block_links(members, k, percent, "block", "sub"), "links")
-    if not sizes.where("subs > 1").isEmpty():
-        large = members.join(sizes.where("subs > 1").select("block"), "block", "left_semi")
+    if not sizes.where("tasks > 1").isEmpty():
+        large = members.join(sizes.where("tasks > 1").select("block"), "block", "left_semi")
         edges = written(_large_blocks(large, edges, k, percent, block_docs), "links")
     labels = components(edges)
     named = classes.select("h1", "h2", "n_shingles", "class_id").join(
