@@ -249,7 +249,10 @@ def test_pieces_round_trip_and_best(spark):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     score = {p: model.get_score(i) for i, p in codec.text.items()}
-    for word in ("▁international", "▁thonti,", "zzzqx", "▁▁▁a", "▁͸b"):
+    rng = random.Random(9)
+    letters = "abcdeinorst" * 4 + "ABéßñ,.!#0189▁" + "͸\n\t漢😀"
+    drawn = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(1_000)]
+    for word in ("▁international", "▁thonti,", "zzzqx", "▁▁▁a", "▁͸b", *drawn):
         best = [0.0] + [-1e18] * len(word)
         for end in range(1, len(word) + 1):
             best[end] = best[end - 1] + sentencepiece_codec.BYTE_SCORE * len(word[end - 1].encode())
@@ -259,6 +262,10 @@ def test_pieces_round_trip_and_best(spark):
         got = codec.best_path(word)
         total = sum(score[codec.text[i]] if i in codec.text else sentencepiece_codec.BYTE_SCORE for i in got)
         assert abs(total - best[-1]) < 1e-3 * max(1, abs(total))
+        assert codec.decode(got) == word.replace("▁", " ")
+    every = ["▁international", "", "▁͸b", *drawn, "a" * 200, *("▁" + w.replace("͸", "") for w in drawn)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.best_paths(every)] == [codec.best_path(w) for w in every]
+    assert codec.best_paths([]) == []
 
 
 def test_pipeline(spark, sf_dir):
