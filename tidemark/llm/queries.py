@@ -13,6 +13,7 @@ from tidemark.llm import (
     sentencepiece_codec,
     substring_dedup,
     suffix_dedup,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8,
     "op9_sentencepiece": sentencepiece_codec.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op13_vector_codes": vector_codes.op13,
 }
 
 SQL = {"op5_quality_rules": quality_rules.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
