@@ -8,6 +8,7 @@ from tidemark.llm import (
     jaccard_join,
     language_id,
     packing,
+    prefix_trie,
     quality_rules,
     secret_scan,
     sentencepiece_codec,
@@ -27,7 +28,8 @@ QUERIES = {
     "op8_html_extract": html_extract.op8,
     "op9_sentencepiece": sentencepiece_codec.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op12_prefix_trie": prefix_trie.op12,
     "op13_vector_codes": vector_codes.op13,
 }
 
-SQL = {"op5_quality_rules": quality_rules.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+SQL = {"op5_quality_rules": quality_rules.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
