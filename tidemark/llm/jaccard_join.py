@@ -4,7 +4,8 @@ Equal shingle sets become one class.  Classes that can link at all are brought t
 ranked by how common they are, rarest first, and a set is found by its first few.  Linked sets share one of these for
 any ranking; this one keeps passages that many documents have out of the keys, so blocks stay near the size of the groups
 of copies.  Keys travel packed, many to a row, and each batch of documents sends a key once; the key's other documents
-in that batch are joined there.  Connected candidates form a block.  Inside a block, documents are the leaves of a tree
+in that batch are joined there.  Connected candidates form a block.  In blocks that are too large for a task, it is asked
+for every shingle whether several of their sets have it; shingles of one set come first then and are no keys.  Inside a block, documents are the leaves of a tree
 whose nodes hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is
 dropped when the largest overlap it allows is too small.  What is left is compared by its full sets.  Documents that
 are linked already, over others, need no further comparison.
@@ -12,10 +13,11 @@ are linked already, over others, need no further comparison.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ _LOW = np.uint64((1 << 40) - 1)
 #: Cells in which shingles are counted, and the rows that a task sends them in.
 _CELLS = 1 << 22
 _STRIPES = 64
+_MANY = (1 << 16) - 1
 _CELL = np.uint64(_CELLS - 1)
 #: Keys that a bucket holds (about), keys and sets that a worker holds before it sends them.
 _BUCKET_KEYS = 1 << 20
@@ -99,7 +102,12 @@ def rare_keys(s: np.ndarray, percent: int, level: np.ndarray) -> np.ndarray:
     A set of n links with sets that have at least ceil(percent * n / 100) of its shingles, so of its first
     n + 1 - that many, in any order that is the same for all sets, one is among the first ones of the other.
     """
-    first = len(s) + 1 + -len(s) * percent // 100
+    return _rarest(s, len(s) + 1 + -len(s) * percent // 100, level)
+
+
+def _rarest(s: np.ndarray, first: int, level: np.ndarray) -> np.ndarray:
+    if first <= 0:
+        return s[:0]
     rank = level[(s & _CELL).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(s) >> np.uint64(8)
     return mix(rank[rank <= np.partition(rank, first - 1)[first - 1]])
 
@@ -169,31 +177,39 @@ def _unpacked(keys: bytes, at: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarra
     return low.view("<u8").ravel(), np.frombuffer(ids, np.int64)[np.frombuffer(at, "<u2")]
 
 
-def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """Pairs (a, b) of set hashes h1 that connect all sets which have a key in common.
+def _sent(named: Iterator[tuple[int, np.ndarray]], pack: Callable, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Keys of named sets, packed many sets at a time."""
+    keys: list[np.ndarray] = []
+    names: list[int] = []
+    held = 0
+    for name, found in named:
+        if len(found):
+            keys.append(found)
+            names.append(name)
+            held += len(found)
+        if held >= _SENT_KEYS or len(keys) >= _SENT_SETS:
+            yield pack(np.concatenate(keys), np.repeat(np.array(names, np.int64), [len(x) for x in keys]), buckets)
+            keys, names, held = [], [], 0
+    if keys:
+        yield pack(np.concatenate(keys), np.repeat(np.array(names, np.int64), [len(x) for x in keys]), buckets)
+
+
+def candidates(docs: DataFrame, k: int, percent: int, buckets: int, level: Broadcast) -> DataFrame:
+    """Pairs (a, b) of set hashes h1 that connect all sets which have a key in common."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (s for whole in batches for b in slices(whole, "text", _SLICE) for s in shingle_sets(b.column("text"), k) if len(s))
+        return _sent(((int(_name(s).view(np.int64)), rare_keys(s, percent, level.value)) for s in sets), _pack, buckets)
+
+    return _met(docs.select("text").mapInArrow(send, _PACKED))
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names that connect all which have a key in common.
 
     A row carries many keys, so that shuffling a key takes some ten bytes.  A key that very many documents have is
     sent once by each batch, and a bucket holds many keys.
     """
-    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, k))  # _CELLS bytes
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        names: list[np.int64] = []
-        held = 0
-        for whole in batches:
-            for batch in slices(whole, "text", _SLICE):
-                for s in shingle_sets(batch.column("text"), k):
-                    if len(s) == 0:
-                        continue
-                    keys.append(rare_keys(s, percent, level.value))
-                    names.append(_name(s).view(np.int64))
-                    held += len(keys[-1])
-                    if held >= _SENT_KEYS or len(keys) >= _SENT_SETS:
-                        yield _pack(np.concatenate(keys), np.repeat(np.array(names), [len(x) for x in keys]), buckets)
-                        keys, names, held = [], [], 0
-        if keys:
-            yield _pack(np.concatenate(keys), np.repeat(np.array(names), [len(x) for x in keys]), buckets)
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -203,7 +219,92 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         pairs = np.unique(np.concatenate([pairs, *known]), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return docs.select("text").mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+def _ask(keys: np.ndarray, names: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row per bucket: keys, which of `ids` alone has each, or _MANY; `pairs`: (name, key) for those of many."""
+    order = np.argsort(keys, kind="stable")
+    keys, names = keys[order], names[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(head, len(keys)))
+    many = np.repeat(size > 1, size)
+    known = np.stack([names[many], keys[many].view(np.int64)], 1)
+    distinct, holder, lone = keys[head], names[head], size == 1
+    bucket = ((distinct >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    distinct, holder, lone, bucket = distinct[order], holder[order], lone[order], bucket[order]
+    goes = known[:, 0] % buckets
+    known, goes = known[np.argsort(goes, kind="stable")], np.sort(goes)
+    rows = []
+    for b in np.union1d(bucket, goes).tolist():
+        x, y = np.searchsorted(bucket, [b, b + 1])
+        u, v = np.searchsorted(goes, [b, b + 1])
+        ids, at = np.unique(holder[x:y], return_inverse=True)
+        at = np.where(lone[x:y], at, _MANY).astype("<u2")
+        rows.append((b, distinct[x:y].astype("<u8").tobytes(), at.tobytes(), ids.tobytes(), known[u:v].tobytes()))
+    names = ["bucket", "keys", "at", "ids", "pairs"]
+    types = [pa.int32()] + [pa.binary()] * 4
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def shared_shingles(members: DataFrame, k: int, buckets: int) -> DataFrame:
+    """doc_id, key: the shingles of each member's set that another member has too.
+
+    A batch sends a shingle once.  Sets that share it within their batch know so; a lone holder is told by the bucket.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def named() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                table, sets = _sets(pa.Table.from_batches([batch]), k)
+                yield from zip(table.column("doc_id").to_pylist(), sets)
+
+        return _sent(named(), _ask, buckets)
+
+    def tell(table: pa.Table) -> pa.Table:
+        names, keys, alone = [], [], []
+        for raw, at, ids in zip(*(table.column(c).to_pylist() for c in ("keys", "at", "ids"))):
+            at = np.frombuffer(at, "<u2")
+            one = at != _MANY
+            keys.append(np.frombuffer(raw, "<u8"))
+            alone.append(one)
+            names.append(np.zeros(len(at), np.int64))
+            names[-1][one] = np.frombuffer(ids, np.int64)[at[one]]
+        name, key, one = np.concatenate(names), np.concatenate(keys), np.concatenate(alone)
+        order = np.argsort(key, kind="stable")
+        name, key, one = name[order], key[order], one[order]
+        again = np.concatenate([key[1:] == key[:-1], [False]]) if len(key) else np.zeros(0, bool)
+        told = one & (again | np.roll(again, 1))
+        known = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("pairs").to_pylist()]).reshape(-1, 2)
+        return pa.table({
+            "doc_id": pa.array(np.concatenate([name[told], known[:, 0]])),
+            "key": pa.array(np.concatenate([key[told].view(np.int64), known[:, 1]])),
+        })
+
+    asked = members.select("doc_id", "h1", "text").mapInArrow(send, _PACKED)
+    return asked.groupBy("bucket").applyInArrow(tell, "doc_id long, key long")
+
+
+def shared_candidates(members: DataFrame, k: int, percent: int, buckets: int, level: Broadcast) -> DataFrame:
+    """Pairs (a, b) of doc_ids that connect all sets which have a key in common, as `candidates`.
+
+    Here shingles that no other member has come first.  They are no keys, so a set with enough of them is left out.
+    """
+    shared = shared_shingles(members, k, buckets).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    sizes = members.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))  # one row each, but for repeated doc_ids
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def named() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                for i, n in enumerate(batch.column("n").to_pylist()):
+                    s = np.sort(batch.column("keys")[i].values.to_numpy().view(np.uint64))
+                    first = n + 1 + -n * percent // 100 - (n - len(s))
+                    yield batch.column("doc_id")[i].as_py(), _rarest(s, first, level.value)
+
+        return _sent(named(), _pack, buckets)
+
+    return _met(shared.join(sizes, "doc_id").mapInArrow(send, _PACKED))
 
 
 class Tree:
@@ -405,28 +506,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     sets = written(set_table(docs, k), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
+    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, k))  # _CELLS bytes
     keys = classes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
     # A class goes by its hash h1 here: classes that share it by chance only come into one block.
-    meet = candidates(docs, k, percent, max(48, int(keys) // _BUCKET_KEYS))
+    meet = candidates(docs, k, percent, max(48, int(keys) // _BUCKET_KEYS), level)
     blocks = components(meet).select(F.col("node").alias("h1"), F.col("label").alias("block"))
-    blocks = written(blocks.join(classes, "h1").select("class_id", "n_shingles", "h1", "block"), "blocks")
-    # A block that fits a task is one sub-block; larger ones are cut by size, then by hash.
-    small = blocks.groupBy("block").agg(_load(block_docs).alias("tasks"))
-    blocks = blocks.join(written(small, "sizes"), "block").withColumn("span", F.when(F.col("tasks") > 1, _span(percent)).otherwise(-1))
-    sizes = blocks.groupBy("block", "span").agg(_load(block_docs).alias("subs"), F.max("tasks").alias("tasks"))
-    sizes = written(sizes, "sizes")
-    members = blocks.drop("tasks").join(sizes, ["block", "span"]).select(
-        F.col("class_id").alias("doc_id"), "block", "n_shingles", "h1",
-        F.xxhash64("span", F.pmod(F.xxhash64("class_id"), "subs")).alias("sub"),
-    )
+    blocks = written(blocks.join(classes, "h1").select(F.col("class_id").alias("doc_id"), "n_shingles", "h1", "block"), "blocks")
+
+    def with_tasks(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("block").agg(_load(block_docs).alias("tasks")), "block")
+
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
     # Not a broadcast: the number of members grows with the corpus.
-    members = texts.join(members.hint("merge"), "doc_id").select("block", "sub", "doc_id", "n_shingles", "h1", "text")
+    members = texts.join(with_tasks(blocks).hint("merge"), "doc_id").select("block", "tasks", "doc_id", "n_shingles", "h1", "text")
     members = written(members, "members")
-    edges = written(_block_links(members, k, percent, "block", "sub"), "links")
-    if not sizes.where("tasks > 1").isEmpty():
-        large = members.join(sizes.where("tasks > 1").select("block"), "block", "left_semi")
-        edges = written(_large_blocks(large, edges, k, percent, block_docs), "links")
+    edges = _block_links(members.where("tasks = 1"), k, percent, "block")
+    large = members.where("tasks > 1").drop("tasks")
+    if not large.isEmpty():
+        many = large.agg(F.sum("n_shingles")).first()[0]
+        meet = shared_candidates(large, k, percent, max(48, int(many) // _BUCKET_KEYS), level)
+        again = components(meet).select(F.col("node").alias("doc_id"), F.col("label").alias("block"))
+        large = written(with_tasks(large.drop("block").join(again, "doc_id")), "members")
+        edges = edges.union(_block_links(large.where("tasks = 1"), k, percent, "block"))
+        large = large.where("tasks > 1").drop("tasks")
+        if not large.isEmpty():
+            large = large.withColumn("span", _span(percent))
+            loads = large.groupBy("block", "span").agg(_load(block_docs).alias("subs"))
+            sub = F.xxhash64("span", F.pmod(F.xxhash64("doc_id"), "subs")).alias("sub")
+            large = written(large.join(loads, ["block", "span"]).select("block", sub, "doc_id", "n_shingles", "h1", "text"), "members")
+            first = written(_block_links(large, k, percent, "block", "sub"), "links")
+            edges = edges.union(_large_blocks(large, first, k, percent, block_docs))
+    edges = written(edges, "links")
     labels = components(edges)
     named = classes.select("h1", "h2", "n_shingles", "class_id").join(
         labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left"
