@@ -9,6 +9,7 @@ from tidemark.llm import (
     language_id,
     packing,
     prefix_trie,
+    quality_classifier,
     quality_rules,
     secret_scan,
     sentencepiece_codec,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8,
     "op9_sentencepiece": sentencepiece_codec.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_quality_classifier": quality_classifier.op11,
     "op12_prefix_trie": prefix_trie.op12,
     "op13_vector_codes": vector_codes.op13,
 }
