@@ -32,50 +32,45 @@ def collected(df):
     return out
 
 
-def stream(n):
-    return [f"t{i}" for i in range(n)]
+def named(first, size=CTX):
+    return [f"t{i}" for i in range(first, first + size)]
 
 
-def loop_fixed(n, step, width, drop_last=True):
-    cut = [stream(n)[i:i + width] for i in range(0, n, step)]
-    return dict(enumerate(cut[:-1] if drop_last else [x for x in cut if len(x) == width]))
+#: First tokens of the windows of each stream length.
+FIXED = {1: [], 7: [], 8: [], 9: [0], 24: [0, 8], 29: [0, 8, 16], 100: [0, 8, 16, 24, 32, 40, 48, 56, 64, 72, 80, 88]}
+FULL_TAIL = FIXED | {8: [0], 24: [0, 8, 16]}
 
 
 def test_fixed_drops_the_last_window_even_when_full(spark):
     got = collected(c.fixed_chunks(corpus(spark), CTX))
-    for n in LENGTHS:
-        assert got.get(n, {}) == loop_fixed(n, CTX, CTX)
+    assert {n: [w for _, w in sorted(got.get(n, {}).items())] for n in LENGTHS} == {n: [named(i) for i in FIXED[n]] for n in LENGTHS}
 
 
 def test_fixed_can_keep_a_full_tail(spark):
     got = collected(c.fixed_chunks(corpus(spark), CTX, keep_full_tail=True))
-    for n in LENGTHS:
-        assert got.get(n, {}) == loop_fixed(n, CTX, CTX, drop_last=False)
+    assert {n: [w for _, w in sorted(got.get(n, {}).items())] for n in LENGTHS} == {n: [named(i) for i in FULL_TAIL[n]] for n in LENGTHS}
 
 
 def test_bos_takes_the_place_of_one_token(spark):
     got = collected(c.fixed_chunks(corpus(spark), CTX, bos="<s>"))
-    for n in LENGTHS:
-        assert got.get(n, {}) == {k: ["<s>", *v] for k, v in loop_fixed(n, CTX, CTX - 1).items()}
+    assert {n: [w for _, w in sorted(got.get(n, {}).items())] for n in LENGTHS} == {n: [["<s>", *named(i, CTX - 1)] for i in FIXED[n]] for n in LENGTHS}
 
 
 def test_exact_bos_loses_no_token(spark):
     got = collected(c.fixed_chunks(corpus(spark, [30]), CTX, bos="<s>", bos_exact=True))[30]
     flat = [t for k in sorted(got) for t in got[k][1:]]
-    assert flat == stream(30)[:len(flat)]
+    assert flat == named(0, len(flat))
     assert all(len(v) == CTX for v in got.values())
 
 
-@pytest.mark.parametrize("stride", [1, CTX // 4, CTX - 1])
-def test_sliding(spark, stride):
+@pytest.mark.parametrize(
+    "stride,firsts",
+    [(1, {8: 1, 9: 2, 24: 17, 29: 22, 100: 93}), (2, {8: 1, 9: 1, 24: 9, 29: 11, 100: 47}), (7, {8: 1, 9: 1, 24: 3, 29: 4, 100: 14})],
+)
+def test_sliding(spark, stride, firsts):
+    """Windows of each stream length: so many, each `stride` after the one before."""
     got = collected(c.sliding_chunks(corpus(spark), CTX, stride))
-    for n in LENGTHS:
-        want = {}
-        for k, i in enumerate(range(0, n, stride)):
-            if len(stream(n)[i:i + CTX]) < CTX:
-                break
-            want[k] = stream(n)[i:i + CTX]
-        assert got.get(n, {}) == want
+    assert got == {n: {k: named(k * stride) for k in range(count)} for n, count in firsts.items()}
 
 
 def test_sliding_needs_a_stride_below_the_context(spark):
@@ -83,26 +78,55 @@ def test_sliding_needs_a_stride_below_the_context(spark):
         c.sliding_chunks(corpus(spark, [9]), CTX, CTX)
 
 
-@pytest.mark.parametrize("stride", [None, 1, 2, CTX - 1])
-def test_metadata_and_dropped_tail(spark, stride):
-    rows = {int(r.month[1:]): r for r in c.text_metadata(corpus(spark), CTX, stride).collect()}
-    for n in LENGTHS:
-        if stride is None:
-            count = (n + CTX - 1) // CTX - 1
-            cut = count * CTX
-        else:
-            count = 0 if n < CTX else (n - CTX) // stride + 1
-            cut = 0 if count == 0 else (count - 1) * stride + CTX
-        lost = "".join(stream(n)[cut:])
+@pytest.mark.parametrize(
+    "stride,counts,cuts",
+    [
+        (None, [0, 0, 0, 1, 2, 3, 12], [0, 0, 0, 8, 16, 24, 96]), (1, [0, 0, 1, 2, 17, 22, 93], [0, 0, 8, 9, 24, 29, 100]),
+        (2, [0, 0, 1, 1, 9, 11, 47], [0, 0, 8, 8, 24, 28, 100]), (7, [0, 0, 1, 1, 3, 4, 14], [0, 0, 8, 8, 22, 29, 99]),
+    ],
+)
+def test_metadata_and_dropped_tail(spark, stride, counts, cuts):
+    docs = corpus(spark)
+    texts = docs.withColumn("text", F.array_join("toks", " "))
+    rows = {int(r.month[1:]): r for r in c.text_metadata(docs, texts, CTX, stride, end_of=words_between_spaces).collect()}
+    whole = {n: " ".join(" ".join(r.toks) for r in texts.where(F.col("month") == f"m{n}").orderBy("doc_ord").collect()) for n in LENGTHS}
+    for n, count, cut in zip(LENGTHS, counts, cuts):
+        at = whole[n].index(f"t{cut - 1}") + len(f"t{cut - 1}") if cut else 0
+        lost = len(whole[n]) - at
         assert (rows[n].n_stream, rows[n].num_chunks, rows[n].num_tokens) == (n, count, count * CTX)
-        assert (rows[n].dropped_chars, rows[n].dropped_bytes) == (len(lost), len(lost))
+        assert (rows[n].dropped_chars, rows[n].dropped_bytes, rows[n].num_chars) == (lost, lost, at)
+
+
+def words_between_spaces(text, k):
+    return F.length(F.array_join(F.slice(F.split(text, " "), F.lit(1), k), " "))
+
+
+TEXTS = ["  Éa b,\t", None, "", "İstanbul Kelvin 漢字 99x", " \n ", "end. Ünd so ", "z"]
+
+
+@pytest.mark.parametrize("context", [2, 3, 4, 5, 7, 30])
+def test_tail_is_source_text(spark, context):
+    """Against a walk over the joined text, token by token."""
+    import re
+
+    rows = [("d", "2020-01", i, t) for i, t in enumerate(TEXTS)] + [("d", "2020-02", 9, " ."), ("e", "2020-01", 1, "")]
+    df = spark.createDataFrame(rows, "dataset string, month string, doc_ord bigint, text string").repartition(3)
+    got = {(r.dataset, r.month): r for r in c.text_metadata(units.tokenize(df.fillna("")), df.fillna(""), context).collect()}
+    for key, texts in {("d", "2020-01"): [t or "" for t in TEXTS], ("d", "2020-02"): [" ."], ("e", "2020-01"): [""]}.items():
+        stream = " ".join(texts)
+        ends = [m.end() for m in re.finditer(r"[a-zA-ZİK]+|[0-9]+|[^a-zA-ZİK0-9 \n\t]", stream)]
+        cut = max(-(-len(ends) // context) - 1, 0) * context
+        lost = stream[ends[cut - 1]:] if cut else stream
+        row = got[key]
+        assert (row.n_stream, row.dropped_chars, row.dropped_bytes) == (len(ends), len(lost), len(lost.encode()))
+        assert (row.num_chars, row.num_bytes) == (len(stream) - len(lost), len(stream.encode()) - len(lost.encode()))
 
 
 def test_no_stream_at_all(spark):
     empty = corpus(spark, [0])
     assert c.fixed_chunks(empty, CTX).count() == 0
     assert c.sliding_chunks(empty, CTX, 2).count() == 0
-    meta = c.text_metadata(empty, CTX).first()
+    meta = c.text_metadata(empty, empty.withColumn("text", F.lit("")), CTX).first()
     assert (meta.num_chunks, meta.num_tokens, meta.dropped_bytes) == (0, 0, 0)
 
 

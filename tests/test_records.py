@@ -26,12 +26,12 @@ def test_model_records(spark):
     assert other.model == "m-512"
 
 
-def test_codec_and_coder_records(spark):
+def test_baseline_and_coder_records(spark):
     sizes = spark.createDataFrame(
         [("d", "2020-01", "zlib", 100, 40)],
         "dataset string, month string, model string, stream_bytes bigint, compressed_size bigint",
     )
-    row = records.codec_records(sizes, metadata(spark)).first()
+    row = records.baseline_records(sizes, metadata(spark)).first()
     assert (row.model, row.compressed_size, row.ratio, row.context_size, row.time_used) == ("zlib", 40.0, 0.5, None, None)
     bits = spark.createDataFrame([("d", "2020-01", 160.0)], "dataset string, month string, bits double")
     coder = spark.createDataFrame([("d", "2020-01", 21)], "dataset string, month string, n_bytes bigint")

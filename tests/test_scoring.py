@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, formats, prompts, scoring
-from tidemark.operators import codecs, pmf, predictors
+from tidemark.operators import pmf, predictors
 from tidemark.operators.chunks import fixed_chunks
 from tidemark.operators.units import tokenize
 
@@ -55,21 +54,18 @@ def test_metric_registry(spark):
 
 
 # --- formats and prompts ----------------------------------------------------
-def test_significant_digits_match_the_usual_format(spark):
-    values = [0.05, 0.12344, 0.99996, 1.0, 9.87654, 9.99996, 12.5, 99.9996, 123.44, 1234.4, 0.0, 7.1]
-
-    def usual(x, digits):
-        text = f"{x:.{digits}f}".lstrip("0") if x < 1 else f"{x:.{digits}g}"
-        short = digits - len(text.replace(".", ""))
-        return text if short <= 0 else (text if "." in text else text + ".") + "0" * short
-
-    df = spark.createDataFrame([(x,) for x in values], "x double")
-    for digits in (3, 4):
-        got = [r[0] for r in df.select(formats.fixed_digits(F.col("x"), digits)).collect()]
-        wanted = [usual(x, digits) for x in values]
-        if digits == 3:
-            got[9] = wanted[9] = "beyond three digits"
-        assert got == wanted
+@pytest.mark.parametrize(
+    "digits,texts",
+    [
+        (4, {0.05: ".0500", 0.12344: ".1234", 0.99996: "1.0000", 1.0: "1.000", 9.87654: "9.877", 9.99996: "10.00", 12.5: "12.50", 99.9996: "100.0",
+             123.44: "123.4", 1234.4: "1234", 0.0: ".0000", 7.1: "7.100"}),
+        (3, {0.05: ".050", 0.12344: ".123", 0.99996: "1.000", 1.0: "1.00", 9.87654: "9.88", 9.99996: "10.0", 12.5: "12.5", 99.9996: "100",
+             123.44: "123", 0.0: ".000", 7.1: "7.10"}),
+    ],
+)
+def test_digits_of_numbers(spark, digits, texts):
+    df = spark.createDataFrame([(x,) for x in texts], "x double")
+    assert [r[0] for r in df.select(formats.fixed_digits(F.col("x"), digits)).collect()] == list(texts.values())
 
 
 def test_prompt_holes_are_filled_once(spark):
@@ -209,26 +205,11 @@ def test_byte_entropy(spark):
     assert got["n"].order1_bpb == 0.0
 
 
-# --- codecs -----------------------------------------------------------------
-def test_codecs(spark):
-    words = b" ".join([b"pytorch"] * 1000)
-    streams = spark.createDataFrame([("d", "a", words), ("d", "b", b""), ("d", "c", b"odd")],
-                                    "dataset string, month string, stream binary")
-    rows = codecs.compress_streams(streams, ("png", "zlib", "gzip", "raw"), keep_blobs=True, extra={"raw": bytes})
-    got = {(r.month, r.model): r for r in rows.collect()}
-    assert zlib.decompress(bytes(got["a", "zlib"].blob)) == words
-    assert got["a", "zlib"].compressed_size < 100 < 7999 == got["a", "zlib"].stream_bytes
-    png = bytes(got["a", "png"].blob)
-    at = png.index(b"IDAT")
-    assert zlib.decompress(png[at + 4:at + 4 + int.from_bytes(png[at - 4:at], "big")]) == b"\x00" + words
-    assert got["b", "raw"].compressed_size == 0
-    assert got["c", "raw"].compressed_size == 3
-
-
-def test_codec_refuses_an_unbounded_stream(spark):
-    streams = spark.createDataFrame([("d", "a", b"x" * 100)], "dataset string, month string, stream binary")
-    with pytest.raises(PySparkException):
-        codecs.compress_streams(streams, ("zlib",), budget=10).collect()
+def test_byte_code_length(spark):
+    df = spark.createDataFrame([("d", "m", "abab"), ("d", "m", "ac"), ("d", "n", "aaaa"), ("d", "n", None)], "dataset string, month string, text string")
+    got = {r.month: r.compressed_size for r in predictors.byte_code_length(predictors.byte_pair_counts(df)).collect()}
+    # After the start 'a' twice, after 'a' 'b' twice and 'c' once, after 'b' 'a' once.
+    assert abs(got["m"] - (2 * np.log2(3 / 2) + np.log2(3)) / 8) < 1e-12 and got["n"] == 0.0
 
 
 def test_cdf_of_a_large_vocabulary(spark):

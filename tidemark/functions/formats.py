@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def fixed_digits(x: Column, digits: int = 4) -> Column:
     """Below one: `digits` decimals, no leading zero.  Else: `digits` significant figures."""
     below = F.regexp_replace(F.format_string(f"%.{digits}f", x), "^0+", "")
-    # Significant figures: decimals left after the integer part, trailing zeros padded back.
+    # Significant figures: the decimals that the integer part leaves.
     whole = F.length(F.floor(F.abs(x)).cast("string"))
     above = F.lit(None).cast("string")
     for n in range(digits, 0, -1):
@@ -18,14 +18,7 @@ def fixed_digits(x: Column, digits: int = 4) -> Column:
     carried = F.length(F.replace(above, F.lit("."), F.lit(""))) > digits
     above = F.when(carried, F.regexp_replace(above, r"\.?.$", "")).otherwise(above)
     large = F.coalesce(above, F.format_string("%.0f", x))
-    text = F.when(x < 1, below).otherwise(large)
-    return _pad(text, digits)
-
-
-def _pad(text: Column, digits: int) -> Column:
-    count = F.length(F.replace(text, F.lit("."), F.lit("")))
-    dotted = F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".")))
-    return F.when(count < digits, F.concat(dotted, F.repeat(F.lit("0"), F.lit(digits) - count))).otherwise(text)
+    return F.when(x < 1, below).otherwise(large)
 
 
 def arrow(diff: Column) -> Column:

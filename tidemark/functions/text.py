@@ -15,9 +15,25 @@ SECTION_SIGN = "§"
 FIRST_BYTE_ID = 3
 
 
+# The only letter that gets longer in lower case; without it a character's place is the same in both.
+LONG_CAPITAL = "\u0130"
+
+
+def lowered(text: Column) -> Column:
+    """Lower case, character by character."""
+    return F.lower(F.replace(text, F.lit(LONG_CAPITAL), F.lit("I")))
+
+
 def words(text: Column) -> Column:
     # Possessive quantifiers match the same tokens without keeping states to go back to.
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN.replace("]+", "]++")), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(WORD_PATTERN.replace("]+", "]++")), F.lit(0))
+
+
+def words_end(text: Column, k: Column) -> Column:
+    """Characters of the source text up to the end of its k-th word."""
+    gaps = F.slice(F.split(lowered(text), WORD_PATTERN), F.lit(1), k)
+    spans = F.zip_with(gaps, F.slice(words(text), F.lit(1), k), lambda gap, word: F.length(gap) + F.length(word))
+    return F.aggregate(spans, F.lit(0), lambda total, n: total + n)
 
 
 def sentences(text: Column) -> Column:

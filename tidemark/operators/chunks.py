@@ -8,10 +8,12 @@ that fall into each window.  Only pieces are shuffled, and a window is at most
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import fixed
+from tidemark.functions import fixed, text
 from tidemark.operators.prefix import ordinal_bucket, running_total
 
 KEYS = ["dataset", "month"]
@@ -126,42 +128,60 @@ def scored(off: Column, chunk_id: Column, context: int, stride: int | None = Non
 
 
 # --- metadata ---------------------------------------------------------------
-def text_metadata(
-    docs: DataFrame, context: int = fixed.CONTEXT_SIZE, stride: int | None = None, spaced: bool = True,
+def dropped_tail(
+    docs: DataFrame, texts: DataFrame, context: int = fixed.CONTEXT_SIZE, stride: int | None = None,
+    spaced: bool = True, column: str = "text", end_of: Callable[[Column, Column], Column] = text.words_end,
 ) -> DataFrame:
-    """Counts per month that metrics divide by: windows, tokens, characters and bytes.
+    """Size of a month's source text, and of what is behind its last window.
 
-    `docs` are tokenized documents.  The text of the dropped tail is the text of its
-    tokens.
+    `docs` are tokenized documents or units and `texts` the same rows with their text in `column`.  The tail is source
+    text: it begins where the last kept token ends and has the white space and joining spaces behind that.  Documents
+    before and behind are counted by their sizes; text is read only for the one that the boundary falls into.
+    `end_of` gives the characters up to the end of the k-th token and belongs to the tokenizer.
     """
+    order = stream_order(docs)
     placed = running_total(
-        docs, KEYS, stream_order(docs), "n_toks", ordinal_bucket(), out="start", total="n_stream"
+        docs, KEYS, order, "n_toks", ordinal_bucket(), out="start", total="n_stream"
+    ).withColumn("_cut", tail_start(F.col("n_stream"), context, stride))
+    behind = F.col("start") >= F.col("_cut")
+    inside = ~behind & (F.col("start") + F.col("n_toks") >= F.col("_cut"))
+    edge = placed.where(inside).select(*KEYS, *order, (F.col("_cut") - F.col("start")).cast("int").alias("_k"))
+    end = end_of(F.col(column), F.col("_k"))
+    kept = texts.select(*KEYS, *order, column).join(edge, [*KEYS, *order]).select(
+        *KEYS, end.cast("bigint").alias("_chars_kept"), F.octet_length(F.substring(F.col(column), F.lit(1), end)).cast("bigint").alias("_bytes_kept")
     )
-    cut = tail_start(F.col("n_stream"), context, stride)
-    lost = F.greatest(cut - F.col("start"), F.lit(0))
-    tail = F.array_join(
-        F.slice("toks", F.least(lost + 1, F.col("n_toks") + 1).cast("int"), F.col("n_toks")), ""
+    sizes = {"chars": "n_chars", "bytes": "n_bytes"}
+    sums = placed.groupBy(*KEYS).agg(
+        F.max("n_stream").alias("n_stream"), F.max("_cut").alias("_cut"), F.count("*").alias("_docs"), F.count_if(behind).alias("_behind"),
+        *(F.sum(c).alias(name) for name, c in sizes.items()),
+        *(F.coalesce(F.sum(F.when(behind | inside, F.col(c))), F.lit(0)).alias(f"_{name}") for name, c in sizes.items()),
     )
+    joins = F.lit(int(spaced))
+    spaces, lost_spaces = joins * (F.col("_docs") - 1), joins * (F.col("_behind") - (F.col("_behind") == F.col("_docs")).cast("bigint"))
+    return sums.join(kept, KEYS, "left").select(
+        *KEYS, "n_stream", (F.col("n_stream") - F.col("_cut")).alias("dropped_tokens"),
+        *((F.col(name) + spaces).alias(f"stream_{name}") for name in sizes),
+        *((F.col(f"_{name}") + lost_spaces - F.coalesce(f"_{name}_kept", F.lit(0))).alias(f"dropped_{name}") for name in sizes),
+    )
+
+
+def text_metadata(
+    docs: DataFrame, texts: DataFrame, context: int = fixed.CONTEXT_SIZE, stride: int | None = None, spaced: bool = True, **tail,
+) -> DataFrame:
+    """Counts per month that metrics divide by: windows, tokens, characters and bytes.
+
+    Sizes are those of the source text without the dropped tail; see `dropped_tail` for the parameters.
+    """
     n = F.col("n_stream")
     count = fixed_count(n, context) if stride is None else sliding_count(n, context, stride)
-    per_key = placed.withColumn("_tail", tail).groupBy(*KEYS).agg(
-        F.max("n_stream").alias("n_stream"),
-        F.count("*").alias("_docs"),
-        F.sum("n_chars").alias("_chars"),
-        F.sum("n_bytes").alias("_bytes"),
-        F.sum(F.length("_tail")).alias("dropped_chars"),
-        F.sum(F.octet_length("_tail")).alias("dropped_bytes"),
-    )
-    spaces = F.col("_docs") - 1 if spaced else F.lit(0)
-    return per_key.select(
+    return dropped_tail(docs, texts, context, stride, spaced, **tail).select(
         *KEYS,
         "n_stream",
         F.lit(context).alias("context_size"),
         F.lit(stride).cast("int").alias("stride"),
         count.alias("num_chunks"),
         (count * context).alias("num_tokens"),
-        (F.col("_chars") + spaces - F.col("dropped_chars")).alias("num_chars"),
-        (F.col("_bytes") + spaces - F.col("dropped_bytes")).alias("num_bytes"),
+        *((F.col(f"stream_{c}") - F.col(f"dropped_{c}")).alias(f"num_{c}") for c in ("chars", "bytes")),
         "dropped_chars",
         "dropped_bytes",
     )

@@ -268,6 +268,13 @@ def byte_pair_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     return partial.groupBy(*KEYS, "prev", "byte").agg(F.sum("k").alias("k"))
 
 
+def byte_code_length(pairs: DataFrame) -> DataFrame:
+    """Bytes (`compressed_size`) that a month's texts take when each byte is coded by its share after the byte before."""
+    of_prev = F.sum("k").over(W.partitionBy(*KEYS, "prev"))
+    coded = pairs.withColumn("_prev", of_prev).groupBy(*KEYS)
+    return coded.agg((-F.sum(F.col("k") * F.log2(F.col("k") / F.col("_prev"))) / 8).alias("compressed_size"))
+
+
 def byte_entropy(pairs: DataFrame) -> DataFrame:
     """Order-0 and order-1 bits per byte of each month."""
     of_month, of_prev, of_byte = (W.partitionBy(*KEYS, *more) for more in ([], ["prev"], ["byte"]))

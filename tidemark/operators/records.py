@@ -1,4 +1,4 @@
-"""Result records of a month: a model's bits, or a codec's size, over the corpus counts."""
+"""Result records of a month: a model's bits, or a baseline's size, over the corpus counts."""
 
 from __future__ import annotations
 
@@ -28,10 +28,10 @@ def model_records(
     return joined.select(*KEYS, name, *metric_columns(F.col("bits") / 8, text, extra=extra))
 
 
-def codec_records(sizes: DataFrame, metadata: DataFrame, text: bool = True) -> DataFrame:
-    """Metrics per month and codec.
+def baseline_records(sizes: DataFrame, metadata: DataFrame, text: bool = True) -> DataFrame:
+    """Metrics per month and baseline; `sizes`: model and compressed_size per month.
 
-    A codec compresses the whole stream, while the counts leave out the dropped tail, as
+    A baseline compresses the whole stream, while the counts leave out the dropped tail, as
     for models.  It has no context size and no time of its own.
     """
     joined = sizes.withColumnRenamed("compressed_size", "_size").join(

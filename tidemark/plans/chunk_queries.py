@@ -85,31 +85,45 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METADATA = f"""{q.TOKENS},
+placed AS (
+  SELECT dataset, month, text, toks, n, (n - 1) // {CONTEXT} * {CONTEXT} AS cut,
+         sum(len(toks)) OVER (PARTITION BY dataset, month ORDER BY doc_ord) - len(toks) AS start,
+         row_number() OVER (PARTITION BY dataset, month ORDER BY doc_ord) AS i
+  FROM docs JOIN total USING (dataset, month)),
+behind AS (
+  SELECT *, CASE
+    WHEN start >= cut THEN CASE WHEN i = 1 THEN '' ELSE ' ' END || text
+    WHEN start + len(toks) >= cut THEN substr(text, 1 + list_sum(list_transform(
+      list_zip(regexp_split_to_array({q.lowered('text')}, {q.literal(q.WORDS)})[1:cut - start], toks[1:cut - start]),
+      lambda p: length(p[1]) + length(p[2])))::BIGINT)
+    ELSE '' END AS lost FROM placed),
 tail AS (
-  SELECT dataset, month, sum(length(tok))::BIGINT AS dropped_chars, sum(strlen(tok))::BIGINT AS dropped_bytes
-  FROM pos JOIN total USING (dataset, month) WHERE pos >= (n - 1) // {CONTEXT} * {CONTEXT} GROUP BY ALL),
+  SELECT dataset, month, string_agg(lost, '' ORDER BY i) AS lost, length(string_agg(lost, '' ORDER BY i)) AS dropped_chars,
+         strlen(string_agg(lost, '' ORDER BY i)) AS dropped_bytes FROM behind GROUP BY ALL),
 size AS (
   SELECT dataset, month, sum(length(text)) + count(*) - 1 AS chars, sum(strlen(text)) + count(*) - 1 AS bytes
   FROM corpus GROUP BY ALL)"""
 
 
+def metadata(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    return c.text_metadata(docs, corpus.documents(spark, sf_dir), CONTEXT)
+
+
 @query("text_metadata", f"""WITH {METADATA}
 SELECT dataset, month, n AS n_stream, {CONTEXT} AS context_size, NULL::INTEGER AS stride,
        (n - 1) // {CONTEXT} AS num_chunks, (n - 1) // {CONTEXT} * {CONTEXT} AS num_tokens,
        (chars - dropped_chars)::BIGINT AS num_chars, (bytes - dropped_bytes)::BIGINT AS num_bytes
 FROM total JOIN tail USING (dataset, month) JOIN size USING (dataset, month)""")
 def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.text_metadata(tokens(spark, sf_dir), CONTEXT).drop("dropped_chars", "dropped_bytes")
+    return metadata(spark, sf_dir, tokens(spark, sf_dir)).drop("dropped_chars", "dropped_bytes")
 
 
 @query("dropped_tail", f"""WITH {METADATA}
 SELECT dataset, month, n - (n - 1) // {CONTEXT} * {CONTEXT} AS dropped_tokens, dropped_chars, dropped_bytes
 FROM total JOIN tail USING (dataset, month)""")
 def dropped_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = c.text_metadata(tokens(spark, sf_dir), CONTEXT)
-    return meta.select(
-        *KEYS, (F.col("n_stream") - F.col("num_tokens")).alias("dropped_tokens"), "dropped_chars", "dropped_bytes"
-    )
+    tail = c.dropped_tail(tokens(spark, sf_dir), corpus.documents(spark, sf_dir), CONTEXT)
+    return tail.select(*KEYS, "dropped_tokens", "dropped_chars", "dropped_bytes")
 
 
 @query("byte_metadata", f"""WITH n AS (

@@ -1,4 +1,4 @@
-"""Code length under counted models, outside logits, codecs, and any batch function."""
+"""Code length under counted models, outside logits, bytes, and any batch function."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from tidemark.functions import fixed
 from tidemark.functions.scoring import metric_columns
 from tidemark.functions.text import seeded_start
 from tidemark.operators import chunks as c
-from tidemark.operators import codecs, pmf, predictors, records, units
+from tidemark.operators import pmf, predictors, records, units
 from tidemark.plans import sqltext as q
-from tidemark.plans.chunk_queries import BATCH, CONTEXT, METADATA, NARROW, SLIDING, STRIDE, tokens
+from tidemark.plans.chunk_queries import BATCH, CONTEXT, METADATA, NARROW, SLIDING, STRIDE, metadata, tokens
 from tidemark.plans.registry import query
 from tidemark.sources import corpus
 
@@ -215,31 +215,25 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("compression_metrics", f"""WITH {q.TOKENS},
-vocab AS (SELECT tok, count(*) AS c FROM pos WHERE month < '{CUTOFF}' GROUP BY tok),
+@query("compression_metrics", f"""WITH {METADATA},
+kept AS (SELECT dataset, month, tok FROM pos JOIN total USING (dataset, month) WHERE pos < (n - 1) // {CONTEXT} * {CONTEXT}),
+vocab AS (SELECT tok, count(*) AS c FROM kept WHERE month < '{CUTOFF}' GROUP BY tok),
 model AS (SELECT sum(c) + count(*) + 1 AS size FROM vocab),
-bits AS (SELECT dataset, month, sum(log2(size) - log2(coalesce(c, 0) + 1)) / 8 AS sz, count(*) AS n_tokens
-         FROM pos LEFT JOIN vocab USING (tok) CROSS JOIN model GROUP BY ALL),
-meta AS (SELECT dataset, month, sum(strlen(text)) + count(*) - 1 AS nb, sum(length(text)) + count(*) - 1 AS nc
-         FROM corpus GROUP BY ALL)
-SELECT dataset, month, round(sz * 8 / nb, 6) AS bpb, nb::BIGINT AS original_size, round(sz / nb, 6) AS ratio,
+bits AS (SELECT dataset, month, sum(log2(size) - log2(coalesce(c, 0) + 1)) / 8 AS sz
+         FROM kept LEFT JOIN vocab USING (tok) CROSS JOIN model GROUP BY ALL),
+m AS (SELECT dataset, month, sz, (n - 1) // {CONTEXT} AS batches, chars - dropped_chars AS nc, bytes - dropped_bytes AS nb
+      FROM total JOIN tail USING (dataset, month) JOIN size USING (dataset, month) LEFT JOIN bits USING (dataset, month))
+SELECT dataset, month, round(sz * 8 / nullif(nb, 0), 6) AS bpb, nb::BIGINT AS original_size, round(sz / nullif(nb, 0), 6) AS ratio,
        round(sz, 3) AS compressed_size, {CONTEXT} AS context_size, NULL::INTEGER AS stride,
-       n_tokens // {CONTEXT} AS batches, NULL::DOUBLE AS time_used,
-       round(sz * 8 / n_tokens, 6) AS bpt, round(sz * 8 / nc, 6) AS bpc
-FROM bits JOIN meta USING (dataset, month)""")
+       batches, NULL::DOUBLE AS time_used,
+       round(sz * 8 / nullif(batches * {CONTEXT}, 0), 6) AS bpt, round(sz * 8 / nullif(nc, 0), 6) AS bpc FROM m""")
 def compression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics of one model, from its bits and the counts of the corpus."""
+    """All metrics of one model, from its bits over the windows and the counts of the source text."""
     docs = tokens(spark, sf_dir)
-    bits = predictors.unigram_bits(docs, CUTOFF).drop("n_bytes")
-    counts = docs.groupBy(*KEYS).agg(
-        (F.sum("n_bytes") + F.count("*") - 1).alias("num_bytes"),
-        (F.sum("n_chars") + F.count("*") - 1).alias("num_chars"),
-    )
-    meta = bits.join(counts, KEYS).withColumns({
-        "num_tokens": F.col("n_tokens"), "num_chunks": F.floor(F.col("n_tokens") / CONTEXT),
-        "context_size": F.lit(CONTEXT), "stride": F.lit(None).cast("int"), "time_used": F.lit(None).cast("double"),
-    })
-    rows = meta.select(*KEYS, *metric_columns(F.col("bits") / 8))
+    windows = c.fixed_chunks(docs, CONTEXT).withColumn("n_bytes", F.lit(0))
+    bits = predictors.unigram_bits(windows, CUTOFF).select(*KEYS, "bits")
+    rows = metadata(spark, sf_dir, docs).join(bits, KEYS, "left").withColumn("time_used", F.lit(None).cast("double"))
+    rows = rows.select(*KEYS, *metric_columns(F.col("bits") / 8))
     return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
 
 
@@ -258,26 +252,31 @@ def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, windows, a model's bits and the corpus counts to one record per month."""
     docs = tokens(spark, sf_dir)
     bits = predictors.cache_bits(c.fixed_chunks(docs, CONTEXT), predictors.vocabulary(docs, CUTOFF), CONTEXT)
-    rows = records.model_records(bits, c.text_metadata(docs, CONTEXT), "models/cache")
+    rows = records.model_records(bits, metadata(spark, sf_dir, docs), "models/cache")
     return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
 
 
-@query("codec_records")
-def codec_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = corpus.documents(spark, sf_dir)
-    sizes = codecs.compress_streams(units.build_stream(units.whole_units(raw)))
-    rows = records.codec_records(sizes, c.text_metadata(tokens(spark, sf_dir), CONTEXT))
+@query("byte_records", f"""WITH {METADATA},
+b AS (SELECT dataset, month, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INTEGER) AS v FROM corpus),
+p AS (SELECT dataset, month, unnest(list_prepend(-1, v[:-2])) AS prev, unnest(v) AS byte FROM b WHERE len(v) > 0),
+k AS (SELECT dataset, month, prev, byte, count(*) AS k FROM p GROUP BY ALL),
+s AS (SELECT dataset, month, -sum(k * log2(k / n)) / 8 AS sz
+      FROM (SELECT *, sum(k) OVER (PARTITION BY dataset, month, prev) AS n FROM k) GROUP BY ALL),
+m AS (SELECT dataset, month, sz, n AS tokens, (n - 1) // {CONTEXT} AS batches, chars - dropped_chars AS nc, bytes - dropped_bytes AS nb
+      FROM total JOIN tail USING (dataset, month) JOIN size USING (dataset, month) JOIN s USING (dataset, month))
+SELECT dataset, month, 'bytes-order1' AS model, round(sz * 8 / nullif(nb, 0), 6) AS bpb, nb::BIGINT AS original_size,
+       round(sz / nullif(nb, 0), 6) AS ratio, round(sz, 3) AS compressed_size, NULL::INTEGER AS context_size,
+       NULL::INTEGER AS stride, batches, NULL::DOUBLE AS time_used,
+       round(sz * 8 / nullif(batches * {CONTEXT}, 0), 6) AS bpt, round(sz * 8 / nullif(nc, 0), 6) AS bpc FROM m""")
+def byte_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's record of each month: code length of all bytes, given the byte before, over the corpus counts."""
+    pairs = predictors.byte_pair_counts(corpus.documents(spark, sf_dir))
+    sizes = predictors.byte_code_length(pairs).withColumn("model", F.lit("bytes-order1"))
+    rows = records.baseline_records(sizes, metadata(spark, sf_dir, tokens(spark, sf_dir)))
     return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
 
 
-# --- codecs and batch functions ----------------------------------------------
-@query("codec_baseline")
-def codec_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams = units.build_stream(units.whole_units(corpus.documents(spark, sf_dir)))
-    sizes = codecs.compress_streams(streams, ("png", "zlib", "gzip"))
-    return sizes.withColumn("ratio", F.round(F.try_divide("compressed_size", "stream_bytes"), 6))
-
-
+# --- batch functions ----------------------------------------------------------
 @query("udf_predictor", f"""WITH {q.TOKENS},
 k AS (SELECT dataset, month, pos // {CONTEXT} AS chunk_id, tok, count(*) AS k FROM pos JOIN total USING (dataset, month)
       WHERE pos // {CONTEXT} < (n - 1) // {CONTEXT} GROUP BY ALL)

@@ -20,8 +20,12 @@ def month_slot(ordinal: str) -> str:
     return f"strftime(DATE '2017-01-01' + to_months(({ordinal} % 83)::INTEGER), '%Y-%m')"
 
 
+def lowered(value: str) -> str:
+    return f"lower(replace({value}, '{text.LONG_CAPITAL}', 'I'))"
+
+
 def words(value: str) -> str:
-    return f"regexp_extract_all(lower({value}), {literal(WORDS)})"
+    return f"regexp_extract_all({lowered(value)}, {literal(WORDS)})"
 
 
 def seeded_hash(key: str, seed: int = fixed.SHUFFLE_SEED) -> str:
