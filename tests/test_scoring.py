@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import contextlib
+import io
 import math
+import re
 
 import numpy as np
 import pytest
@@ -105,10 +108,63 @@ def test_integer_cdf_is_strict_and_invertible(spark, vocab, zeros):
         assert abs(sum(r.pmf) - 1) < 1e-9
     every = rows.select("chunk_id", "off", "cdf", F.explode(F.sequence(F.lit(0), F.lit(vocab - 1))).alias("s"))
     low, high = pmf.interval(F.col("cdf"), F.col("s"))
-    ends = every.select("s", "cdf", low.alias("low"), high.alias("high")).withColumn("last", F.col("high") - 1)
-    back = ends.select("s", pmf.symbol_at(F.col("cdf"), F.col("low")).alias("a"),
-                       pmf.symbol_at(F.col("cdf"), F.col("last")).alias("b")).collect()
-    assert all(r.s == r.a == r.b for r in back)
+    points = every.select("chunk_id", "off", "s", F.explode(F.array(low, high - 1)).alias("point"))
+    back = pmf.decode_points(rows.select("chunk_id", "off", "cdf"), points, ["chunk_id", "off"]).collect()
+    assert len(back) == 32 * vocab and all(r.s == r.decoded for r in back)
+
+
+def test_a_large_vocabulary_is_inverted_in_any_number_of_rows(spark, monkeypatch):
+    """100,000 points on CDFs of 32,000 symbols, most of them in one context; a CDF goes to few rows."""
+    monkeypatch.setattr(pmf, "POINTS", 1 << 14)
+    vocab, many = 32_000, 90_000
+    rng = np.random.default_rng(5)
+    cdfs = [np.concatenate([[0], np.sort(rng.choice(np.arange(1, pmf.SCALE), vocab - 1, replace=False)), [pmf.SCALE]]) for _ in range(3)]
+    tables = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(cdfs)], "ctx int, cdf array<bigint>")
+    drawn = [(0, int(x)) for x in rng.integers(0, pmf.SCALE, many)] + [(1 + i % 2, int(x)) for i, x in enumerate(rng.integers(0, pmf.SCALE, 10_000))]
+    drawn += [(0, 0), (0, pmf.SCALE - 1), (9, 5)]
+    points = spark.createDataFrame([(c, x, i) for i, (c, x) in enumerate(drawn)], "ctx int, point bigint, n long").repartition(4)
+    got = pmf.decode_points(tables, points, ["ctx"])
+    assert got.columns == ["ctx", "point", "n", "decoded"]
+    rows = got.toPandas()
+    assert sorted(rows.n) == [i for i, (c, _) in enumerate(drawn) if c != 9]
+    for ctx, part in rows.groupby("ctx"):
+        low = cdfs[ctx][part.decoded.to_numpy()]
+        high = cdfs[ctx][part.decoded.to_numpy() + 1]
+        assert (low <= part.point).all() and (part.point < high).all()
+
+
+def exchanged(df):
+    """Columns that the exchanges and windows of a plan take in."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    parts = re.findall(r"\(\d+\) (Exchange|Window|Sort)\b.*?\nInput \[\d+\]: \[(.*?)\]", out.getvalue())
+    return out.getvalue(), parts
+
+
+def test_no_array_is_moved_for_the_next_symbol(spark):
+    vocab = 32_000
+    flat = spark.range(24).selectExpr(
+        "'d' AS dataset", "'m' AS month", "id DIV 8 AS chunk_id", "int(id % 8) AS off",
+        f"transform(sequence(1, {vocab}), x -> double(hash(x, id) % 7)) AS logits", f"int(pmod(hash(id), {vocab})) AS sym",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = pmf.store_by_chunk(flat, 3)
+        rows = pmf.softmax(pmf.predicted(stored))
+        bits = rows.select("chunk_id", "off", pmf.self_information(rows).alias("bits"))
+        plan, parts = exchanged(bits)
+        assert "ShuffledHashJoin" in plan and all("logits" not in columns and "pmf" not in columns for _, columns in parts)
+        got = {(r.chunk_id, r.off): r.bits for r in bits.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    data = {(r.chunk_id, r.off): r for r in flat.collect()}
+    assert got.keys() == {k for k in data if k[1] > 0}
+    for (chunk, off), bit in got.items():
+        x = np.array(data[chunk, off - 1].logits)
+        want = np.log2(np.exp(x - x.max()).sum()) - (x[data[chunk, off].sym] - x.max()) / np.log(2)
+        assert abs(bit - want) < 1e-9
 
 
 def test_quantized_length_is_close_to_self_information(spark):
@@ -217,5 +273,6 @@ def test_cdf_of_a_large_vocabulary(spark):
     df = spark.range(8).select(F.expr(f"transform(sequence(1, {n}), x -> 1.0D / {n})").alias("pmf"))
     row = df.select(pmf.quantize_cdf(pmf.pmf_to_cdf(F.col("pmf"))).alias("cdf")).first()
     assert len(row.cdf) == n + 1 and row.cdf[0] == 0 and all(a < b for a, b in zip(row.cdf, row.cdf[1:]))
-    empty = spark.createDataFrame([(None,)], "pmf array<double>").select(pmf.pmf_to_cdf("pmf").alias("cdf")).first()
-    assert empty.cdf is None
+    uneven = spark.createDataFrame([(None,), ([0.5, 0.5],), ([],), ([0.25, 0.5, 0.5],), (None,), ([1.0],)], "pmf array<double>").coalesce(1)
+    got = [r.cdf for r in uneven.select(pmf.pmf_to_cdf("pmf").alias("cdf")).collect()]
+    assert got == [None, [0.0, 0.5, 1.0], [0.0], [0.0, 0.25, 0.75, 1.0], None, [0.0, 1.0]]

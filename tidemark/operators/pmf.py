@@ -1,34 +1,63 @@
 """Probabilities per position: softmax, code length, integer CDFs.
 
-A position is one row with an array over the vocabulary, so every step here is a
-projection.  Rows meet only where a symbol is predicted by the row before it, and
-that window spans one chunk.
+A position is one row with an array over the vocabulary, so every step here is a projection.  Rows meet only where a
+symbol is predicted by the row before it, and there the symbols go to the arrays: the side that is moved has three
+narrow columns.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import fixed
+from tidemark.session import shared_folder
 
 CHUNK = ["dataset", "month", "chunk_id"]
 SCALE = 2**fixed.CDF_BITS
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+def _by_length(arrays: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Which rows are not null, and per length the numbers of its rows with their values as one matrix."""
+    valid = arrays.is_valid().to_numpy(zero_copy_only=False)
+    sizes = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = arrays.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    start = np.cumsum(sizes) - sizes
+    groups = [(rows, flat[start[rows][:, None] + np.arange(n)]) for n in np.unique(sizes[valid]) for rows in [np.flatnonzero(valid & (sizes == n))]]
+    return valid, groups
+
+
+def _listed(valid: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """Matrices of `_by_length` back in the order of the rows."""
+    sizes = np.zeros(len(valid), np.int64)
+    for rows, values in groups:
+        sizes[rows] = values.shape[1]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(offsets[-1])
+    for rows, values in groups:
+        out[offsets[rows][:, None] + np.arange(values.shape[1])] = values
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(~valid, False)), pa.array(out))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _softmax(logits: pa.Array) -> pa.Array:
+    """A batch at once: lambdas over a large vocabulary would cost some 100 ns a number, and inlined sums its square."""
+    valid, groups = _by_length(logits)
+    shares = []
+    for rows, x in groups:
+        e = np.exp(x - x.max(axis=1, keepdims=True, initial=-np.inf))
+        shares.append((rows, e / np.cumsum(e, axis=1)[:, -1:] if x.shape[1] else e))
+    return _listed(valid, shares)
 
 
 def softmax(df: DataFrame, logits: str = "logits", out: str = "pmf") -> DataFrame:
-    topped = df.withColumn("_top", F.array_max(logits))
-    shifted = topped.withColumn("_e", F.transform(logits, lambda x: F.exp(x - F.col("_top"))))
-    summed = shifted.withColumn("_s", _sum(F.col("_e")))
-    return summed.withColumn(out, F.transform("_e", lambda e: e / F.col("_s"))).drop("_top", "_e", "_s")
+    return df.withColumn(out, _softmax(F.col(logits)))
 
 
 def restrict(df: DataFrame, allowed: list[int], logits: str = "logits") -> DataFrame:
@@ -51,10 +80,29 @@ def code_length(p: Column) -> Column:
     return -F.log2(F.when(p < floor, floor).otherwise(p))
 
 
+def store_by_chunk(df: DataFrame, buckets: int, purpose: str = "positions") -> DataFrame:
+    """`df` as a table in buckets of whole chunks, so that later steps along a chunk move no array.
+
+    The arrays are dealt out once, here; a model that writes its output like this saves that too.
+    """
+    name = f"tidemark_{purpose}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *CHUNK).write.bucketBy(buckets, *CHUNK)
+    dealt.option("path", shared_folder(df.sparkSession, purpose)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def predicted(df: DataFrame) -> DataFrame:
-    """Pair each symbol with the pmf of the position before it in its chunk; the first has none."""
-    along = W.partitionBy(*CHUNK).orderBy("off")
-    return df.withColumn("pmf", F.lag("pmf").over(along)).where(F.col("pmf").isNotNull())
+    """Each row with the symbol after it as `sym` and that one's `off`: what its distribution predicts.
+
+    The last position of a chunk predicts nothing and is left out.  Only a chunk's symbols, a map of at most the context
+    size, are brought to its rows, as the build side of a hash join; the arrays stay where they are if `df` is stored
+    by chunk, and if the symbols are few enough for a broadcast.  Softmax and lookup come after this, in the row's own
+    task.  Positions of a chunk are distinct.
+    """
+    pairs = F.collect_list(F.struct(F.col("off") - 1, F.col("sym")))
+    after = df.groupBy(*CHUNK).agg(F.map_from_entries(pairs).alias("_after"))
+    joined = df.join(after.hint("shuffle_hash"), CHUNK).withColumn("sym", F.try_element_at("_after", F.col("off")))
+    return joined.where(F.col("sym").isNotNull()).withColumn("off", F.col("off") + 1).drop("_after")
 
 
 def self_information(df: DataFrame) -> Column:
@@ -62,13 +110,15 @@ def self_information(df: DataFrame) -> Column:
 
 
 # --- integer CDFs -----------------------------------------------------------
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def pmf_to_cdf(pmf: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def pmf_to_cdf(pmf: pa.Array) -> pa.Array:
     """Running sums with a leading 0, clamped at 1; NULL stays NULL.
 
-    An array that grows by one in `aggregate` is copied for every symbol; the running sum here is linear.
+    All rows of a batch that have one length, which is the vocabulary's, are summed at once.
     """
-    return pmf.map(lambda p: None if p is None else np.minimum(np.concatenate([[0.0], np.cumsum(p)]), 1.0))
+    valid, groups = _by_length(pmf)
+    sums = [(rows, np.minimum(np.cumsum(np.pad(p, ((0, 0), (1, 0))), axis=1), 1.0)) for rows, p in groups]
+    return _listed(valid, sums)
 
 
 def quantize_cdf(cdf: Column) -> Column:
@@ -95,16 +145,28 @@ def coded_bytes(bits: Column) -> Column:
     return F.ceil((bits + 2) / 8)
 
 
-def symbol_at(cdf: Column, point: Column) -> Column:
-    """Largest symbol whose lower bound is at or below the code point."""
-    below = F.size(F.filter(cdf, lambda c: c <= point))
-    return F.least(below - 1, F.size(cdf) - 2)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def symbols_at(cdf: pd.Series, points: pd.Series) -> pd.Series:
+    """For each point the largest symbol whose lower bound is at or below it; bounds are sorted, so by bisection."""
+    found = (np.minimum(np.searchsorted(c, p, "right") - 1, len(c) - 2).astype(np.int32) for c, p in zip(cdf, points))
+    return pd.Series(list(found), dtype=object)
+
+
+#: Points of a context that share a row.
+POINTS = 1 << 16
 
 
 def decode_points(cdfs: DataFrame, points: DataFrame, on: list[str]) -> DataFrame:
-    """Range lookup of code points in the integer CDF of their context.
+    """Range lookup of code points in the integer CDF of their context; `points` has `point` and any other columns.
 
-    An equi-join on the context brings the CDF to the point, and the range condition
-    is answered inside the row.  Each point gives one row, never one per symbol.
+    The points of a context are packed into rows of about POINTS, so a CDF is moved once for each of these rows and
+    not for each point, and no context has to fit a task.
     """
-    return points.join(cdfs, on).withColumn("decoded", symbol_at(F.col("cdf"), F.col("point")))
+    rest = [c for c in points.columns if c not in on]
+    parts = points.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("_parts"))
+    spread = points.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(*rest), "_parts"))
+    packed = spread.groupBy(*on, "_part").agg(F.collect_list(F.struct(*rest)).alias("_points"))
+    found = symbols_at(F.col("cdf"), F.transform("_points", lambda p: p["point"])).alias("_found")
+    rows = packed.join(cdfs, on).select(*on, "_points", found)
+    each = rows.select(*on, F.explode_outer(F.arrays_zip("_points", "_found")).alias("_row"))
+    return each.select(*on, *(F.col(f"_row._points.{c}").alias(c) for c in rest), F.col("_row._found").alias("decoded"))

@@ -22,9 +22,12 @@ DIGITS = {"bpb": 6, "ratio": 6, "compressed_size": 3, "bpt": 6, "bpc": 6}
 
 
 # --- logits -----------------------------------------------------------------
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.logits(spark, sf_dir).withColumn("dataset", F.lit("logits"))
+
+
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logits = corpus.logits(spark, sf_dir).withColumn("dataset", F.lit("logits"))
-    return pmf.softmax(logits)
+    return pmf.softmax(positions(spark, sf_dir))
 
 
 def cdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +68,7 @@ pred AS (SELECT *, lag(pmf) OVER (PARTITION BY chunk_id ORDER BY off) AS before
 SELECT month, chunk_id, count(*) AS n_scored, round(sum(-log2(greatest(before[sym + 1], {FLOOR!r}))), 6) AS bits
 FROM pred WHERE before IS NOT NULL GROUP BY ALL""")
 def self_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pmf.predicted(probabilities(spark, sf_dir))
+    rows = pmf.softmax(pmf.predicted(positions(spark, sf_dir)))
     return rows.groupBy("month", "chunk_id").agg(
         F.count("*").alias("n_scored"), F.round(F.sum(pmf.self_information(rows)), 6).alias("bits")
     )
@@ -75,13 +78,13 @@ def self_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT s.month, count(*) AS n_scored, round(sum(-log2(greatest(p.pmf[s.sym + 1], {FLOOR!r}))), 6) AS bits
 FROM pm s JOIN pm p ON p.chunk_id = s.chunk_id AND p.off + 1 = s.off GROUP BY ALL""")
 def external_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols and model output as two tables that meet by position."""
-    symbols = corpus.logits(spark, sf_dir).select("month", "chunk_id", "off", "sym")
-    scores = probabilities(spark, sf_dir).select("month", "chunk_id", (F.col("off") + 1).alias("off"), "pmf")
-    rows = symbols.join(scores, ["month", "chunk_id", "off"])
-    return rows.groupBy("month").agg(
-        F.count("*").alias("n_scored"), F.round(F.sum(pmf.self_information(rows)), 6).alias("bits")
-    )
+    """Windows of symbols, and scores that a model gives for their positions."""
+    rows = positions(spark, sf_dir)
+    toks = F.transform(F.array_sort(F.collect_list(F.struct("off", "sym"))), lambda p: p["sym"])
+    windows = rows.groupBy(*pmf.CHUNK).agg(toks.alias("toks"))
+    scored = pmf.softmax(pmf.predicted(rows))
+    scores = scored.select(*pmf.CHUNK, "off", (-pmf.self_information(scored)).alias("log2_p"))
+    return predictors.external_bits(windows, scores).select("month", "n_scored", F.round("bits", 6).alias("bits"))
 
 
 @query("pmf_to_cdf", f"""WITH {q.CDF}
