@@ -3,8 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import chunks as c
 from tidemark.operators import units
+from tidemark.sources import stages
 
 CTX = 8
 LENGTHS = [1, CTX - 1, CTX, CTX + 1, 3 * CTX, 3 * CTX + 5, 100]
@@ -166,9 +168,29 @@ def test_windows_follow_the_units_of_a_document(spark):
     assert sliding[1].toks == ["a1x", "b1y", "a2x", "b2y"]
 
 
-def test_token_cache_is_found_again(spark, tmp_path):
+def test_tokens_are_found_again_by_what_they_were_made_from(spark, tmp_path):
     path = str(tmp_path / "tokens")
-    one = spark.createDataFrame([("d", "2020-01", 0, "aa bb")], "dataset string, month string, doc_ord long, text string")
+    one = spark.createDataFrame([("d", "2020-01", 0, "aa bb"), ("d", "2020-01", 1, None)], "dataset string, month string, doc_ord long, text string")
     other = one.withColumn("text", F.lit("something else"))
-    assert units.token_cache(one, path).first().toks == ["aa", "bb"]
-    assert units.token_cache(other, path).first().toks == ["aa", "bb"]
+    calls = []
+
+    def toks(df, tokenizer=None, version=""):
+        before = len(list((tmp_path / "tokens").glob("*/_SUCCESS"))) if calls else 0
+        calls.append(1)
+        found = units.token_cache(df, path, tokenizer or text.words, version).where("doc_ord = 0").first().toks
+        return found, len(list((tmp_path / "tokens").glob("*/_SUCCESS"))) - before
+
+    assert toks(one) == (["aa", "bb"], 2)  # the tokens and the manifest
+    assert toks(one.repartition(2)) == (["aa", "bb"], 0)
+    assert toks(other) == (["something", "else"], 1)
+    assert toks(one, lambda c: F.split(c, "a")) == (["", "", " bb"], 1)
+    assert toks(one, version="2") == (["aa", "bb"], 1)
+    assert toks(one) == (["aa", "bb"], 0)
+
+
+def test_an_unfinished_table_is_not_found(spark, tmp_path):
+    df = spark.range(5)
+    key = stages.content_key(df)
+    df.limit(2).write.parquet(str(tmp_path / "t" / key))  # left by a run that was cut off
+    assert stages.materialise(df, "numbers", str(tmp_path / "t")).count() == 5
+    assert key != stages.content_key(df.withColumn("id", F.col("id") + 1)) != stages.content_key(spark.range(6))

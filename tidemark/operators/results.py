@@ -169,9 +169,9 @@ def task_matrix(results: DataFrame, driving: str, tasks: list[str], value: str =
 
 
 def context_matrix(results: DataFrame, variants: list[str] = fixed.CONTEXT_VARIANTS) -> DataFrame:
-    """Mean ratio of the test months per model and context variant."""
+    """Mean ratio of the test months per dataset, model and context variant."""
     test = results.where(is_test(F.col("month")))
-    return test.groupBy("model").pivot("variant", variants).agg(F.avg("ratio"))
+    return test.groupBy("dataset", "model").pivot("variant", variants).agg(F.avg("ratio"))
 
 
 def context_variants(results: DataFrame, variants: list[str]) -> DataFrame:
@@ -179,7 +179,7 @@ def context_variants(results: DataFrame, variants: list[str]) -> DataFrame:
 
     One conditional aggregation in place of a chain of joins.
     """
-    wide = results.where(F.col("variant").isin(variants)).groupBy("model", "month").pivot("variant", variants).agg(
+    wide = results.where(F.col("variant").isin(variants)).groupBy("dataset", "model", "month").pivot("variant", variants).agg(
         F.first("ratio")
     )
     return wide.dropna(subset=variants)
@@ -189,7 +189,7 @@ def context_fallback(matrix: DataFrame) -> DataFrame:
     """Where there is no 4K result the long one stands in for it, and 8K is absent."""
     missing = F.col("4K").isNull()
     return matrix.select(
-        "model", "2K", "2K+SW",
+        "dataset", "model", "2K", "2K+SW",
         F.when(missing, F.col("8K")).otherwise(F.col("4K")).alias("4K"),
         F.when(~missing, F.col("8K")).alias("8K"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed, text
 from tidemark.operators.prefix import first_rows, hash_bucket, ordinal_bucket, running_total
-from tidemark.sources.stages import materialise
+from tidemark.sources.stages import content_key, materialise
 
 KEYS = ["dataset", "month"]
 ORDER = ["doc_ord", "unit_ord"]
@@ -141,10 +141,13 @@ def tokenize(
 
 
 def token_cache(
-    docs: DataFrame, path: str | None = None, tokenizer: Callable[[Column], Column] = text.words,
+    docs: DataFrame, path: str | None = None, tokenizer: Callable[[Column], Column] = text.words, version: str = "",
 ) -> DataFrame:
     """Tokenize once into a written table, for work that goes over the tokens more than once.
 
-    A complete table at `path` is found again and read in place of tokenizing; without `path` it is a new one.
+    With `path`, tokens are kept there by what they were made from: the rows of `docs`, the tokenizer's expression and
+    `version`, which tells apart user functions of one name.  Other documents or another tokenizer get tokens of their own.
     """
-    return materialise(tokenize(docs, tokenizer=tokenizer), "tokens", path)
+    toks = tokenize(docs, tokenizer=tokenizer)
+    key = None if path is None else content_key(docs, str(tokenizer(F.col("text"))), version)
+    return materialise(toks, "tokens", path, key)

@@ -14,6 +14,7 @@ from tidemark.session import shared_folder
 from tidemark.sources import conversations, corpus, quiz, stages
 
 KEYS = ["dataset", "month"]
+# Successes after which attempts stop, in the queries of that operator.
 EXAMPLES = 3
 ASK_MODEL = "meta-llama/Llama-2-7b-chat-hf"
 JUDGE_MODEL = "meta-llama/Meta-Llama-3-8B-Instruct"
@@ -35,12 +36,12 @@ att AS (
   FROM art QUALIFY successes < {EXAMPLES}),
 flat AS (
   SELECT dataset, month, doc_ord, published_date, text, unnest(response) AS r, generate_subscripts(response, 1) - 1 AS qa_ord
-  FROM att),
+  FROM art),
 pairs AS (
   SELECT dataset, month, doc_ord, qa_ord::INTEGER AS qa_ord, text,
          strftime(published_date::DATE, '%b %Y') || ': ' || r.question AS question, r.answer AS answer FROM flat),
 verd AS (
-  SELECT *, CASE (doc_ord + qa_ord) % 5 WHEN 0 THEN 'No, it is not.' WHEN 1 THEN 'Not sure' WHEN 2 THEN right(text, 40)
+  SELECT *, CASE (doc_ord + qa_ord) % 5 WHEN 0 THEN 'No, it is not.' WHEN 1 THEN 'Not sure' WHEN 2 THEN text
             ELSE 'Yes' END AS verdict_text FROM pairs),
 kept AS (SELECT * EXCLUDE (verdict_text, text) FROM verd WHERE contains(lower(verdict_text), 'yes'))"""
 
@@ -56,9 +57,14 @@ def attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.attempts(articles(spark, sf_dir), quiz.responses(spark, sf_dir), prompt, EXAMPLES)
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of every response that parses."""
+    answered = quiz.responses(spark, sf_dir).withColumn("response", qa.parse_qa(F.col("response_text")))
+    return qa.flatten_pairs(articles(spark, sf_dir).join(answered, [*KEYS, "doc_ord"]))
+
+
 def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = qa.flatten_pairs(attempted(spark, sf_dir))
-    return qa.keep_confirmed(pairs, quiz.verdicts(spark, sf_dir), [*KEYS, "doc_ord", "qa_ord"])
+    return qa.keep_confirmed(pairs(spark, sf_dir), quiz.verdicts(spark, sf_dir), [*KEYS, "doc_ord", "qa_ord"])
 
 
 # --- build ------------------------------------------------------------------
@@ -124,7 +130,7 @@ def until_n_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("date_questions", f"""WITH {RESPONSES} SELECT dataset, month, doc_ord, qa_ord, question, answer FROM pairs""")
 def date_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa.flatten_pairs(attempted(spark, sf_dir))
+    return pairs(spark, sf_dir)
 
 
 @query("parse_verdict", f"""SELECT conv_id, turn, {q.verdict('text')} AS verdict,
@@ -148,8 +154,7 @@ def qa_answerable(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT dataset, month, doc_ord, qa_ord, CASE WHEN len(string_split(question, ': ')) = 2
   THEN 'In ' || string_split(question, ': ')[1] || ', ' || string_split(question, ': ')[2] END AS question FROM pairs""")
 def requestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = qa.flatten_pairs(attempted(spark, sf_dir))
-    return pairs.select(*KEYS, "doc_ord", "qa_ord", qa.requestion(F.col("question")).alias("question"))
+    return pairs(spark, sf_dir).select(*KEYS, "doc_ord", "qa_ord", qa.requestion(F.col("question")).alias("question"))
 
 
 @query("qa_questions", f"""WITH {RESPONSES},
@@ -278,9 +283,8 @@ def todo_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages written and read; rewriting one month leaves the others alone."""
     root = shared_folder(spark, "stages")
-    stages.write_stage(qa.flatten_pairs(attempted(spark, sf_dir)), root, "questions")
-    pairs = stages.read_stage(spark, root, "questions")
-    kept = qa.keep_confirmed(pairs, quiz.verdicts(spark, sf_dir), [*KEYS, "doc_ord", "qa_ord"])
+    stages.write_stage(pairs(spark, sf_dir), root, "questions")
+    kept = qa.keep_confirmed(stages.read_stage(spark, root, "questions"), quiz.verdicts(spark, sf_dir), [*KEYS, "doc_ord", "qa_ord"])
     stages.write_stage(kept, root, "filtered")
     last = kept.agg(F.max("month")).scalar()
     stages.write_stage(kept.where(F.col("month") == last), root, "filtered")
@@ -329,12 +333,12 @@ def hint_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa.completion_examples(corpus.documents(spark, sf_dir), EXAMPLES, BLOCK, MINIMUM, RESERVE, BUDGET)
+    return qa.completion_examples(corpus.documents(spark, sf_dir), fixed.CODE_EXAMPLES, BLOCK, MINIMUM, RESERVE, BUDGET)
 
 
 TAKEN = f"""{COMPLETION},
 taken AS (SELECT * FROM made QUALIFY row_number() OVER (
-  PARTITION BY dataset, month ORDER BY {q.seeded_hash('doc_ord')}, doc_ord) <= {EXAMPLES})"""
+  PARTITION BY dataset, month ORDER BY {q.seeded_hash('doc_ord')}, doc_ord) <= {fixed.CODE_EXAMPLES})"""
 
 
 @query("completion_examples", f"""WITH {TAKEN}

@@ -18,7 +18,8 @@ KEYS = ["dataset", "model", "month"]
 MONTHS = [f"{y}-{m:02d}" for y in range(2017, 2024) for m in range(1, 13) if (y, m) <= (2023, 11)]
 FLAG_TASKS = {"A": "Wikitext", "N": "BBC News", "R": "Code"}
 TASK_CASE = "CASE dataset " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAG_TASKS.items()) + " END"
-VARIANT_CASE = "CASE l_linenumber WHEN 1 THEN '2K' WHEN 2 THEN '2K+SW' WHEN 3 THEN '4K' WHEN 4 THEN '8K' END"
+VARIANT_SLOT = "((l_linenumber - 1) % 4)::INTEGER AS slot"
+VARIANT_CASE = "CASE slot WHEN 0 THEN '2K' WHEN 1 THEN '2K+SW' WHEN 2 THEN '4K' ELSE '8K' END"
 # Models without a 4K result of their own.
 NO_4K = ["Baichuan2-7B-Base", "Llama-2-7B-HF"]
 
@@ -179,43 +180,43 @@ def default_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- context variants -------------------------------------------------------
-VARIANTS = f"""{q.results('l_linenumber')},
-var AS (SELECT model, month, {VARIANT_CASE} AS variant, dataset, ratio FROM results
-        WHERE l_linenumber <= 4 AND dataset = 'A' AND NOT (l_linenumber = 3 AND model IN {q.literals(NO_4K)}))"""
+VARIANTS = f"""{q.results(VARIANT_SLOT)},
+var AS (SELECT dataset, model, month, {VARIANT_CASE} AS variant, ratio FROM results
+        WHERE NOT (slot = 2 AND model IN {q.literals(NO_4K)}))"""
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("l_linenumber")
-    names = F.when(number == 1, "2K").when(number == 2, "2K+SW").when(number == 3, "4K").when(number == 4, "8K")
-    rows = src.line_results(spark, sf_dir, "l_linenumber").where((number <= 4) & (F.col("dataset") == "A"))
-    absent = (number == 3) & F.col("model").isin(NO_4K)
-    return rows.where(~absent).select("model", "month", names.alias("variant"), "ratio")
+    slot = F.col("slot")
+    names = F.when(slot == 0, "2K").when(slot == 1, "2K+SW").when(slot == 2, "4K").otherwise("8K")
+    rows = src.line_results(spark, sf_dir, F.pmod(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("slot"))
+    absent = (slot == 2) & F.col("model").isin(NO_4K)
+    return rows.where(~absent).select("dataset", "model", "month", names.alias("variant"), "ratio")
 
 
 @query("context_variants", f"""WITH {VARIANTS}
-SELECT a.model, a.month, round(a.ratio, 8) AS "2K", round(b.ratio, 8) AS "2K+SW", round(c.ratio, 8) AS "8K"
+SELECT a.dataset, a.model, a.month, round(a.ratio, 8) AS "2K", round(b.ratio, 8) AS "2K+SW", round(c.ratio, 8) AS "8K"
 FROM (SELECT * FROM var WHERE variant = '2K') a
-JOIN (SELECT * FROM var WHERE variant = '2K+SW') b USING (model, month)
-JOIN (SELECT * FROM var WHERE variant = '8K') c USING (model, month)""")
+JOIN (SELECT * FROM var WHERE variant = '2K+SW') b USING (dataset, model, month)
+JOIN (SELECT * FROM var WHERE variant = '8K') c USING (dataset, model, month)""")
 def context_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["2K", "2K+SW", "8K"]
     return rounded(r.context_variants(variants(spark, sf_dir), names), *names)
 
 
 MATRIX = f"""{VARIANTS},
-mat AS (SELECT model, """ + ", ".join(
+mat AS (SELECT dataset, model, """ + ", ".join(
     f"avg(ratio) FILTER (variant = '{v}') AS \"{v}\"" for v in fixed.CONTEXT_VARIANTS
 ) + " FROM var WHERE month BETWEEN '2023-01' AND '2023-11' GROUP BY ALL)"
 
 
 @query("context_matrix", f"""WITH {MATRIX}
-SELECT model, {', '.join(f'round("{v}", 8) AS "{v}"' for v in fixed.CONTEXT_VARIANTS)} FROM mat""")
+SELECT dataset, model, {', '.join(f'round("{v}", 8) AS "{v}"' for v in fixed.CONTEXT_VARIANTS)} FROM mat""")
 def context_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.context_matrix(variants(spark, sf_dir)), *fixed.CONTEXT_VARIANTS)
 
 
 @query("context_fallback", f"""WITH {MATRIX}
-SELECT model, round("2K", 8) AS "2K", round("2K+SW", 8) AS "2K+SW", round(coalesce("4K", "8K"), 8) AS "4K",
+SELECT dataset, model, round("2K", 8) AS "2K", round("2K+SW", 8) AS "2K+SW", round(coalesce("4K", "8K"), 8) AS "4K",
        round(CASE WHEN "4K" IS NOT NULL THEN "8K" END, 8) AS "8K" FROM mat""")
 def context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.context_fallback(r.context_matrix(variants(spark, sf_dir))), *fixed.CONTEXT_VARIANTS)

@@ -117,13 +117,8 @@ plotted AS (SELECT * FROM gaps WHERE model IN {literals(list(fixed.MODEL_LABELS)
 
 ANSWERS = f"""answers AS (
   SELECT {month_slot('q.conv_id')} AS month, q.conv_id, q.turn AS idx, q.text AS question,
-         string_split(r.text, ' ')[1] AS ref_answer, c.out,
-         list_transform(c.out, lambda o: right(o, 24)) AS judges
-  FROM conversations q
-  JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant'
-  JOIN (SELECT conv_id, turn - d AS idx, list(text ORDER BY d) AS out
-        FROM conversations, (VALUES (1), (3), (5)) AS v(d) WHERE role = 'assistant' GROUP BY ALL) c
-    ON c.conv_id = q.conv_id AND c.idx = q.turn
+         string_split(r.text, ' ')[1] AS ref_answer, {SENTENCES.replace('(text,', '(r.text,')} AS out, out AS judges
+  FROM conversations q JOIN conversations r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND r.role = 'assistant'
   WHERE q.role = 'user')"""
 
 

@@ -43,22 +43,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
 
 
-def _storage(spark: SparkSession, path: str):
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
-
-
-def is_lone_file(spark: SparkSession, path: str) -> bool:
-    system, location = _storage(spark, path)
-    return system.exists(location) and system.getFileStatus(location).isFile()
-
-
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Has a table been written here to its end?"""
-    system, location = _storage(spark, f"{path}/_SUCCESS")
-    return system.exists(location)
-
-
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at `path`, None where nothing has been written yet."""
     try:

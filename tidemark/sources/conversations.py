@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators.qa import zip_tables
 from tidemark.sources.corpus import month_slot
 
-# A reply serves as candidate for the question just before it and for the two before that.
-REPLY_DISTANCES = [1, 3, 5]
-
-
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
@@ -30,16 +27,9 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three replies per question, nearest first.
-
-    Each reply goes to the questions it serves, so rows meet by (conversation, turn)
-    and a very long conversation is spread like any other.
-    """
+    """The sentences of the reply that follows a question, all of them, in order."""
     replies = _turns(spark, sf_dir).where(F.col("role") == "assistant")
-    distance = F.explode(F.array(*[F.lit(d) for d in REPLY_DISTANCES])).alias("distance")
-    served = replies.select("conv_id", "turn", "text", distance)
-    out = F.transform(F.array_sort(F.collect_list(F.struct("distance", "text"))), lambda c: c["text"])
-    return served.groupBy("conv_id", (F.col("turn") - F.col("distance")).alias("idx")).agg(out.alias("out"))
+    return replies.select("conv_id", (F.col("turn") - 1).alias("idx"), text.sentences(F.col("text")).alias("out"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +37,4 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     zipped = zip_tables(
         [questions(spark, sf_dir), references(spark, sf_dir), candidates(spark, sf_dir)], ["conv_id", "idx"]
     )
-    return zipped.select(
-        month_slot(F.col("conv_id")).alias("month"), "*",
-        F.transform("out", lambda o: F.right(o, F.lit(24))).alias("judges"),
-    )
+    return zipped.select(month_slot(F.col("conv_id")).alias("month"), "*", F.col("out").alias("judges"))

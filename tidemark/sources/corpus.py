@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed
 from tidemark.functions.periods import month_of, shift_months
-from tidemark.session import is_lone_file
 
 KEYS = ["dataset", "month"]
 
@@ -50,7 +49,7 @@ def read_table(spark: SparkSession, path: str, key: str, *columns: str) -> DataF
     left alone, so a large corpus is never shuffled for this.
     """
     df = spark.read.parquet(path).select(*columns)
-    if not is_lone_file(spark, path):
+    if len(df.inputFiles()) != 1:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism, key)
 

@@ -113,7 +113,7 @@ def brand_model(brand: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in BRAND_MODELS]), number)
 
 
-def line_results(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def line_results(spark: SparkSession, sf_dir: str, *more: str | Column) -> DataFrame:
     """lineitem and part as result records; sizes are whole cents, so sums are exact.
 
     `more` adds line columns to the keys.  Spark broadcasts part while it is small and

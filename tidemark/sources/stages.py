@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import is_complete, shared_folder
+from tidemark.session import shared_folder, table_or_none
 
 STAGES = ["questions", "filtered", "answers", "scored"]
 
@@ -24,18 +26,38 @@ def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{stage}")
 
 
-def materialise(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
+def content_key(df: DataFrame, *more: str) -> str:
+    """Fingerprint of all rows of `df`, whatever their order, and of how they will be worked on (`more`).
+
+    A count and two sums of row hashes: one pass that moves no row.
+    """
+    rows = [F.xxhash64(F.lit(salt), *df.columns).cast("decimal(20,0)") for salt in (1, 2)]
+    found = df.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(r), F.lit(0)) for r in rows)).first()
+    text = "|".join([*map(str, found), ",".join(f"{n}:{t}" for n, t in df.dtypes), *more])
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def materialise(df: DataFrame, purpose: str, path: str | None = None, key: str | None = None) -> DataFrame:
     """Write a table to the shared folder now and go on from the written one.
 
     For a table that several branches of a plan read, such as a trained model: it is
     computed once, survives the loss of executors, and its size is known when the
-    branches are planned, so a small one is broadcast and a large one is not.  A table
-    that was written to `path` before is read as it is.
+    branches are planned, so a small one is broadcast and a large one is not.  With `path`, a table that was written
+    there for the same `key` is read as it is: a manifest beside the tables names the finished ones and their keys, so
+    what was made from something else, or was cut off, is never found.
     """
-    if path is None or not is_complete(df.sparkSession, path):
-        path = path or shared_folder(df.sparkSession, purpose)
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    if path is None:
+        target = shared_folder(spark, purpose)
+        df.write.mode("overwrite").parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
+    key = key or content_key(df)
+    manifest = table_or_none(spark, f"{path}/manifest")
+    target = f"{path}/{key}"
+    if manifest is None or manifest.where(F.col("key") == key).isEmpty():
+        df.write.mode("overwrite").parquet(target)
+        spark.range(1).select(F.lit(key).alias("key"), F.lit(purpose).alias("purpose")).write.mode("append").parquet(f"{path}/manifest")
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def todo(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidemark.functions import fixed
-from tidemark.session import is_complete, table_or_none
+from tidemark.session import table_or_none
 from tidemark.sources.stages import todo
 
 KEYS = ["dataset", "month"]
@@ -117,7 +117,8 @@ def _updates(totals: DataFrame, keys: list[str], root: str, mode: str = "update"
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{root}/updates/batch={batch_id}")
-        if (batch_id + 1) % compact == 0 and not is_complete(spark, f"{root}/compacted/upto={batch_id}"):
+        known = table_or_none(spark, f"{root}/compacted") if (batch_id + 1) % compact == 0 else None
+        if (batch_id + 1) % compact == 0 and (known is None or known.where(F.col("upto") == batch_id).isEmpty()):
             rows, _ = _history(spark, root, batch_id)
             _newest(rows, keys).write.mode("overwrite").parquet(f"{root}/snapshots/upto-{batch_id}")
             spark.range(1).write.mode("overwrite").parquet(f"{root}/compacted/upto={batch_id}")
