@@ -48,6 +48,17 @@ def test_sections(spark):
 def test_bytes(spark):
     assert one(spark, text.byte_values, "aé") == list("aé".encode())
     assert one(spark, text.byte_tokens, "a") == [97 + text.FIRST_BYTE_ID]
+    some = spark.createDataFrame([("x",), (None,), ("",), ("é\0",)], "t string").coalesce(1)
+    assert [r[0] for r in some.select(text.byte_values(F.col("t"))).collect()] == [[120], None, [], [195, 169, 0]]
+    table = [10 * (b * 3 % 256) for b in range(256)]
+    back = some.select(F.transform(text.byte_tokens(F.col("t"), table), lambda i: text.byte_of_token(i, table)))
+    assert [r[0] for r in back.collect()] == [[120], None, [], [195, 169, 0]]
+    assert spark.range(1).select(text.byte_of_token(F.lit(7), table)).first()[0] is None
+    rows = [(b, i) for b, i in enumerate(table)]
+    assert text.read_byte_table(spark.createDataFrame(rows + rows[:3], "byte int, id int")) == table
+    for wrong in (rows[1:], rows + [(5, 1)], rows[1:] + [(0, table[9])], rows[1:] + [(0, None)]):
+        with pytest.raises(ValueError):
+            text.read_byte_table(spark.createDataFrame(wrong, "byte int, id int"))
     assert spark.range(1).select(text.byte_token_name(F.lit(10))).first()[0] == "<0x0A>"
 
 

@@ -78,6 +78,7 @@ HIDDEN_LABELS = [
     "Internlm-7B", "Chatglm3-6B", "LLaMA-7B", "LLaMA-13B", "Llama-2-13B",
     "Yi-34B", "LLaMA-65B", "CodeLlama-7B", "Qwen-7B", "Llama-2-70B",
 ]
+LONG_CONTEXT_HIDDEN = ["LLaMA"]
 CODE_MODEL_TASKS = ["code", "math", "bbc_image"]
 TOKENIZER_MODELS = ["Mistral-7B", "Llama-2-7B-HF", "Baichuan2-7B-Base", "Qwen-7B", "chatglm3-6b-base"]
 

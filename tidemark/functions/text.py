@@ -1,9 +1,14 @@
-"""Text expressions: units, tokens and cuts.  All stay in the JVM."""
+"""Text expressions: units, tokens and cuts.  All stay in the JVM but for bytes, which Arrow has as they are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters, or digits, or any other single character that is not white space.
 WORD_PATTERN = r"[a-z]+|[0-9]+|[^a-z0-9\s]"
@@ -71,14 +76,55 @@ def _tidy_section(part: Column) -> Column:
     return F.regexp_replace(bare, r"\s+", " ")
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _byte_values(raw: pa.Array) -> pa.Array:
+    """The bytes of a batch are there already, one after the other; only their type changes."""
+    raw = raw.cast(pa.large_binary())
+    _, bounds, data = raw.buffers()
+    at = np.frombuffer(bounds, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = pa.array((at - at[0]).astype(np.int32), mask=np.append(raw.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))
+
+
 def byte_values(text: Column) -> Column:
     """UTF-8 bytes of a string as array<int>."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+    return _byte_values(F.encode(text, "UTF-8"))
+
+
+def byte_table(ids: Iterable[int]) -> list[int]:
+    """Ids of the bytes 0 to 255 in order, checked: the inverse is defined only if no two bytes share an id."""
+    table = list(ids)
+    if len(table) != 256:
+        raise ValueError(f"a byte table has 256 ids, not {len(table)}")
+    if len(set(table)) != 256:
+        raise ValueError("two bytes share an id, the inverse map is not defined")
+    return table
+
+
+def read_byte_table(rows: DataFrame) -> list[int]:
+    """The table from rows (byte, id); a byte that is missing, null or given twice is an error."""
+    found = rows.select("byte", "id").where("byte BETWEEN 0 AND 255").groupBy("byte").agg(F.collect_set("id").alias("ids")).collect()
+    one = {r["byte"]: r["ids"][0] for r in found if len(r["ids"]) == 1}
+    if len(one) != 256:
+        raise ValueError(f"{256 - len(one)} bytes have no single id")
+    return byte_table(one[b] for b in range(256))
+
+
+#: The table of a byte-fallback vocabulary.
+FALLBACK_TABLE = [b + FIRST_BYTE_ID for b in range(256)]
+
+
+def byte_tokens(text: Column, table: list[int] = FALLBACK_TABLE) -> Column:
+    """Ids of the bytes of a string."""
+    lookup = F.array(*[F.lit(i) for i in byte_table(table)])
+    return F.transform(byte_values(text), lambda b: F.element_at(lookup, b + 1))
 
 
-def byte_tokens(text: Column) -> Column:
-    return F.transform(byte_values(text), lambda b: b + FIRST_BYTE_ID)
+def byte_of_token(token: Column, table: list[int] = FALLBACK_TABLE) -> Column:
+    """Byte of an id, NULL where no byte has it."""
+    back = F.create_map(*[F.lit(x) for b, i in enumerate(byte_table(table)) for x in (i, b)])
+    return F.try_element_at(back, token)
 
 
 def byte_token_name(value: Column) -> Column:

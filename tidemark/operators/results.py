@@ -95,6 +95,11 @@ def default_visible(label: Column, task: Column) -> Column:
     return code_model | ~label.isin(fixed.HIDDEN_LABELS)
 
 
+def long_context_visible(family: Column) -> Column:
+    """The same for the chart over context sizes, which has a list of its own."""
+    return ~family.isin(fixed.LONG_CONTEXT_HIDDEN)
+
+
 # --- completeness -----------------------------------------------------------
 def complete_models(results: DataFrame) -> DataFrame:
     """Series that have a value in every month of their dataset.
@@ -131,6 +136,20 @@ def period_averages(results: DataFrame) -> DataFrame:
     )
 
 
+def averages_cube(results: DataFrame) -> DataFrame:
+    """Averages per (dataset, model), per dataset, per model and over everything, in one pass.
+
+    `level` is the grouping id: bit 1 where the dataset and bit 0 where the model is summed over.
+    """
+    month, ratio = F.col("month"), F.col("ratio")
+    return results.cube("dataset", "model").agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.avg(F.when(in_range(month), ratio)).alias("avg_all"),
+        F.avg(F.when(is_test(month), ratio)).alias("avg_test"),
+        F.count(F.when(in_range(month), ratio)).alias("n"),
+    )
+
+
 def robustness_gap(averages: DataFrame) -> DataFrame:
     """Test minus training average, and test minus overall; also in percent."""
     gap, gap_all = F.col("avg_test") - F.col("avg_train"), F.col("avg_test") - F.col("avg_all")
@@ -155,6 +174,18 @@ def formatted(averages: DataFrame) -> DataFrame:
     )
 
 
+def published_table(results: DataFrame, tasks: list[str] = fixed.TABLE_TASKS) -> DataFrame:
+    """Text cells 'task Avg.' and 'task 2023' per model; `dataset` names the task and `model` a raw name.
+
+    The first task drives: models without it are left out, and other tasks may be empty.
+    """
+    named = label_models(exclude_models(results)).drop("model").withColumnRenamed("label", "model")
+    cells = formatted(period_averages(named.where(F.col("dataset").isin(tasks))))
+    wide = cells.groupBy("model").pivot("dataset", tasks).agg(F.first("avg_text").alias("Avg."), F.first("test_text").alias("2023"))
+    columns = [F.col(f"`{t}_{m}`").alias(f"{t} {m}") for t in tasks for m in ("Avg.", "2023")]
+    return wide.where(F.col(f"`{tasks[0]}_Avg.`").isNotNull()).select("model", *columns)
+
+
 # --- pivots -----------------------------------------------------------------
 def pivot_months(results: DataFrame, months: list[str], value: str = "ratio") -> DataFrame:
     """Model x month; the months are given, so no extra job looks for them."""

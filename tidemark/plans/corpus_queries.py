@@ -150,13 +150,17 @@ def word_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_ord", "n_toks", digest("toks").alias("digest"))
 
 
+# A table with gaps and in no order.
+BYTE_IDS = [1000 + b * 77 % 256 * 5 for b in range(256)]
+
+
 @query("byte_tokenize", """WITH b AS (
   SELECT doc_id AS doc_ord, list_transform(regexp_extract_all(hex(encode(text)), '..'),
-         lambda h: ('0x' || h)::INTEGER + 3) AS ids FROM documents)
+         lambda h: 1000 + ('0x' || h)::INTEGER * 77 % 256 * 5) AS ids FROM documents)
 SELECT doc_ord, len(ids)::INTEGER AS n_toks, list_sum(ids)::BIGINT AS id_sum,
        md5(array_to_string(ids, ',')) AS digest FROM b""")
 def byte_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.documents(spark, sf_dir).withColumn("ids", text.byte_tokens(F.col("text")))
+    docs = corpus.documents(spark, sf_dir).withColumn("ids", text.byte_tokens(F.col("text"), BYTE_IDS))
     return docs.select(
         "doc_ord", F.size("ids").alias("n_toks"),
         F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, i: a + i).alias("id_sum"),
@@ -166,13 +170,15 @@ def byte_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("byte_inverse", """WITH b AS (
   SELECT lang AS dataset, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)
-SELECT dataset, (('0x' || h)::INTEGER + 3) AS tok, ('0x' || h)::INTEGER AS byte, '<0x' || h || '>' AS name, count(*) AS k
+SELECT dataset, 1000 + ('0x' || h)::INTEGER * 77 % 256 * 5 AS tok, ('0x' || h)::INTEGER AS byte, '<0x' || h || '>' AS name, count(*) AS k
 FROM b GROUP BY ALL""")
 def byte_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes to ids and back; the table is read from rows."""
+    table = text.read_byte_table(spark.createDataFrame(list(enumerate(BYTE_IDS)), "byte int, id int"))
+    ids = F.array(*[F.lit(i) for i in table])
     counts = byte_pair_counts(corpus.documents(spark, sf_dir))
-    toks = counts.groupBy("dataset", (F.col("byte") + text.FIRST_BYTE_ID).alias("tok")).agg(F.sum("k").alias("k"))
-    ids = [b + text.FIRST_BYTE_ID for b in range(256)]
-    back = toks.withColumn("byte", symbol_index(F.col("tok"), ids))
+    toks = counts.groupBy("dataset", F.element_at(ids, F.col("byte") + 1).alias("tok")).agg(F.sum("k").alias("k"))
+    back = toks.withColumn("byte", text.byte_of_token(F.col("tok"), table))
     return back.select("dataset", "tok", "byte", text.byte_token_name(F.col("byte")).alias("name"), "k")
 
 

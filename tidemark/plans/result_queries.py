@@ -163,9 +163,11 @@ def context_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("context_curve", f"""WITH {CONTEXTS}
 SELECT regexp_extract(model, '^(.*)-([0-9]+)k$', 1) AS family,
        regexp_extract(model, '^(.*)-([0-9]+)k$', 2)::INTEGER AS context_size,
-       round(avg(ratio * 100), 6) AS performance FROM long GROUP BY ALL""")
+       round(avg(ratio * 100), 6) AS performance, family NOT IN {q.literals(fixed.LONG_CONTEXT_HIDDEN)} AS visible
+FROM long GROUP BY ALL""")
 def context_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(r.context_curve(long_results(spark, sf_dir)), "performance", digits=6)
+    curve = r.context_curve(long_results(spark, sf_dir)).withColumn("visible", r.long_context_visible(F.col("family")))
+    return rounded(curve, "performance", digits=6)
 
 
 @query("default_visible", f"""WITH {q.RESULTS}, {LABELS},
@@ -320,25 +322,41 @@ def task_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.task_matrix(named, "Wikitext", fixed.TABLE_TASKS), *fixed.TABLE_TASKS)
 
 
-CELLS = [(task, metric) for task in TASK_NAMES for metric in ("Avg.", "2023")]
+#: Flag and status of a line to the six tasks of the published table.
+SIX_TASKS = dict(zip(["NF", "AF", "AO", "NO", "RF", "RO"], fixed.TABLE_TASKS))
+SIX_CASE = "CASE dataset || l_linestatus " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SIX_TASKS.items()) + " END"
 
 
-@query("big_table", f"""WITH {q.AVERAGES}, {LABELS},
-v AS (SELECT label AS model, {TASK_CASE} AS task, round(avg_all * 100, 6) AS a, round(avg_test * 100, 6) AS t
-      FROM averages JOIN labels_dim USING (model))
+def six_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for pair in SIX_TASKS.items() for x in pair])
+    rows = src.line_results(spark, sf_dir, "l_linestatus")
+    return rows.withColumn("dataset", names[F.concat("dataset", "l_linestatus")]).drop("l_linestatus")
+
+
+@query("big_table", f"""WITH {q.results('l_linestatus')}, {LABELS},
+av AS (
+  SELECT {SIX_CASE} AS task, label AS model, round(avg(ratio) FILTER (month BETWEEN '2017-01' AND '2023-11') * 100, 8) AS a,
+         round(avg(ratio) FILTER (month BETWEEN '2023-01' AND '2023-11') * 100, 8) AS t,
+         round((avg(ratio) FILTER (month BETWEEN '2023-01' AND '2023-11') - avg(ratio) FILTER (month BETWEEN '2017-01' AND '2022-12')) * 100, 8) AS g
+  FROM results JOIN labels_dim USING (model) WHERE model NOT IN {q.literals(fixed.EXCLUDED_MODELS)} GROUP BY ALL),
+cells AS (
+  SELECT task, model, {sql_digits('a', 4)} AS avg_text,
+         concat_ws(' ', {sql_digits('t', 4)}, CASE WHEN g > 0 THEN '↑' ELSE '↓' END, {sql_digits('abs(g)', 3)}) AS test_text FROM av)
 SELECT model, """ + ", ".join(
-    f"max({'a' if metric == 'Avg.' else 't'}) FILTER (task = '{task}') AS \"{task} {metric}\"" for task, metric in CELLS
-) + " FROM v GROUP BY ALL")
+    f"max(avg_text) FILTER (task = '{t}') AS \"{t} Avg.\", max(test_text) FILTER (task = '{t}') AS \"{t} 2023\"" for t in fixed.TABLE_TASKS
+) + f" FROM cells GROUP BY ALL HAVING count(*) FILTER (task = '{fixed.TABLE_TASKS[0]}') > 0")
 def big_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = r.period_averages(r.label_models(by_task(base(spark, sf_dir))).withColumn("model", F.col("label")))
-    percent = averages.select(
-        "model", "dataset", F.round(F.col("avg_all") * 100, 6).alias("Avg."),
-        F.round(F.col("avg_test") * 100, 6).alias("2023"),
-    )
-    wide = percent.groupBy("model").pivot("dataset", TASK_NAMES).agg(
-        F.first("`Avg.`").alias("Avg."), F.first("2023").alias("2023")
-    )
-    return wide.select("model", *[F.col(f"`{task}_{metric}`").alias(f"{task} {metric}") for task, metric in CELLS])
+    return r.published_table(six_tasks(spark, sf_dir))
+
+
+@query("averages_cube", f"""WITH {q.RESULTS}
+SELECT dataset, model, grouping(dataset, model)::INTEGER AS level,
+       round(avg(ratio) FILTER (month BETWEEN '2017-01' AND '2023-11'), 8) AS avg_all,
+       round(avg(ratio) FILTER (month BETWEEN '2023-01' AND '2023-11'), 8) AS avg_test,
+       count(ratio) FILTER (month BETWEEN '2017-01' AND '2023-11') AS n
+FROM results GROUP BY CUBE (dataset, model)""")
+def averages_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(r.averages_cube(base(spark, sf_dir)), "avg_all", "avg_test")
 
 
 @query("tokenizer_efficiency", f"""WITH {q.RESULTS},
