@@ -165,6 +165,10 @@ def test_language(spark, sf_dir):
     unseen = ["xqzwv", "thereof" * 4, "ß", "łłłłłłłł", model.langs[0]]
     for word, scored in zip(unseen, scorer.words.get(unseen)):
         assert np.allclose(scored, _backoff(model, word))
+    clash = docs.where("doc_id < 60").withColumns({"n": F.lit(1), "unit": F.lit("x"), "langs": F.lit(2)})
+    twice = language_id.fit(clash.union(clash))
+    assert twice.langs == language_id.fit(clash).langs
+    assert language_id.predict(clash.union(clash), twice).count() == 2 * clash.count()
     empty = language_id.fit(docs.limit(0).select("doc_id", "text", "lang"))
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 

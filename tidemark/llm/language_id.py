@@ -116,11 +116,12 @@ def _table(counts: DataFrame, width: int, keep: int) -> Table:
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = 2_000, keep_words: int = 100_000, keep_grams: int = 100_000) -> LanguageModel:
-    """Learn from (doc_id, text, lang), lang not null.
+    """Learn from (doc_id, text, lang), lang not null; other columns are ignored.
 
     Of each language, about `docs_per_lang` documents are taken, by a hash of doc_id (all, if there are fewer); of all
     units the most frequent `keep_words` words and `keep_grams` n-grams.  Both bounds are what the model may take.
     """
+    labelled = labelled.select("doc_id", "text", "lang")  # other columns may have any name
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = sorted(r["lang"] for r in sizes.collect())
     if not langs:
