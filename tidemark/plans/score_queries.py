@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from tidemark.functions.scoring import metric_columns
 from tidemark.functions.text import seeded_start
 from tidemark.operators import chunks as c
 from tidemark.operators import pmf, predictors, records, units
+from tidemark.operators.evaluate import evaluate
 from tidemark.plans import sqltext as q
 from tidemark.plans.chunk_queries import BATCH, CONTEXT, METADATA, NARROW, SLIDING, STRIDE, metadata, tokens
 from tidemark.plans.registry import query
+from tidemark.session import shared_folder
 from tidemark.sources import corpus
 
 KEYS = ["dataset", "month"]
@@ -259,6 +263,82 @@ def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
 
 
+#: Which recipe each corpus of the composed run goes through; 'arxiv' is English text with section signs.
+RECIPE_OF = {"en": "news", "fr": "wiki", "es": "math", "de": "code", "arxiv": "arxiv"}
+UNIT_BUDGET = 3_000
+FEW = {"en": fixed.NEWS_ARTICLES, "es": fixed.MATH_QUESTIONS}
+
+MAIN = f"""WITH {q.CORPUS},
+corp AS (
+  SELECT dataset, month, doc_ord, text,
+         row_number() OVER (PARTITION BY dataset, month ORDER BY doc_ord) AS i,
+         row_number() OVER (PARTITION BY dataset, month ORDER BY {q.seeded_hash('doc_ord')}, doc_ord) AS shuffled FROM corpus
+  UNION ALL SELECT 'arxiv', month, doc_ord, replace(text, chr(10), '§ '), 1, 1 FROM corpus WHERE dataset = 'en'),
+ln AS (SELECT *, CASE WHEN right(text, 1) = chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS l FROM corp),
+sec AS (
+  SELECT *, list_transform(list_filter(list_transform(string_split_regex(replace(regexp_replace(text, '^.*?(§)', '\\1', 's'), '§.§', '§.' || chr(2)), '§\\s'),
+            lambda p: replace(p, chr(2), '§')), lambda p: regexp_replace(p, '\\s+', '', 'g') <> ''),
+            lambda p: regexp_replace(replace(replace(p, '<cit.>', ''), '<ref>', ''), '\\s+', ' ', 'g')) AS s FROM ln),
+un AS (
+  SELECT dataset, month, CASE WHEN dataset = 'de' THEN shuffled ELSE doc_ord END AS o, CASE dataset
+      WHEN 'en' THEN {q.SENTENCES} WHEN 'fr' THEN ({q.SENTENCES})[1:{fixed.WIKI_SENTENCES}] WHEN 'es' THEN [text]
+      WHEN 'arxiv' THEN s[1:{fixed.ARXIV_SECTIONS}]
+      ELSE [array_to_string(CASE WHEN len(l) > {fixed.CODE_LINES}
+        THEN l[{q.seeded_start('doc_ord', f'len(l) - {fixed.CODE_LINES}')} + 1:{q.seeded_start('doc_ord', f'len(l) - {fixed.CODE_LINES}')} + {fixed.CODE_LINES}]
+        ELSE l END, chr(10))] END AS u
+  FROM sec WHERE i <= CASE dataset {" ".join(f"WHEN '{d}' THEN {n}" for d, n in FEW.items())} ELSE i END),
+unit AS (
+  SELECT *, sum(strlen(text)) OVER (PARTITION BY dataset, month ORDER BY o, k) AS upto
+  FROM (SELECT dataset, month, o, unnest(u) AS text, generate_subscripts(u, 1) AS k FROM un)),
+docs AS (
+  SELECT dataset, month, text, {q.words('text')} AS toks, row_number() OVER (PARTITION BY dataset, month ORDER BY o, k) AS i,
+         CASE WHEN dataset = 'de' THEN '' ELSE ' ' END AS gap
+  FROM unit WHERE upto <= {UNIT_BUDGET}),
+pos AS (
+  SELECT dataset, month, tok, row_number() OVER (PARTITION BY dataset, month ORDER BY i, j) - 1 AS pos
+  FROM (SELECT dataset, month, i, unnest(toks) AS tok, generate_subscripts(toks, 1) AS j FROM docs)),
+total AS (SELECT dataset, month, count(*) AS n, (count(*) - 1) // {CONTEXT} * {CONTEXT} AS cut FROM pos GROUP BY ALL),
+placed AS (
+  SELECT docs.*, cut, sum(len(toks)) OVER (PARTITION BY dataset, month ORDER BY i) - len(toks) AS start FROM docs JOIN total USING (dataset, month)),
+tail AS (
+  SELECT dataset, month, string_agg(CASE WHEN i = 1 THEN '' ELSE gap END || text, '' ORDER BY i) AS stream, string_agg(CASE
+    WHEN start >= cut THEN CASE WHEN i = 1 THEN '' ELSE gap END || text
+    WHEN start + len(toks) >= cut THEN substr(text, 1 + list_sum(list_transform(
+      list_zip(regexp_split_to_array({q.lowered('text')}, {q.literal(q.WORDS)})[1:cut - start], toks[1:cut - start]),
+      lambda p: length(p[1]) + length(p[2])))::BIGINT) ELSE '' END, '' ORDER BY i) AS lost
+  FROM placed GROUP BY ALL),
+kept AS (SELECT dataset, month, tok FROM pos JOIN total USING (dataset, month) WHERE pos < cut),
+vocab AS (SELECT dataset, tok, count(*) AS c FROM kept WHERE month < '{CUTOFF}' GROUP BY ALL),
+model AS (SELECT dataset, sum(c) + count(*) + 1 AS size FROM vocab GROUP BY ALL),
+bits AS (
+  SELECT dataset, month, sum(log2(size) - log2(coalesce(c, 0) + 1)) / 8 AS sz
+  FROM kept JOIN model USING (dataset) LEFT JOIN vocab USING (dataset, tok) GROUP BY ALL),
+m AS (
+  SELECT dataset, month, sz, cut // {CONTEXT} AS batches, length(stream) - length(lost) AS nc, strlen(stream) - strlen(lost) AS nb
+  FROM total JOIN tail USING (dataset, month) LEFT JOIN bits USING (dataset, month))
+SELECT dataset, month, 'unigram-{CONTEXT}' AS model, round(sz * 8 / nullif(nb, 0), 6) AS bpb, nb::BIGINT AS original_size,
+       round(sz / nullif(nb, 0), 6) AS ratio, round(sz, 3) AS compressed_size, {CONTEXT} AS context_size, NULL::INTEGER AS stride,
+       batches, NULL::DOUBLE AS time_used, round(sz * 8 / nullif(batches * {CONTEXT}, 0), 6) AS bpt,
+       round(sz * 8 / nullif(nc, 0), 6) AS bpc FROM m"""
+
+
+@query("main_pipeline", MAIN)
+def main_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five corpora, each scanned by itself from a table partitioned by dataset and month, through recipes to records."""
+    docs = corpus.documents(spark, sf_dir)
+    papers = docs.where(F.col("dataset") == "en").withColumns({"dataset": F.lit("arxiv"), "text": F.replace("text", F.lit("\n"), F.lit("§ "))})
+    path = shared_folder(spark, "corpus")
+    corpus.write_corpus(docs.unionByName(papers), path)
+
+    def bits(windows: DataFrame) -> DataFrame:
+        return predictors.unigram_bits(windows.withColumn("n_bytes", F.lit(0)), CUTOFF).select(*KEYS, "bits")
+
+    scans = {d: corpus.read_corpus(spark, path, d, fixed.FIRST_MONTH, fixed.LAST_MONTH) for d in RECIPE_OF}
+    records_of = [evaluate(scans[d], recipe, bits, "owner/unigram", CONTEXT, budget=UNIT_BUDGET) for d, recipe in RECIPE_OF.items()]
+    rows = reduce(DataFrame.unionByName, records_of)
+    return rows.withColumns({name: F.round(name, n) for name, n in DIGITS.items()})
+
+
 @query("byte_records", f"""WITH {METADATA},
 b AS (SELECT dataset, month, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INTEGER) AS v FROM corpus),
 p AS (SELECT dataset, month, unnest(list_prepend(-1, v[:-2])) AS prev, unnest(v) AS byte FROM b WHERE len(v) > 0),
