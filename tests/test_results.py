@@ -133,3 +133,23 @@ def test_first_path_wins_inside_a_root(spark):
     rows = [("d", "m", "2020-01", 0, "b/x", 1.0), ("d", "m", "2020-01", 0, "a/x", 2.0), ("d", "m", "2020-01", 1, "0", 3.0)]
     df = spark.createDataFrame(rows, "dataset string, model string, month string, priority int, path string, ratio double")
     assert r.dedupe_first(df.repartition(3)).first().ratio == 2.0
+
+
+def test_smoothing_of_a_long_series(spark):
+    """A million points of one series in small buckets, beside short ones, equal the plain fold."""
+    n = 1_000_000
+    value = F.pmod(F.hash("at"), F.lit(1_000)).cast("double")
+    long = spark.range(n).select(F.lit("d").alias("dataset"), F.lit("m").alias("model"), F.col("id").alias("at")).withColumn("x", value)
+    few = spark.createDataFrame([("d", "k", 5, 4.0), ("d", "k", 9_000, None), ("d", "k", 90_000, 8.0), ("e", "m", 3, 1.0)], long.schema)
+    got = series.exponential_smoothing(
+        long.unionByName(few).repartition(6), 0.25, "x", order="at", bucket=F.floor(F.col("at") / 4_096)
+    ).toPandas().sort_values(["dataset", "model", "at"])
+    xs = long.orderBy("at").toPandas().x.to_numpy()
+    level, want = xs[0], [xs[0]]
+    for x in xs[1:]:
+        level = 0.25 * x + 0.75 * level
+        want.append(level)
+    one = got[(got.dataset == "d") & (got.model == "m")]
+    assert (one["at"].to_numpy() == range(n)).all() and abs(one.smoothed.to_numpy() - want).max() < 1e-9
+    rest = got[got.model + got.dataset != "md"]
+    assert list(zip(rest.dataset, rest.model, rest["at"], rest.smoothed)) == [("d", "k", 5, 4.0), ("d", "k", 90_000, 5.0), ("e", "m", 3, 1.0)]
