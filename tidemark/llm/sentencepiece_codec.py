@@ -25,6 +25,9 @@ MARK = "▁"
 BYTE_SCORE = -1e11  # per byte of a character that no path of pieces covers; below any score of a piece
 #: Longest word, in characters, that is searched together with others.
 _TOGETHER = 64
+#: Words that are searched together; the arrays for that take some 2 kB a word.  Bytes of text that are worked on at a time.
+_WORDS = 8_192
+_SLICE = 1 << 20
 _READY: dict[str, tuple["Codec", WordCache]] = {}
 
 
@@ -165,11 +168,13 @@ def _ready(path: str) -> tuple[Codec, WordCache]:
         codec = Codec.load(path)
         mark = np.array([codec.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
 
-        def ids(missing: list[str]) -> list[bytes]:
-            found = codec.best_paths([w.replace(" ", MARK) for w in missing])
-            return [mark if w == MARK else f for w, f in zip(missing, found)]  # in bytes, so that it doesn't come back as a space
+        def ids(missing: list[str]) -> Iterator[bytes]:
+            for at in range(0, len(missing), _WORDS):
+                part = missing[at : at + _WORDS]
+                found = codec.best_paths([w.replace(" ", MARK) for w in part])
+                yield from (mark if w == MARK else f for w, f in zip(part, found))  # in bytes, so that it doesn't come back as a space
 
-        _READY[path] = codec, WordCache(ids, 400_000)
+        _READY[path] = codec, WordCache(ids, 200_000)
     return _READY[path]
 
 
@@ -184,7 +189,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, cache = _ready(model)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _SLICE):
                 runs = [codec.runs.findall(t or "") for t in batch.column("text").to_pylist()]
                 found = iter(cache.get(list(chain.from_iterable(runs))))
                 ids = [b"".join(islice(found, len(r))) for r in runs]
@@ -214,16 +219,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, _ = _ready(model)
-        for batch in batches:
-            raw = batch.column("ids").to_pylist()
-            texts = [codec.decode(np.frombuffer(b, "<u4").tolist()) for b in raw]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([len(b) // 4 for b in raw], pa.int64()),
-                    pa.array([zlib.crc32(b) for b in raw], pa.int64()), pa.array(texts, pa.string()),
-                ],
-                ["doc_id", "n_ids", "ids_crc32", "text"],
-            )
+        for whole in batches:
+            for batch in slices(whole, "ids", _SLICE):
+                raw = batch.column("ids").to_pylist()
+                texts = [codec.decode(np.frombuffer(b, "<u4").tolist()) for b in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"), pa.array([len(b) // 4 for b in raw], pa.int64()),
+                        pa.array([zlib.crc32(b) for b in raw], pa.int64()), pa.array(texts, pa.string()),
+                    ],
+                    ["doc_id", "n_ids", "ids_crc32", "text"],
+                )
 
     back = encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
     return back.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
