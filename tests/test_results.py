@@ -153,3 +153,16 @@ def test_smoothing_of_a_long_series(spark):
     assert (one["at"].to_numpy() == range(n)).all() and abs(one.smoothed.to_numpy() - want).max() < 1e-9
     rest = got[got.model + got.dataset != "md"]
     assert list(zip(rest.dataset, rest.model, rest["at"], rest.smoothed)) == [("d", "k", 5, 4.0), ("d", "k", 90_000, 5.0), ("e", "m", 3, 1.0)]
+
+
+def test_broken_files_are_listed(spark, tmp_path):
+    """Files '<dataset>/<month>/<model>.json': one cut off, one empty object, one of wrong types, one that is fine."""
+    bodies = {"good": {"ratio": 0.5, "batches": 3}, "bare": {}}
+    for name, text in {**{k: json.dumps(v, indent=2) for k, v in bodies.items()}, "cut": '{"ratio": 0.', "typed": '{"ratio": "x"}'}.items():
+        folder = tmp_path / "wikitext" / "2020-01"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.json").write_text(text)
+    good = {x.model: x.ratio for x in src.scan_results(spark, str(tmp_path), pretty=True).collect()}
+    assert good == {"good": 0.5, "bare": None}
+    bad = {(x.dataset, x.month, x.model): x.record for x in src.malformed_results(spark, str(tmp_path), pretty=True).collect()}
+    assert bad == {("wikitext", "2020-01", "cut"): '{"ratio": 0.', ("wikitext", "2020-01", "typed"): '{"ratio": "x"}'}

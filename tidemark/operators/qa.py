@@ -74,6 +74,12 @@ def flatten_pairs(attempted: DataFrame, published: str | None = "published_date"
     )
 
 
+def code_lines(examples: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Completion examples whose last line is code by its verdict, with the `prompt` that asked for it."""
+    kept = keep_confirmed(examples, verdicts, [*KEYS, "doc_ord"])
+    return kept.withColumn("prompt", prompts.code_line(F.col("last_line")))
+
+
 def keep_confirmed(rows: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose verdict text says yes."""
     yes = verdicts.where(scoring.verdict(F.col("verdict_text")) == F.lit(True))

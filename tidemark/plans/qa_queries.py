@@ -349,6 +349,19 @@ def completion_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("code_lines", f"""WITH {TAKEN},
+v AS (SELECT *, CASE doc_ord % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No, it is a comment.' ELSE code END AS verdict_text FROM taken)
+SELECT dataset, month, doc_ord, last_line, {q.render(fixed.CODE_LINE_PROMPT, last_line='last_line')} AS prompt
+FROM v WHERE contains(lower(verdict_text), 'yes')""")
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion examples whose last line a judge takes for code; one judge text in three is a whole file."""
+    rows = completions(spark, sf_dir)
+    slot = F.col("doc_ord") % 3
+    said = F.when(slot == 0, "Yes").when(slot == 1, "No, it is a comment.").otherwise(F.col("code"))
+    kept = qa.code_lines(rows, rows.select(*KEYS, "doc_ord", said.alias("verdict_text")))
+    return kept.select(*KEYS, "doc_ord", "last_line", "prompt")
+
+
 @query("completion_scores", f"""WITH {TAKEN},
 a AS (SELECT doc_ord, left_tokens, [string_split(code, chr(10))[1], left_tokens, string_split(last_line, chr(10))[1]] AS out FROM taken)
 SELECT doc_ord, round({sql_edit_score('out', 'left_tokens')}, 8) AS auto_acc,

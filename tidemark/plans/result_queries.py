@@ -466,3 +466,22 @@ def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of the three keys are read back from the folder names."""
     return stored(spark, sf_dir, ("dataset", "model"))
+
+
+@query("malformed_results", f"""WITH {q.RESULTS},
+r AS (SELECT *, (substr(month, 1, 4)::INTEGER + substr(month, 6, 2)::INTEGER + length(model)) % 7 = 0 AS bad FROM results)
+SELECT dataset, month, count(*) FILTER (NOT bad) AS n_good, count(*) FILTER (bad) AS n_bad,
+       round(coalesce(sum(ratio) FILTER (NOT bad), 0), 6) AS ratio FROM r GROUP BY ALL""")
+def malformed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which some are cut off halfway, read back: good ones used, bad ones counted by their path."""
+    rows = base(spark, sf_dir).select(*KEYS, "ratio")
+    slot = F.substring("month", 1, 4).cast("int") + F.substring("month", 6, 2).cast("int") + F.length("model")
+    line = F.to_json(F.struct("model", "ratio"))
+    cut = F.when(slot % 7 == 0, F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))).otherwise(line)
+    path = shared_folder(spark, "malformed")
+    rows.select("dataset", "month", cut.alias("value")).write.partitionBy("dataset", "month").text(path)
+    good = src.scan_results(spark, path).select("dataset", "month", F.lit(1).alias("n_good"), F.lit(0).alias("n_bad"), "ratio")
+    bad = src.malformed_results(spark, path).select("dataset", "month", F.lit(0).alias("n_good"), F.lit(1).alias("n_bad"), F.lit(0.0).alias("ratio"))
+    return good.unionByName(bad).groupBy("dataset", "month").agg(
+        F.sum("n_good").alias("n_good"), F.sum("n_bad").alias("n_bad"), F.round(F.sum("ratio"), 6).alias("ratio")
+    )

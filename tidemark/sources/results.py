@@ -52,17 +52,33 @@ def path_model(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.json$", 1)
 
 
+def _records(spark: SparkSession, path: str, pretty: bool) -> DataFrame:
+    """Records with keys and `_bad`, the text of those that are no JSON object of this schema."""
+    keys = [T.StructField(k, T.StringType()) for k in KEYS]
+    schema = T.StructType([*keys, *RECORD.fields, T.StructField("_bad", T.StringType())])
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", "_bad")
+    raw = reader.option("mode", "PERMISSIVE").option("multiLine", str(pretty).lower()).json(path)
+    # Always true, and looks at every field: a field that a query doesn't need isn't parsed, and its fault not seen.
+    raw = raw.where(F.xxhash64(*RECORD.fieldNames()) % 1 == 0)
+    from_path = path_keys(F.col("_metadata.file_path"))
+    return raw.withColumns({"path": F.col("_metadata.file_path")} | {k: F.coalesce(F.col(k), from_path[k]) for k in KEYS})
+
+
+def malformed_results(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """dataset, month, model (as far as the path tells), path and text of the records that `scan_results` leaves out."""
+    bad = _records(spark, path, pretty).where(F.col("_bad").isNotNull())
+    return bad.select(*KEYS, "path", F.col("_bad").alias("record"))
+
+
 def scan_results(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
-    """All records below a folder; keys come from the record, or else from its path.
+    """All well-formed records below a folder; keys come from the record, or else from its path.
 
-    `pretty` reads files that hold one indented object each.  The text 'None' reads as NULL.
+    `pretty` reads files that hold one indented object each.  The text 'None' reads as NULL.  One broken file stops
+    nothing: what can't be read is listed by `malformed_results`.
     """
-    keys = [T.StructField(k, T.StringType()) for k in KEYS]
-    reader = spark.read.schema(T.StructType(keys + RECORD.fields)).option("recursiveFileLookup", "true")
-    raw = reader.option("multiLine", str(pretty).lower()).json(path)
-    from_path = path_keys(F.col("_metadata.file_path"))
+    raw = _records(spark, path, pretty).where(F.col("_bad").isNull()).drop("_bad", "path")
     sized = {n: F.expr(f"try_cast({n} as int)") for n in ("context_size", "stride")}
-    return raw.withColumns({k: F.coalesce(F.col(k), from_path[k]) for k in KEYS}).withColumns(sized)
+    return raw.withColumns(sized)
 
 
 def nested_export(results: DataFrame, value: str = "ratio") -> DataFrame:
