@@ -13,6 +13,7 @@ from tidemark.plans import sqltext as q
 from tidemark.plans.registry import query
 from tidemark.session import shared_folder
 from tidemark.sources import results as src
+from tidemark.sources.stages import materialise
 
 KEYS = ["dataset", "model", "month"]
 MONTHS = [f"{y}-{m:02d}" for y in range(2017, 2024) for m in range(1, 13) if (y, m) <= (2023, 11)]
@@ -39,7 +40,8 @@ ROOTS = f"""roots AS (
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = src.line_results(spark, sf_dir, "l_linestatus").select(*KEYS, "ratio", "l_linestatus")
+    # Written, so that lines are scanned once for both roots.
+    both = materialise(src.line_results(spark, sf_dir, "l_linestatus").select(*KEYS, "ratio", "l_linestatus"), "roots")
     parts = [both.where(F.col("l_linestatus") == status).drop("l_linestatus") for status in ("F", "O")]
     return r.union_roots(parts)
 
@@ -380,7 +382,7 @@ SELECT dataset, model, month, round(ratio, 8) AS ratio, original_size,
        CASE WHEN model NOT IN {q.literals(fixed.CODECS)} THEN original_size END AS ac_original_size FROM results""")
 def metric_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size by self-information beside the whole bytes an interval coder needs."""
-    rows = base(spark, sf_dir)
+    rows = materialise(base(spark, sf_dir), "records")
     model = rows.select(*KEYS, "ratio", "original_size")
     coder = r.drop_codecs(rows).select(
         *KEYS, F.try_divide(coded_bytes(F.col("compressed_size") * 8), "original_size").alias("ratio"), "original_size"
