@@ -20,7 +20,7 @@ def drop(spark, folder, name, rows, schema):
 
 @pytest.fixture
 def folder(tmp_path):
-    return str(tmp_path / "in")
+    return str(tmp_path / "in put")
 
 
 def fields(spark, schema):

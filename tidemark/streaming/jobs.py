@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ def process_new_keys(
 ) -> None:
     """Run `process` on the rows whose key has no result yet, when all that has arrived is read, and add its result.
 
-    `shape` makes rows with `keys` from those of the files.  A key counts as done once a run that read it has ended, so
+    `schema` names columns that are in the files; `shape` makes rows with `keys` from those of the files.  A key counts as done once a run that read it has ended, so
     its rows may come in any number of batches of that run.  No row is kept: the stream writes a log of which file
     holds which keys, `process` reads the files of open keys at their place, and `closed` names the last batch that is in the
     results, so what an interrupted run has logged is taken up by the next.  Results go to one folder per key.
@@ -79,7 +80,7 @@ def process_new_keys(
         return rows if done is None else todo(rows, done, keys)
 
     # A scan is given its files by the driver in any case; here these are the ones with an open key.
-    files = [r["_file"] for r in is_open(seen.where(F.col("batch") > last)).select("_file").distinct().collect()]
+    files = [unquote(r["_file"]) for r in is_open(seen.where(F.col("batch") > last)).select("_file").distinct().collect()]
     if files:
         rows = is_open(shape(spark.read.schema(schema).parquet(*files).withColumn("_file", F.lit(None).cast("string"))).drop("_file"))
         (
