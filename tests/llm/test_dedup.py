@@ -100,7 +100,7 @@ def test_jaccard(docs, rows, k, percent, block):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_rare_key(percent):
+def test_linked_sets_share_a_key(percent):
     import numpy as np
 
     rng = np.random.default_rng(percent)
@@ -116,6 +116,7 @@ def test_linked_sets_share_a_rare_key(percent):
             if 100 * both >= percent * (len(a) + len(b) - both):
                 seen += 1
                 assert np.intersect1d(*(jaccard_join.rare_keys(s, percent, level) for s in (a, b))).size
+                assert np.intersect1d(*(jaccard_join.part_keys(s, percent) for s in (a, b))).size
     assert seen > 150
 
 

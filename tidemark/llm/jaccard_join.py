@@ -1,9 +1,11 @@
 """N-gram Jaccard join with signature trees.
 
-Equal shingle sets become one class.  Classes that can link at all are brought together without pairs: shingles are
-ranked by how common they are, rarest first, and a set is found by its first few.  Linked sets share one of these for
-any ranking; this one keeps passages that many documents have out of the keys, so blocks stay near the size of the groups
-of copies.  Keys travel packed, many to a row, and each batch of documents sends a key once; the key's other documents
+Equal shingle sets become one class.  Classes that can link at all are brought together without pairs, by keys of
+which linked sets share one.  Where sets may differ in little, a set is cut by hash into a few more parts than can
+differ: each part holds many shingles, and seldom are all of them some other set's.  Where they may differ in much, parts
+would hold a few shingles only, and a passage that many documents have would fill some.  There, shingles are ranked by how
+common they are, rarest first, and a set is found by its first few: linked sets share one of these for any ranking, and
+this one keeps passages out of the keys.  Keys travel packed, many to a row, and each batch of documents sends a key once; the key's other documents
 in that batch are joined there.  Connected candidates form a block.  In blocks that are too large for a task, it is asked
 for every shingle whether several of their sets have it; shingles of one set come first then and are no keys.  Inside a block, documents are the leaves of a tree
 whose nodes hold the OR of token bitmaps and the range of sizes; two trees are walked together, and a pair of nodes is
@@ -33,6 +35,10 @@ _LOW = np.uint64((1 << 40) - 1)
 #: Cells in which shingles are counted, and the rows that a task sends them in.
 _CELLS = 1 << 22
 _STRIPES = 64
+#: Cuts of a set before its empty parts count.
+_LEVELS = 4
+#: Shingles in a part from which parts are the keys.
+_PART = 8
 _MANY = (1 << 16) - 1
 _CELL = np.uint64(_CELLS - 1)
 #: Keys that a bucket holds (about), keys and sets that a worker holds before it sends them.
@@ -61,6 +67,41 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def size_class(n: int, percent: int) -> list[tuple[int, int]]:
+    """(upper size, parts) of the classes in which a set of n shingles meets its partners."""
+    hi, out = 9, []
+    largest = n * 100 // percent
+    while True:
+        if n <= hi:
+            d = (100 - percent) * 2 * hi // (100 + percent)
+            out.append((hi, d + 3 + d // 25 if d else 1))  # a few more than d + 1, for parts that stay empty
+            if largest <= hi:
+                return out
+        hi = hi * 5 // 4
+
+
+def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the parts of a set.  Two sets that link have a key in common."""
+    out = []
+    for hi, parts in size_class(len(s), percent):
+        differ = (100 - percent) * (len(s) + min(hi, len(s) * 100 // percent)) // (100 + percent)
+        for level in range(_LEVELS):
+            h = s if level == 0 else np.sort(mix(s + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)))
+            edges = np.array([(j << 64) // parts for j in range(1, parts)], np.uint64)
+            at = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
+            where = np.arange(parts, dtype=np.uint64) + np.uint64((hi << 24) + (level << 20 << 24))
+            key = mix(mix(where) + sums[at[1:]] - sums[at[:-1]])
+            held = np.diff(at) > 0
+            # Empty parts are equal in many sets.  If more parts hold something than can differ, one of those is shared;
+            # if not, the set is cut anew, and in the last cut its empty parts count too.
+            enough = int(held.sum()) > differ
+            out.append(key[held] if enough or level < _LEVELS - 1 else key)
+            if enough:
+                break
+    return np.concatenate(out)
+
+
 def commonness(docs: DataFrame, k: int) -> np.ndarray:
     """How many documents have a shingle, on a log scale, by the lowest bits of its hash; one byte for each of _CELLS.
 
@@ -194,12 +235,17 @@ def _sent(named: Iterator[tuple[int, np.ndarray]], pack: Callable, buckets: int)
         yield pack(np.concatenate(keys), np.repeat(np.array(names, np.int64), [len(x) for x in keys]), buckets)
 
 
-def candidates(docs: DataFrame, k: int, percent: int, buckets: int, level: Broadcast) -> DataFrame:
+def by_parts(percent: int) -> bool:
+    """Do parts hold at least _PART shingles?  This follows from the similarity alone, and not from the data."""
+    return _PART * 2 * (100 - percent) <= 100 + percent
+
+
+def candidates(docs: DataFrame, k: int, buckets: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Pairs (a, b) of set hashes h1 that connect all sets which have a key in common."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = (s for whole in batches for b in slices(whole, "text", _SLICE) for s in shingle_sets(b.column("text"), k) if len(s))
-        return _sent(((int(_name(s).view(np.int64)), rare_keys(s, percent, level.value)) for s in sets), _pack, buckets)
+        return _sent(((int(_name(s).view(np.int64)), keys_of(s)) for s in sets), _pack, buckets)
 
     return _met(docs.select("text").mapInArrow(send, _PACKED))
 
@@ -506,10 +552,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     sets = written(set_table(docs, k), "sets")
     classes = sets.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "classes")
-    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, k))  # _CELLS bytes
-    keys = classes.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1)).first()[0] or 0
+
+    def level(rows: DataFrame) -> Broadcast:
+        return docs.sparkSession.sparkContext.broadcast(commonness(rows, k))  # _CELLS bytes
+
+    if by_parts(percent):
+        # Two size classes, each with the most by which its sets can differ.
+        each, keys_of = F.col("n_shingles") * 5 * (100 - percent) / (100 + percent) + 4, lambda s: part_keys(s, percent)
+    else:
+        ranks = level(docs)
+        each, keys_of = F.col("n_shingles") * (100 - percent) / 100 + 1, lambda s: rare_keys(s, percent, ranks.value)
+    keys = classes.agg(F.sum(each)).first()[0] or 0
     # A class goes by its hash h1 here: classes that share it by chance only come into one block.
-    meet = candidates(docs, k, percent, max(48, int(keys) // _BUCKET_KEYS), level)
+    meet = candidates(docs, k, max(48, int(keys) // _BUCKET_KEYS), keys_of)
     blocks = components(meet).select(F.col("node").alias("h1"), F.col("label").alias("block"))
     blocks = written(blocks.join(classes, "h1").select(F.col("class_id").alias("doc_id"), "n_shingles", "h1", "block"), "blocks")
 
@@ -524,7 +579,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block_docs:
     large = members.where("tasks > 1").drop("tasks")
     if not large.isEmpty():
         many = large.agg(F.sum("n_shingles")).first()[0]
-        meet = shared_candidates(large, k, percent, max(48, int(many) // _BUCKET_KEYS), level)
+        meet = shared_candidates(large, k, percent, max(48, int(many) // _BUCKET_KEYS), level(large))
         again = components(meet).select(F.col("node").alias("doc_id"), F.col("label").alias("block"))
         large = written(with_tasks(large.drop("block").join(again, "doc_id")), "members")
         edges = edges.union(_block_links(large.where("tasks = 1"), k, percent, "block"))
