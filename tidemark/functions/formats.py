@@ -22,7 +22,7 @@ def fixed_digits(x: Column, digits: int = 4) -> Column:
 
 
 def arrow(diff: Column) -> Column:
-    return F.when(diff > 0, F.lit("↑")).otherwise(F.lit("↓"))
+    return F.when(diff > 0, F.lit("↑")).when(diff <= 0, F.lit("↓"))
 
 
 def plain_decimals(x: Column, digits: int = 4) -> Column:
@@ -30,5 +30,6 @@ def plain_decimals(x: Column, digits: int = 4) -> Column:
 
 
 def with_gap(value: Column, gap: Column, value_digits: int = 4, gap_digits: int = 3) -> Column:
-    """'{value} {arrow} {gap}' as the result tables print it."""
-    return F.concat_ws(" ", fixed_digits(value, value_digits), arrow(gap), fixed_digits(F.abs(gap), gap_digits))
+    """'{value} {arrow} {gap}' as the result tables print it; without a gap the value, without a value NULL."""
+    text = F.concat_ws(" ", fixed_digits(value, value_digits), arrow(gap), fixed_digits(F.abs(gap), gap_digits))
+    return F.when(value.isNotNull(), text)

@@ -259,7 +259,7 @@ def sql_digits(x: str, digits: int) -> str:
 v AS (SELECT dataset, model, round(avg_all * 100, 8) AS a, round(avg_test * 100, 8) AS t,
              round((avg_test - avg_train) * 100, 8) AS g FROM averages)
 SELECT dataset, model, {sql_digits('a', 4)} AS avg_text,
-       concat_ws(' ', {sql_digits('t', 4)}, CASE WHEN g > 0 THEN '↑' ELSE '↓' END, {sql_digits('abs(g)', 3)}) AS test_text
+       CASE WHEN t IS NOT NULL THEN concat_ws(' ', {sql_digits('t', 4)}, CASE WHEN g > 0 THEN '↑' WHEN g <= 0 THEN '↓' END, CASE WHEN g IS NOT NULL THEN {sql_digits('abs(g)', 3)} END) END AS test_text
 FROM v""")
 def format_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.formatted(r.period_averages(base(spark, sf_dir)))
@@ -343,7 +343,7 @@ av AS (
   FROM results JOIN labels_dim USING (model) WHERE model NOT IN {q.literals(fixed.EXCLUDED_MODELS)} GROUP BY ALL),
 cells AS (
   SELECT task, model, {sql_digits('a', 4)} AS avg_text,
-         concat_ws(' ', {sql_digits('t', 4)}, CASE WHEN g > 0 THEN '↑' ELSE '↓' END, {sql_digits('abs(g)', 3)}) AS test_text FROM av)
+         CASE WHEN t IS NOT NULL THEN concat_ws(' ', {sql_digits('t', 4)}, CASE WHEN g > 0 THEN '↑' WHEN g <= 0 THEN '↓' END, CASE WHEN g IS NOT NULL THEN {sql_digits('abs(g)', 3)} END) END AS test_text FROM av)
 SELECT model, """ + ", ".join(
     f"max(avg_text) FILTER (task = '{t}') AS \"{t} Avg.\", max(test_text) FILTER (task = '{t}') AS \"{t} 2023\"" for t in fixed.TABLE_TASKS
 ) + f" FROM cells GROUP BY ALL HAVING count(*) FILTER (task = '{fixed.TABLE_TASKS[0]}') > 0")
