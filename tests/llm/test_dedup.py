@@ -81,6 +81,29 @@ def test_words(docs, rows, window):
     assert sorted(map(tuple, substring_dedup.dedup_substrings(docs, window, 2000).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("run", [substring_dedup.op4, jaccard_join.op3])
+def test_long_word_elsewhere(spark, tmp_path, run):
+    """A word of over 64 bytes in a batch leaves the hashes of the batch's other words as they are in all batches."""
+    same = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, same if i else f"{'x' * 200} y{i} {same}") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(24).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in run(spark, str(tmp_path)).collect()}
+    if run is substring_dedup.op4:
+        assert {d: r.n_removed for d, r in got.items()} == {d: 60 if d else 0 for d, _ in rows}
+    else:
+        assert {r.component_id for r in got.values()} == {0}
+
+
+def test_words_of_rows_that_share_an_id(spark):
+    """Earlier is a smaller doc_id, or an earlier start in the same row."""
+    a, b = prose(1, 50), prose(2, 50)
+    rows = [(5, a), (5, a), (5, f"{b} {b} {a}"), (9, f"{a} end"), (None, b), (None, b), (None, prose(3, 30)), (None, prose(3, 30))]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in got) == [
+        (5, 50, 0), (5, 50, 0), (5, 150, 50), (9, 51, 50), (99, 30, 0), (99, 30, 0), (99, 50, 50), (99, 50, 50)
+    ]
+
+
 @pytest.mark.parametrize("k,percent,block", [(5, 80, 4_096), (3, 90, 3)])
 def test_jaccard(docs, rows, k, percent, block):
     sets = {}

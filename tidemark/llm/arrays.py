@@ -107,8 +107,8 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     if len(start):
         place = np.arange(len(inside), dtype=np.int64) - np.repeat(head[:-1], size)
         value = _TABLE[place & (_ROWS - 1), data[inside]]
-        if size.max() > _ROWS:
-            value *= mix((place >> 6).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+        far = np.flatnonzero(place >= _ROWS)  # shorter words hash alike whatever else the batch holds
+        value[far] *= mix((place[far] // _ROWS).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
         hashes = mix(np.add.reduceat(value, head[:-1]) + size.astype(np.uint64))
     else:
         hashes = np.zeros(0, np.uint64)

@@ -33,8 +33,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batch_bytes: int = 2 <<
 
     docs: doc_id, text; other columns are ignored.  Returns doc_id, n_words, n_removed, kept (kept words joined by one
     space).  Windows are judged on the input.  Null or empty text has no words and keeps "".  Texts shorter than a
-    window lose nothing.  A null doc_id counts as larger than all others.  Rows that share a doc_id count as documents
-    that follow one another, by text.  Windows are compared by 96 bits of hash.
+    window lose nothing.  A null doc_id counts as larger than all others.  Rows that share a doc_id are documents of
+    their own, none before the other: they don't remove anything from each other.  Windows are compared by 96 bits of hash.
     """
     period = period_for(window)
     anchor, cover = window - period + 1, np.isin(np.arange(period), COVERS[period])
@@ -49,7 +49,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batch_bytes: int = 2 <<
         return table, ids, data, bounds, w, at, keys[at]
 
     def windows(w, ids, at, repeated):
-        """Places of windows that hold a repeated anchor, their hashes, and for each the first equal one in the batch."""
+        """Windows that hold a repeated anchor: place, hashes, index of the first equal one in the batch, whether one of the
+        batch comes before it (smaller doc_id, or same row), and the indexes of the first ones as they are asked for."""
         n = max(0, len(w.hash) - window + 1)
         hits = np.zeros(len(w.hash) + 1, np.int64)
         hits[at[repeated] + 1] = 1
@@ -62,8 +63,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batch_bytes: int = 2 <<
         fresh = np.ones(len(order), bool)
         fresh[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
         first = order[fresh]  # lexsort is stable: the first of equal windows in (doc_id, start) order
-        ask = first[np.lexsort((w1[first], ids[w.text[place[first]]], twoway.bucket_of(w1[first], buckets)))]
-        return place, w1, w2, ask
+        kin = np.empty(len(order), np.int64)
+        kin[order] = first[np.cumsum(fresh) - 1]
+        text = w.text[place]
+        later = ids[text] > ids[text[kin]]
+        later[order[1:]] |= ~fresh[1:] & (text[order[1:]] == text[order[:-1]])
+        ask = first[np.lexsort((w1[first], ids[text[first]], twoway.bucket_of(w1[first], buckets)))]
+        return place, w1, w2, kin, later, ask
 
     def ask_keys(key: tuple, table: pa.Table) -> pa.Table:
         *_, keys = load(table)
@@ -71,7 +77,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batch_bytes: int = 2 <<
 
     def ask_windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table, ids, _, _, w, at, keys = load(table)
-        place, w1, w2, ask = windows(w, ids, at, twoway.repeated_among(keys, answers, buckets))
+        place, w1, w2, _, _, ask = windows(w, ids, at, twoway.repeated_among(keys, answers, buckets))
         names, cut = twoway.cuts(twoway.bucket_of(w1[ask], buckets))
         doc = ids[w.text[place[ask]]]
         return pa.table(
@@ -103,11 +109,12 @@ def dedup_substrings(docs: DataFrame, window: int = 20, batch_bytes: int = 2 <<
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         table, ids, data, bounds, w, at, keys = load(table)
-        place, w1, _, ask = windows(w, ids, at, twoway.repeated_among(keys, answers, buckets))
-        gone = np.ones(len(place), bool)
+        place, w1, _, kin, later, ask = windows(w, ids, at, twoway.repeated_among(keys, answers, buckets))
+        elsewhere = np.zeros(len(place), bool)  # of the first ones: does a batch with a smaller doc_id hold it?
         names, cut = twoway.cuts(twoway.bucket_of(w1[ask], buckets))
         got = twoway.bits_of(answers, 1, dict(zip(names.tolist(), np.diff(cut).tolist())))
-        gone[ask] = np.concatenate([got[b] for b in names.tolist()]) if len(names) else False
+        elsewhere[ask] = np.concatenate([got[b] for b in names.tolist()]) if len(names) else False
+        gone = later | elsewhere[kin]
         step = np.zeros(len(w.hash) + 1, np.int64)
         step[place[gone]] += 1
         step[place[gone] + window] -= 1
