@@ -276,3 +276,42 @@ def test_cdf_of_a_large_vocabulary(spark):
     uneven = spark.createDataFrame([(None,), ([0.5, 0.5],), ([],), ([0.25, 0.5, 0.5],), (None,), ([1.0],)], "pmf array<double>").coalesce(1)
     got = [r.cdf for r in uneven.select(pmf.pmf_to_cdf("pmf").alias("cdf")).collect()]
     assert got == [None, [0.0, 0.5, 1.0], [0.0], [0.0, 0.25, 0.75, 1.0], None, [0.0, 1.0]]
+
+
+def test_byte_pairs_in_bounded_memory(spark):
+    """A text is counted in slices, so what a task holds doesn't grow with texts and batches."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    class Tasks:
+        """Takes the place of a DataFrame and keeps the function that tasks run."""
+
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+        def __getattr__(self, name):
+            return lambda *columns: self
+
+    tasks = Tasks()
+    predictors.byte_pair_counts(tasks)
+    rng = np.random.default_rng(4)
+    texts = [b"", b"a", None, bytes(rng.integers(0, 200, 24 << 20, np.uint8)), b"ab" * 5]
+    batch = pa.record_batch([pa.array(["d"] * 5), pa.array(["m"] * 5), pa.array(texts, pa.binary())], names=["dataset", "month", "raw"])
+    tracemalloc.start()
+    found = list(tasks.function(iter([batch, batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    got = Counter()
+    for rows in found:
+        for _, _, prev, byte, k in zip(*(c.to_pylist() for c in rows.columns)):
+            got[prev, byte] += k
+    want = Counter({(-1, 97): 4, (97, 98): 10, (98, 97): 8})
+    data = np.frombuffer(texts[3], np.uint8).astype(np.int32)
+    codes, counts = np.unique(data[:-1] * 256 + data[1:], return_counts=True)
+    want.update({(int(c) // 256, int(c) % 256): 2 * int(k) for c, k in zip(codes, counts)})
+    want[-1, int(data[0])] += 2
+    assert got == want
