@@ -194,3 +194,36 @@ def test_an_unfinished_table_is_not_found(spark, tmp_path):
     df.limit(2).write.parquet(str(tmp_path / "t" / key))  # left by a run that was cut off
     assert stages.materialise(df, "numbers", str(tmp_path / "t")).count() == 5
     assert key != stages.content_key(df.withColumn("id", F.col("id") + 1)) != stages.content_key(spark.range(6))
+
+
+def plan_lines(df) -> list[str]:
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def first_line(lines: list[str], node: str, after: int = -1) -> int:
+    return next(i for i, line in enumerate(lines) if i > after and node in line)
+
+
+@pytest.mark.parametrize("step,cut", [(4, lambda d: c.fixed_chunks(d, 4)), (2, lambda d: c.sliding_chunks(d, 4, 2))])
+def test_tokens_are_moved_once(spark, step, cut):
+    """Windows are cut after the exchange, so a token that several windows hold is moved once; any token may be given."""
+    toks = ["a", "x\ny", None, "", "b c", "\n", "é", "", "d", "e", "f", None, "g"]
+    rows = [("d", "m", 0, [], 0), ("d", "m", 1, toks, 13), ("d", "m", 2, [""], 1), ("d", "m", 3, [None], 1), ("d", "m", 9, toks * 9, 117)]
+    docs = spark.createDataFrame(rows, "dataset string, month string, doc_ord long, toks array<string>, n_toks int")
+    windows = cut(docs)
+    stream = [t for r in rows for t in r[3]]
+    count = (len(stream) - 1) // 4 if step == 4 else (len(stream) - 4) // 2 + 1
+    assert {r.chunk_id: r.toks for r in windows.collect()} == {i: stream[i * step : i * step + 4] for i in range(count)}
+    lines = plan_lines(windows)
+    assert first_line(lines, "Generate") < first_line(lines, "Aggregate")
+
+
+def test_positions_are_counted_before_the_vocabulary(spark):
+    """What is joined with the vocabulary are counts, not positions."""
+    from tidemark.operators import predictors
+
+    docs = spark.createDataFrame([("d", "m", 0, list("abcabcab"), 8)], "dataset string, month string, doc_ord long, toks array<string>, n_toks int")
+    bits = predictors.cache_bits(c.fixed_chunks(docs, 4), predictors.vocabulary(docs, "z"), 4)
+    lines = plan_lines(bits)
+    join = first_line(lines, "Join LeftOuter")
+    assert first_line(lines, "Aggregate", join) < first_line(lines, "Join LeftOuter", join)
