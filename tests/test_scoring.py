@@ -315,3 +315,36 @@ def test_byte_pairs_in_bounded_memory(spark):
     want.update({(int(c) // 256, int(c) % 256): 2 * int(k) for c, k in zip(codes, counts)})
     want[-1, int(data[0])] += 2
     assert got == want
+
+
+def test_pairs_are_moved_once(spark, monkeypatch):
+    """Pairs are counted inside the tasks and moved once, whatever their tokens hold."""
+    from collections import Counter
+
+    plans = []
+
+    def written(df, purpose):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            df.explain()
+        plans.append((purpose, plan.getvalue().count("Exchange ")))
+        return df
+
+    monkeypatch.setattr(predictors, "materialise", written)
+    monkeypatch.setattr(predictors, "SLICE_TOKENS", 40)
+    rows = [("d", f"m{i % 3}", i, [["f", "a", "b\nc", "", "e"][i * j % 5] for j in range(1 + i % 9)]) for i in range(60)]
+    windows = spark.createDataFrame(rows, "dataset string, month string, chunk_id long, toks array<string>")
+    got = {r.month: (r.n_scored, round(r.bits, 6)) for r in predictors.bigram_bits(windows, "m2").collect()}
+    assert plans[0] == ("pairs", 1)
+    seen = Counter((m, pair) for _, m, _, t in rows for pair in zip(t, t[1:]))
+    train, prev, tok = Counter(), Counter(), Counter()
+    for (m, (a, b)), k in seen.items():
+        if m < "m2":
+            train[a, b] += k
+            prev[a] += k
+            tok[b] += k
+    size, want = sum(tok.values()) + len(tok) + 1, {}
+    for (m, (a, b)), k in seen.items():
+        p = 0.5 * (train[a, b] / prev[a] if prev[a] else 0) + 0.5 * (tok[b] + 1) / size
+        n, bits = want.get(m, (0, 0.0))
+        want[m] = n + k, bits - k * math.log2(max(p, fixed.PROBABILITY_FLOOR))
+    assert got == {m: (n, round(bits, 6)) for m, (n, bits) in want.items()}
