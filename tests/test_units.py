@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import units
+from tidemark.operators.evaluate import evaluate
+from tidemark.operators.predictors import unigram_bits
 from tidemark.operators.sampling import byte_slices, patches
 from tidemark.sources import binary, corpus
 
@@ -43,6 +45,9 @@ def test_sections(spark):
     assert one(spark, text.sections, sample) == ["A one ", "B§.§ C ", "D"]
     assert one(spark, text.sections, "  ") is None
     assert one(spark, text.sections, "no mark") == ["no mark"]
+    assert one(spark, text.sections, "a§.§.§ x§\n\ny §z§ \t") == ["§.§.§ x", " y §z"]
+    assert one(spark, lambda c: text.first_sections(c, 2), "§ a § b § c") == ["a ", "b "]
+    assert one(spark, lambda c: text.first_sections(c, 2), "§ §  ") == []
 
 
 def test_bytes(spark):
@@ -85,6 +90,30 @@ def test_budget_stops_at_the_first_unit_that_does_not_fit(spark, budget):
     assert [r.stream for r in tight] == (["".join(kept)] if kept else [])
 
 
+def test_budget_with_ordinals_that_repeat_or_are_null(spark):
+    rows = [("d", "2020-01", i, t) for i, t in [(None, "xxx"), (0, "aa"), (0, "aa"), (70000, "b"), (140000, "c")]]
+    whole = units.whole_units(spark.createDataFrame(rows, "dataset string, month string, doc_ord bigint, text string"))
+    kept = units.byte_budget(whole, 8).orderBy("start").collect()
+    assert [(r.unit, r.start, r.place) for r in kept] == [("aa", 3, 1), ("aa", 5, 2), ("b", 7, 3)]
+
+
+@pytest.mark.parametrize("recipe, again", [("wiki", 11), ("news", 0)])
+def test_texts_behind_the_budget_are_cut_once(spark, monkeypatch, recipe, again):
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(whole):
+        cuts.add(1)
+        return whole.split()
+
+    monkeypatch.setitem(units.RECIPES, recipe, lambda rows: units.explode_units(rows, cut("text")))
+    sample = docs(spark, ["aaaa bbbbbb"] * 200, step=1)
+    bits = lambda windows: unigram_bits(windows.withColumn("n_bytes", F.lit(0))).select("dataset", "month", "bits")
+    record = evaluate(sample, recipe, bits, "owner/m", 4, budget=100)
+    assert cuts.value <= 200 + again
+    assert [(r.batches, r.original_size) for r in record.collect()] == [(4, 95)]
+
+
 @pytest.mark.parametrize("texts", [["", "", "a", "", "", "b", "", ""], ["", "", ""], ["a"], [""]])
 def test_empty_units_leave_their_spaces(spark, texts):
     row = units.build_stream(units.whole_units(docs(spark, texts))).first()
